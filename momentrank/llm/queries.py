@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .mixing import OP3_SQL, op3_mixing
 from .simhash import op2_simhash
+from .urlfilter import OP4_SQL, op4_urlfilter
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_urlfilter": op4_urlfilter}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL}
