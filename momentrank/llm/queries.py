@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from .mixing import OP3_SQL, op3_mixing
+from .quality import op10_quality
 from .simhash import op2_simhash
+from .toxicity import op8_toxicity
 from .urlfilter import OP4_SQL, op4_urlfilter
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_urlfilter": op4_urlfilter}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_mixing": op3_mixing,
+    "op4_urlfilter": op4_urlfilter,
+    "op8_toxicity": op8_toxicity,
+    "op10_quality": op10_quality,
+}
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL}
