@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bloomlm import op6_bloomlm
 from .mixing import OP3_SQL, op3_mixing
 from .quality import op10_quality
 from .simhash import op2_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_urlfilter": op4_urlfilter,
+    "op6_bloomlm": op6_bloomlm,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
