@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bloomlm import op6_bloomlm
 from .mixing import OP3_SQL, op3_mixing
+from .pieces import op5_pieces
 from .quality import op10_quality
 from .simhash import op2_simhash
+from .sketch import op7_sketch
 from .toxicity import op8_toxicity
 from .urlfilter import OP4_SQL, op4_urlfilter
 
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_urlfilter": op4_urlfilter,
+    "op5_pieces": op5_pieces,
     "op6_bloomlm": op6_bloomlm,
+    "op7_sketch": op7_sketch,
     "op8_toxicity": op8_toxicity,
     "op10_quality": op10_quality,
 }
