@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bloomlm import op6_bloomlm
+from .hnsw import op9_hnsw
 from .mixing import OP3_SQL, op3_mixing
 from .pieces import op5_pieces
 from .quality import op10_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_bloomlm": op6_bloomlm,
     "op7_sketch": op7_sketch,
     "op8_toxicity": op8_toxicity,
+    "op9_hnsw": op9_hnsw,
     "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL}
