@@ -7,12 +7,14 @@ from .hnsw import op9_hnsw
 from .mixing import OP3_SQL, op3_mixing
 from .pieces import op5_pieces
 from .quality import op10_quality
+from .quotes import op1_quotes
 from .simhash import op2_simhash
 from .sketch import op7_sketch
 from .toxicity import op8_toxicity
 from .urlfilter import OP4_SQL, op4_urlfilter
 
 QUERIES = {
+    "op1_quotes": op1_quotes,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op4_urlfilter": op4_urlfilter,
