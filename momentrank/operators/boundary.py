@@ -100,10 +100,11 @@ def strict_tuples(proposals: DataFrame, events: Sequence[str], most: int = 8, ta
     one = F.struct("t", "id", "score", F.col("pinned").cast("int").alias("pin"))
     lists = [F.collect_list(F.when(F.col("event_id") == e, one)).alias(f"p_{i}") for i, e in enumerate(events)]
     rows = some.groupBy("session_id", "video_id").agg(*lists)
+    after = lambda i: F.filter(f"p_{i}", lambda x: x.t > F.col(f"x_{i - 1}").t)
     for i in range(n):
         rest = [f"p_{j}" for j in range(i + 1, n)]
         done = [f"x_{j}" for j in range(i)]
-        own = F.filter(f"p_{i}", lambda x, i=i: x.t > F.col(f"x_{i - 1}").t) if i else F.col("p_0")
+        own = after(i) if i else F.col("p_0")
         rows = rows.select("session_id", "video_id", *done, *rest, F.explode(own).alias(f"x_{i}"))
     x = [F.col(f"x_{i}") for i in range(n)]
     gaps = [hinge(x[i + 1].t - x[i].t, tau, weight) for i in range(n - 1)]

@@ -108,7 +108,7 @@ def record_violations(records: DataFrame, key: str, text: str, start: str, end:
     parts = [
         broken("blank_text", records.where(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0), key),
         broken("bad_range", records.where(bad_range), key),
-        broken("backward_range", records.where(F.col(end) < F.col(start)), key),
+        broken("backward_range", records.where(finite(start) & finite(end) & (F.col(end) < F.col(start))), key),
         broken("duplicate_key", records.groupBy(key).count().where("count > 1"), key),
     ]
     return reduce(DataFrame.union, parts)

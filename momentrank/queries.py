@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import ranking
+from .plans import boundaries, evaluation, ranking, sequences, texts
 
-QUERIES = {**ranking.QUERIES}
-ORACLES = {**ranking.ORACLES}
+PLANS = (ranking, sequences, evaluation, texts, boundaries)
+QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
