@@ -394,12 +394,12 @@ def region_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CANDIDATES_SQL}, {calibrated_sql()}
-SELECT rid AS id, video_id, event_id, round(greatest(0.0, t - 1800), 3) AS start_seconds, round(t + 1800, 3) AS end_seconds, round(t + 1800 - greatest(0.0, t - 1800), 3) AS duration, {r6('score')} FROM r""")
+SELECT rid AS id, video_id, event_id, round(greatest(0.0, t - 1800), 6) AS start_seconds, round(t + 1800, 6) AS end_seconds, round(t + 1800 - greatest(0.0, t - 1800), 6) AS duration, {r6('score')} FROM r""")
 def atomic_regions(spark: SparkSession, sf: str) -> DataFrame:
     rows = regions.atomic_regions(candidates(spark, sf), 1800.0)
     return rows.select(
-        "id", "video_id", "event_id", F.round("start_seconds", 3).alias("start_seconds"), F.round("end_seconds", 3).alias("end_seconds"),
-        F.round(F.col("end_seconds") - F.col("start_seconds"), 3).alias("duration"), (F.round("normalized_coarse_score", 6) + 0.0).alias("score"),
+        "id", "video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"),
+        F.round(F.col("end_seconds") - F.col("start_seconds"), 6).alias("duration"), (F.round("normalized_coarse_score", 6) + 0.0).alias("score"),
     )
 
 
@@ -416,13 +416,13 @@ g AS (SELECT w.session_id, w.event_id, w.video_id, cluster, greatest(0.0, min(w.
 
 def region_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "video_id", "event_id", F.round("start_seconds", 3).alias("start_seconds"), F.round("end_seconds", 3).alias("end_seconds"),
+        "video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"),
         F.array_join("candidate_ids", ",").alias("candidate_ids"), (F.round("raw_coarse_score", 6) + 0.0).alias("raw"), (F.round("normalized_coarse_score", 6) + 0.0).alias("score"),
     )
 
 
 @query(f"""WITH RECURSIVE {CANDIDATES_SQL}, {calibrated_sql()}, {CLUSTER_SQL}
-SELECT video_id, event_id, round(a, 3) AS start_seconds, round(z, 3) AS end_seconds, ids AS candidate_ids, {r6('raw')}, {r6('score')} FROM g""")
+SELECT video_id, event_id, round(a, 6) AS start_seconds, round(z, 6) AS end_seconds, ids AS candidate_ids, {r6('raw')}, {r6('score')} FROM g""")
 def cluster_regions(spark: SparkSession, sf: str) -> DataFrame:
     return region_rows(regions.clusters(candidates(spark, sf), *CLUSTER))
 
@@ -437,7 +437,7 @@ x AS (SELECT session_id, event_id, video_id, k, a, z, 1 AS island FROM h WHERE k
       FROM x JOIN h ON h.session_id = x.session_id AND h.event_id = x.event_id AND h.video_id = x.video_id AND h.k = x.k + 1),
 y AS (SELECT video_id, event_id, island, min(h.a) AS a, max(h.z) AS z, string_agg(ids, ',' ORDER BY h.k) AS ids, max(raw) AS raw, max(score) AS score
       FROM x JOIN h USING (session_id, event_id, video_id, k) GROUP BY ALL)
-SELECT video_id, event_id, round(a, 3) AS start_seconds, round(z, 3) AS end_seconds, ids AS candidate_ids, {r6('raw')}, {r6('score')} FROM y""")
+SELECT video_id, event_id, round(a, 6) AS start_seconds, round(z, 6) AS end_seconds, ids AS candidate_ids, {r6('raw')}, {r6('score')} FROM y""")
 def merge_regions(spark: SparkSession, sf: str) -> DataFrame:
     return region_rows(regions.merged(regions.clusters(candidates(spark, sf), *CLUSTER), CLUSTER[2]))
 
@@ -446,10 +446,10 @@ def merge_regions(spark: SparkSession, sf: str) -> DataFrame:
 a AS (SELECT *, greatest(0.0, t - 7200) AS s, t + 7200 AS e FROM r),
 b AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY event_id, video_id ORDER BY s, e, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM a),
 i AS (SELECT *, sum(new) OVER (PARTITION BY event_id, video_id ORDER BY s, e, rid) AS island FROM b)
-SELECT video_id, event_id, round(min(s), 3) AS start_seconds, round(max(e), 3) AS end_seconds, count(*) AS regions, round(max(raw), 6) + 0.0 AS raw FROM i GROUP BY video_id, event_id, island""")
+SELECT video_id, event_id, round(min(s), 6) AS start_seconds, round(max(e), 6) AS end_seconds, count(*) AS regions, round(max(raw), 6) + 0.0 AS raw FROM i GROUP BY video_id, event_id, island""")
 def region_islands(spark: SparkSession, sf: str) -> DataFrame:
     rows = regions.islands(regions.atomic_regions(candidates(spark, sf), 7200.0))
-    return rows.select("video_id", "event_id", F.round("start_seconds", 3).alias("start_seconds"), F.round("end_seconds", 3).alias("end_seconds"), "regions", (F.round("raw_coarse_score", 6) + 0.0).alias("raw"))
+    return rows.select("video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"), "regions", (F.round("raw_coarse_score", 6) + 0.0).alias("raw"))
 
 
 @query(f"""WITH RECURSIVE {CANDIDATES_SQL}, {calibrated_sql()}, {CLUSTER_SQL},
@@ -457,21 +457,21 @@ l AS (SELECT *, max(raw) OVER (PARTITION BY event_id, video_id) AS best FROM g),
 k AS (SELECT *, row_number() OVER (PARTITION BY event_id, video_id ORDER BY raw DESC, a, ids) AS rn FROM l WHERE raw >= best * (1 - 0.1)),
 q AS (SELECT k.event_id, k.video_id, k.rn, n.id, n.t, n.raw, n.k AS pos FROM k JOIN n ON n.event_id = k.event_id AND n.video_id = k.video_id AND list_contains(string_split(k.ids, ','), n.id) WHERE k.rn <= 2),
 z AS (SELECT *, row_number() OVER (PARTITION BY event_id, video_id ORDER BY raw DESC, rn, pos) AS seed FROM q)
-SELECT video_id, event_id, seed, id, round(t, 3) AS t, {r6('raw')} FROM z WHERE seed <= 6""")
+SELECT video_id, event_id, seed, id, round(t, 6) AS t, {r6('raw')} FROM z WHERE seed <= 6""")
 def seed_selection(spark: SparkSession, sf: str) -> DataFrame:
     c = candidates(spark, sf)
     rows = regions.seeds(regions.clusters(c, *CLUSTER), c)
-    return rows.select("video_id", "event_id", F.col("seed").cast("long").alias("seed"), "id", F.round("timestamp_seconds", 3).alias("t"), (F.round("raw_relevance_score", 6) + 0.0).alias("raw"))
+    return rows.select("video_id", "event_id", F.col("seed").cast("long").alias("seed"), "id", F.round("timestamp_seconds", 6).alias("t"), (F.round("raw_relevance_score", 6) + 0.0).alias("raw"))
 
 
 @query(f"""WITH RECURSIVE {CANDIDATES_SQL}, {calibrated_sql()}, {CLUSTER_SQL},
 q AS (SELECT g.event_id, g.video_id, g.a, n.t, row_number() OVER (PARTITION BY g.event_id, g.video_id, g.cluster ORDER BY n.raw DESC, n.k) AS b
       FROM g JOIN n ON n.event_id = g.event_id AND n.video_id = g.video_id AND list_contains(string_split(g.ids, ','), n.id))
-SELECT video_id, event_id, round(a, 3) AS start_seconds, round(t, 3) AS best_seconds FROM q WHERE b = 1""")
+SELECT video_id, event_id, round(a, 6) AS start_seconds, round(t, 6) AS best_seconds FROM q WHERE b = 1""")
 def region_representative(spark: SparkSession, sf: str) -> DataFrame:
     c = candidates(spark, sf)
     rows = regions.representative(regions.clusters(c, *CLUSTER), c)
-    return rows.select("video_id", "event_id", F.round("start_seconds", 3).alias("start_seconds"), F.round("best_seconds", 3).alias("best_seconds"))
+    return rows.select("video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("best_seconds", 6).alias("best_seconds"))
 
 
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, event_type, event_id FROM events)
