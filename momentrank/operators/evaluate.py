@@ -50,6 +50,20 @@ def truth_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.coalesce("unique_videos", F.lit(0)).alias("unique_videos"))
 
 
+def places(rows: DataFrame, by: Sequence[str], score: str, buckets: int = 1024) -> DataFrame:
+    """Adds ``rank``, 1 for the best score in [0, 1] of each group, equal scores sharing it.
+
+    Counts of score ranges come first, so a task orders one range of a group and never the whole group.
+    """
+    b = F.floor(F.col(score) * buckets)
+    rows = rows.withColumn("__b", b)
+    above = W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n")).withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0)))
+    inner = F.rank().over(W.partitionBy(*by, "__b").orderBy(F.desc(score)))
+    out = rows.join(counts.drop("__n"), [*by, "__b"]).withColumn("rank", (F.col("__above") + inner).cast("long"))
+    return out.drop("__b", "__above")
+
+
 def _share(condition: Column) -> Column:
     return F.avg(F.coalesce(condition, F.lit(False)).cast("double"))
 

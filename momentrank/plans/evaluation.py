@@ -184,14 +184,9 @@ def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
     for name, delta, weight in CONFIGS:
         p = Params(delta=delta, order_weight=weight, gap_tau=25 * HOUR, gap_weight=0.05 / HOUR)
         videos = ranked_videos(tuples(rows, EVENTS, p)).select(F.lit(name).alias("config"), F.col("video_id").alias("video"), F.round("priority_score", 9).alias("p"))
-        # a video's rank: how many reach more, counted over distinct scores, which are far fewer than pairs
-        counts = videos.groupBy("p").agg(F.count("*").alias("n"))
-        from pyspark.sql import Window as W
-
-        above = F.coalesce(F.sum("n").over(W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranked = videos.join(counts.select("p", (above + 1).alias("rank")), "p").select("config", "video", "rank")
-        out = ranked if out is None else out.union(ranked)
-    return out.join(hits_, "video", "left").select("config", "video", "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
+        out = videos if out is None else out.union(videos)
+    ranked = evaluate.places(out, ["config"], "p").select("config", "video", "rank")
+    return ranked.join(hits_, "video", "left").select("config", "video", "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def sweep_sql() -> str:
