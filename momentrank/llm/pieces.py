@@ -17,12 +17,15 @@ where they stand, repeated ones too. Extra columns pass through untouched.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Characters coded at once, and words that a worker remembers.
-BLOCK = 2_000_000
-CACHE = 150_000
+BLOCK = 3_000_000
+CACHE = 40_000
+#: Pairs of pieces that a worker remembers.
+PAIRS = 300_000
 #: Where the query finds its model; a parameter of all functions below.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -52,12 +57,27 @@ class Codec:
             self.texts[i] = bytes([b])
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece goes over the end of a word")
-        self.longest = max(map(len, self.pieces), default=1)
         joint = "".join(sorted({c for p in self.pieces if len(p) > 1 for c in p if c != MARK}))
-        own = f"[{re.escape(joint)}]" if joint else r"(?!)"
-        self.word = re.compile(f"{MARK}+{own}*|{own}+|.", re.S)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        among = lambda c: f"[{re.escape(c)}]+" if c else r"(?!)"
+        kinds = [among(joint)]
+        if not any(a.isalpha() != b.isalpha() for p in self.pieces for a, b in zip(p, p[1:]) if a != MARK):
+            # no piece joins a letter and something else, so a word ends between them
+            kinds = [among("".join(c for c in joint if c.isalpha())), among("".join(c for c in joint if not c.isalpha()))]
+        self.word = re.compile(f"{MARK}*(?:{'|'.join(kinds)})|{MARK}+|.", re.S)
+        self.longest = max(map(len, self.pieces), default=1)
+        #: Lengths, longest first, of the pieces that end with these three characters, or are these two.
+        self.lengths: dict[str, list[int]] = {}
+        for p in self.pieces:
+            if len(p) > 1:
+                self.lengths.setdefault(p[-3:], []).append(len(p))
+        self.lengths = {t: sorted(set(n), reverse=True) for t, n in self.lengths.items()}
+        self.names = [""] * len(ids)
+        for p, i in self.pieces.items():
+            self.names[i] = p
+        self.single: dict[str, int] = {}  # characters that are no piece get numbers after the pieces
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.worst = min(self.scores.values(), default=0.0) - 10.0  # of an unknown character, in a unigram model
 
     def merged(self, text: str) -> list[str]:
@@ -70,52 +90,96 @@ class Codec:
             i = min(pairs)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def follows(self, a: str, b: str) -> bool:
-        """Whether the joint text of two pieces is coded to just these."""
-        found = self.pairs.get((a, b))
+    def follows(self, a: int, b: int) -> bool:
+        """Whether the joint text of two pieces is coded to just these; -1 is the word's start."""
+        both = [self.names[i] for i in (a, b) if i >= 0]
+        return self.merged("".join(both)) == both
+
+    def number(self, c: str) -> int:
+        """Of a single character, which need not be a piece."""
+        found = self.pieces.get(c)
         if found is None:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            found = self.single.get(c)
+        if found is None:
+            found = self.single[c] = len(self.names)
+            self.names.append(c)
         return found
 
+    def output(self, i: int) -> tuple[int, ...]:
+        if i < len(self.texts):
+            return (i,)
+        return tuple(self.bytes[b] for b in self.names[i].encode("utf-8", "replace")) if self.bytes else (self.unknown,)
+
+    def best_score(self, word: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
+        """Viterbi's step of a unigram model: the last piece that gives the prefix its best score."""
+        best = (states[end - 1][0] + self.scores.get(word[end - 1], self.worst), self.number(word[end - 1]))
+        for start in range(max(0, end - self.longest), end - 1):
+            score = self.scores.get(word[start:end])
+            if score is not None and states[start][0] + score > best[0]:
+                best = (states[start][0] + score, self.pieces[word[start:end]])
+        return best
+
     def learn(self, words: Iterable[str]) -> None:
-        """Code distinct words, in the order of their trie."""
-        pieces, scores, longest, bpe = self.pieces, self.scores, self.longest, self.kind == "bpe"
-        states: list[tuple[float, str]] = [(0.0, "")]  # of each prefix: its score and last piece
-        before = ""
-        for word in sorted(words):
-            same, most = 0, min(len(before), len(word))
-            while same < most and before[same] == word[same]:
-                same += 1
+        """Code distinct words, in the order of their trie; each prefix has its last piece and its ids."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        (self.learn_bpe if self.kind == "bpe" else self.learn_unigram)(sorted(words))
+
+    def learn_unigram(self, words: list[str]) -> None:
+        states, before = [(0.0, -1)], ""
+        for word in words:
+            same = len(os.path.commonprefix((before, word)))
             del states[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                best: tuple[float, str] | None = None
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if piece not in pieces and start < end - 1:
-                        continue
-                    if bpe:
-                        if self.follows(states[start][1], piece):
-                            best = (0.0, piece)
-                            break
-                    else:
-                        score = states[start][0] + scores.get(piece, self.worst)
-                        if best is None or score > best[0]:
-                            best = (score, piece)
-                states.append(best)
-            ids: list[int] = []
-            end = len(word)
+                states.append(self.best_score(word, end, states))
+            ids, end = (), len(word)
             while end:
-                piece = states[end][1]
-                end -= len(piece)
-                if piece in pieces:
-                    ids.append(pieces[piece])
-                elif self.bytes:
-                    ids.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "replace")))
+                i = states[end][1]
+                ids, end = self.output(i) + ids, end - len(self.names[i])
+            self.known[word], before = ids, word
+
+    def learn_bpe(self, words: list[str]) -> None:
+        """A prefix's last piece is the one that may follow the state it starts from; exactly one does."""
+        known, pairs, follows, few = self.known, self.pairs, self.follows, len(self.texts)
+        piece, lengths, number = self.pieces.get, self.lengths.get, self.number
+        last, ids, before = [0], [()], ""  # last pieces by number + 1, so that 0 is the start
+        for word in words:
+            same = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :], ids[same + 1 :]
+            for end in range(same + 1, len(word) + 1):
+                for n in lengths(word[end - 3 : end] if end > 2 else word[:end], ()):
+                    if n > end:
+                        continue
+                    b = piece(word[end - n : end])
+                    if b is None:
+                        continue
+                    key = last[end - n] << 24 | b
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = pairs[key] = follows(last[end - n] - 1, b)
+                    if fits:
+                        last.append(b + 1)
+                        ids.append(ids[end - n] + (b,))
+                        break
                 else:
-                    ids.append(self.unknown)
-            self.known[word] = tuple(reversed(ids))
+                    b = piece(word[end - 2 : end]) if end > 2 else None
+                    if b is not None:
+                        key = last[end - 2] << 24 | b
+                        fits = pairs.get(key)
+                        if fits is None:
+                            fits = pairs[key] = follows(last[end - 2] - 1, b)
+                        if fits:
+                            last.append(b + 1)
+                            ids.append(ids[end - 2] + (b,))
+                            continue
+                    b = number(word[end - 1])  # no longer one fits, so this one does
+                    last.append(b + 1)
+                    ids.append(ids[end - 1] + ((b,) if b < few else self.output(b)))
+            known[word] = ids[-1]
             before = word
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,12 +191,13 @@ class Codec:
                 size += len(texts[to] or "")
                 to += 1
             words = [self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[at:to]]
-            known = self.known
-            new = {w for own in words for w in own if w not in known}
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = {w for own in words for w in own}
-            self.learn(new)
+            if len(self.known) > CACHE:  # words of the last generation stay in reach, and move over when they are met
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            new = set().union(*words) - known.keys()
+            again = new & older.keys()
+            known.update((w, older[w]) for w in again)
+            self.learn(new - again)
             for own in words:
                 ids = np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32)
                 parts.append(ids)
@@ -145,10 +210,16 @@ class Codec:
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_of(model: bytes, kind: str) -> Codec:
+    """One a worker: pairs of pieces are worked out once and not again in each task."""
+    return Codec(model, kind)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Parts of batches with about BLOCK characters each."""
     for b in batches:
-        size = np.array([len(t or "") for t in b.column(text).to_pylist()], np.int64).cumsum() // BLOCK
+        size = pc.fill_null(pc.utf8_length(b.column(text)), 0).to_numpy(zero_copy_only=False).cumsum() // BLOCK
         edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
         for a, z in zip(edges, edges[1:]):
             if z > a:
@@ -167,7 +238,7 @@ def encoded(docs: DataFrame, model: str = MODEL, text_col: str = "text", ids_col
     rows = docs.drop(ids_col)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data, kind)
+        codec = codec_of(data, kind)
         for b in slices(batches, text_col):
             ends, ids = codec.encode(b.column(text_col).to_pylist())
             yield b.append_column(ids_col, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)))
@@ -181,7 +252,7 @@ def decoded(docs: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col:
     rows = docs.drop(text_col)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data)
+        codec = codec_of(data, "bpe")
         for b in batches:
             yield b.append_column(text_col, pa.array([codec.decode(x or ()) for x in b.column(ids_col).to_pylist()], pa.string()))
 
@@ -193,7 +264,7 @@ def coded(docs: DataFrame, model: str = MODEL, kind: str = "bpe") -> DataFrame:
     data = read_model(model)
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data, kind)
+        codec = codec_of(data, kind)
         for b in slices(batches, "text"):
             texts = b.column("text").to_pylist()
             ends, ids = codec.encode(texts)

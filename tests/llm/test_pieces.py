@@ -46,7 +46,7 @@ def test_query_columns_nulls_repeats_and_empty(spark):
 def test_unigram_scores_are_viterbi():
     codec = pieces.Codec(pieces.read_model(pieces.MODEL), "unigram")
     pieces_ = {"▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.1, "▁a": -2.2, "ba": -1.0, "aba": -3.6}
-    codec.pieces, codec.scores = {p: i for i, p in enumerate(pieces_)}, pieces_
+    codec.pieces, codec.scores, codec.names = {p: i for i, p in enumerate(pieces_)}, pieces_, list(pieces_)
 
     def best(w):
         if not w:
