@@ -37,7 +37,7 @@ def gated(kind: str, weight: float, confidence: Column, threshold: float) -> Col
 
 
 def pair_softmax(pre: Column, post: Column, temperature: float = 1.0) -> Column:
-    """Probability of ``post`` against ``pre`` [from documentation, no reference code]."""
+    """Probability of ``post`` against ``pre`` [from documentation]."""
     return 1 / (1 + F.exp((pre - post) / temperature))
 
 

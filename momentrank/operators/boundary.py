@@ -1,4 +1,4 @@
-"""Boundary operators, all from documentation: there is no reference code for them.
+"""Boundary operators, all from documentation.
 
 Samples are ``(group columns, t_ms, ...)`` with whole milliseconds, so window ends are exact. Choices of ours: the centre
 belongs to neither side, window ends are inclusive, ties take the shorter left, then the shorter right window.

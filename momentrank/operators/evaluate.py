@@ -40,13 +40,13 @@ def truth_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
 
     Counts what stands before the truth instead of ranking all videos, so a query with many videos is never sorted in a task.
     """
-    own = scores.join(truth.select("query_id", F.col("video").alias("true_video")), "query_id")
+    own = scores.hint("merge").join(truth.select("query_id", F.col("video").alias("true_video")).hint("merge"), "query_id")
     mine = own.where("video = true_video").select("query_id", F.col("score").alias("mine"))
-    own = own.join(mine, "query_id", "left")
+    own = own.hint("merge").join(mine.hint("merge"), "query_id", "left")
     a, b = F.round("score", 9), F.round("mine", 9)
     before = F.sum(((a > b) | ((a == b) & (F.col("video") < F.col("true_video")))).cast("int"))
     found = own.groupBy("query_id").agg(F.count("*").alias("unique_videos"), (F.max(F.when(F.col("mine").isNotNull(), 1)) + before).alias("rank"))
-    out = truth.select("query_id").join(found, "query_id", "left")
+    out = truth.select("query_id").hint("merge").join(found.hint("merge"), "query_id", "left")
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), F.coalesce("unique_videos", F.lit(0)).alias("unique_videos"))
 
 
@@ -127,7 +127,7 @@ def sort_key_effect(items: DataFrame, truth: DataFrame, first: str, second: str)
     """``query_id, rank_a, rank_b, moved``: the truth's rank under two sort keys (both descending, then the video)."""
     a = truth_ranks(items.withColumn("score", F.col(first)), truth).select("query_id", F.col("rank").alias("rank_a"))
     b = truth_ranks(items.withColumn("score", F.col(second)), truth).select("query_id", F.col("rank").alias("rank_b"))
-    both = a.join(b, "query_id")
+    both = a.hint("merge").join(b.hint("merge"), "query_id")
     return both.withColumn("moved", ~F.col("rank_a").eqNullSafe(F.col("rank_b")))
 
 

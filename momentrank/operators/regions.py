@@ -34,10 +34,10 @@ def representative(regions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Adds ``best_seconds``: the time of a region's best raw candidate, the first on ties; its middle if none resolves."""
     own = regions.select("session_id", F.col("id").alias("region"), F.posexplode("candidate_ids").alias("pos", "candidate"))
     some = candidates.select("session_id", F.col("id").alias("candidate"), "timestamp_seconds", "raw_relevance_score")
-    best = own.join(some, ["session_id", "candidate"]).groupBy("session_id", "region")
+    best = own.hint("merge").join(some.hint("merge"), ["session_id", "candidate"]).groupBy("session_id", "region")
     best = best.agg(F.max_by("timestamp_seconds", F.struct("raw_relevance_score", -F.col("pos"))).alias("best_seconds"))
     middle = (F.col("start_seconds") + F.col("end_seconds")) / 2
-    out = regions.drop("best_seconds").join(best.withColumnRenamed("region", "id"), ["session_id", "id"], "left")
+    out = regions.drop("best_seconds").hint("merge").join(best.withColumnRenamed("region", "id").hint("merge"), ["session_id", "id"], "left")
     return out.withColumn("best_seconds", F.coalesce("best_seconds", middle))
 
 
@@ -152,6 +152,7 @@ def seeds(regions: DataFrame, candidates: DataFrame, ratio: float = 0.1, regions
     kept = regions.withColumn("best", best).where(F.col("raw_coarse_score") >= F.col("best") * (1 - ratio))
     kept = kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= regions_kept)
     own = kept.select(*GROUP, "rn", F.posexplode("candidate_ids").alias("pos", "id"))
-    some = own.join(candidates.select("session_id", "id", "timestamp_seconds", "raw_relevance_score"), ["session_id", "id"])
+    hits = candidates.select("session_id", "id", "timestamp_seconds", "raw_relevance_score")
+    some = own.hint("merge").join(hits.hint("merge"), ["session_id", "id"])
     by = W.partitionBy(*GROUP).orderBy(F.desc("raw_relevance_score"), "rn", "pos")
     return some.withColumn("seed", F.row_number().over(by)).where(F.col("seed") <= most).select(*GROUP, "seed", "id", "timestamp_seconds", "raw_relevance_score")

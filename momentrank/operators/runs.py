@@ -105,7 +105,7 @@ def wide_metrics(runs: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def frontier(regions: DataFrame, videos: int = 5, per_event: int = 3, total: int = 60, explore: float = 0.15) -> DataFrame:
-    """Regions to work on within a budget [from documentation, no reference code].
+    """Regions to work on within a budget [from documentation].
 
     The best ``videos`` of each session by ``priority``, at most ``per_event`` regions of an event in a video, ``total`` in all.
     Classes: pinned first, then each event's best region, then the rest by score; the last ``explore`` share of the budget

@@ -1,4 +1,4 @@
-"""Boundary queries, from documentation: there is no reference code for them. A minute stands for a millisecond here."""
+"""Boundary queries, made from documentation. A minute stands for a millisecond here."""
 
 from __future__ import annotations
 

@@ -22,7 +22,7 @@ def query(sql: str):
     return add
 
 
-#: Frames are whole hours here, so that the distance weight of the reference keeps its meaning.
+#: Frames are whole hours here, so that the default distance weight keeps its meaning.
 HITS_SQL = f"""h AS (SELECT user_id AS video, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 9 END AS query,
   (epoch_us(ts) - {ORIGIN}) // 3600000000 AS frame, value AS score, event_id AS seq FROM events)"""
 

@@ -80,7 +80,8 @@ def query_groups(texts: DataFrame) -> DataFrame:
     part = lambda i: timestamp_seconds(F.regexp_extract(line, RANGE_LINE, i), True)
     answers = tail.where(line.rlike(RANGE_LINE)).select("path", F.upper(F.regexp_extract(line, RANGE_LINE, 1)).alias("event"), F.struct("n", part(2).alias("a"), part(3).alias("z")).alias("x"))
     answers = answers.groupBy("path", "event").agg(F.max("x").alias("x")).select("path", "event", F.col("x.a").alias("start_seconds"), F.col("x.z").alias("end_seconds"))
-    out = events.join(video, "path", "left").join(context, "path", "left").join(answers, ["path", "event"], "left")
+    out = events.hint("merge").join(video.hint("merge"), "path", "left").join(context.hint("merge"), "path", "left")
+    out = out.join(answers.hint("merge"), ["path", "event"], "left")
     return out.select("path", video_id(F.col("video"), "benchmark").alias("video"), "context", "pos", "event", "text", "start_seconds", "end_seconds")
 
 
@@ -88,12 +89,12 @@ def query_file_violations(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """``rule, path`` of files without events, video or an answer, with a repeated event, a backward range or another file's video."""
     row = lambda rule, df: df.select(F.lit(rule).alias("rule"), "path").distinct()
     videos = groups.select("path", "video").distinct()
-    out = row("no_events", texts.join(groups, "path", "left_anti"))
+    out = row("no_events", texts.hint("merge").join(groups.hint("merge"), "path", "left_anti"))
     out = out.union(row("no_video", groups.where("video is null"))).union(row("no_answer", groups.where("start_seconds is null or end_seconds is null")))
     out = out.union(row("duplicate_event", groups.groupBy("path", "event").count().where("count > 1")))
     out = out.union(row("backward_range", groups.where("end_seconds < start_seconds")))
     twice = videos.where("video is not null").groupBy("video").agg(F.count("*").alias("n")).where("n > 1")
-    return out.union(row("duplicate_video", videos.join(twice, "video", "left_semi")))
+    return out.union(row("duplicate_video", videos.hint("merge").join(twice.hint("merge"), "video", "left_semi")))
 
 
 def queries_of(groups: DataFrame, mode: str = "event") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming ingest of hits: an extra, as the reference has no streams.
+"""Streaming ingest of hits: an extra beyond the batch operators.
 
 The gap rule of clustering as session windows with a watermark, and replace-by-event ingest by micro-batches.
 """
