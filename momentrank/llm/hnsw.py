@@ -3,7 +3,7 @@
 Equal vectors of a label are one class first, with a count. A label's classes are dealt to shards of about SHARD vectors
 by a hash; a shard builds its hierarchical graph, and audits it: members turned away to the threshold cosine must be
 found again, and the beam is widened until enough are. Each block of queries (the shards' own members) searches every
-graph of its label. What the search finds is verified in double precision; found links make local components, in
+graph of its label. A query whose beam is full of links may have more of them, so it is compared with the whole shard. What the search finds is verified in double precision; found links make local components, in
 which all pairs of queries and members are then compared exactly, in blocks, so a dense group's counts don't hang on
 the beam. A task gives counts and one link from each vector to its local component's smallest, never pairs. Local
 components join over all shards by alternating stars.
@@ -201,13 +201,22 @@ def compared(graph: Graph, width: int, ids: np.ndarray, mult: np.ndarray, x: np.
     a, b = [], []
     for s in range(0, len(q), QUERIES):
         found, sims = graph.search(q[s : s + QUERIES].astype(np.float32), width)
+        full = np.flatnonzero(sims[:, -1] >= threshold - 1e-3)
+        for rows in (full[k : k + 128] + s for k in range(0, len(full), 128)):
+            i, m = np.nonzero(q[rows] @ x.T >= threshold)
+            # one link from each to the smallest that it reaches here: pairs could be as many as the shard's square
+            near, at = np.unique(np.concatenate([q_ids[rows[i]], ids[m]]), return_inverse=True)
+            label = smallest(at[: len(i)], at[len(i) :], len(near))
+            a.append(near)
+            b.append(near[label])
+        sims[full] = -2
         i, j = np.nonzero(sims >= threshold - 1e-3)
         i, m = i + s, found[i, j]
         good = (np.einsum("ij,ij->i", q[i], x[m]) >= threshold) & (q_ids[i] != ids[m])
-        a.append(i[good])
-        b.append(m[good])
+        a.append(q_ids[i[good]])
+        b.append(ids[m[good]])
     a, b = np.concatenate(a), np.concatenate(b)
-    nodes, at = np.unique(np.concatenate([q_ids[a], ids[b]]), return_inverse=True)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     label = smallest(at[: len(a)], at[len(a) :], len(nodes))
     q_at, m_at = np.searchsorted(nodes, q_ids), np.searchsorted(nodes, ids)
     q_in = np.flatnonzero(nodes[np.minimum(q_at, len(nodes) - 1)] == q_ids) if len(nodes) else np.zeros(0, int)

@@ -76,3 +76,21 @@ def test_audit_widens_a_beam_that_misses():
     for links in g.links:
         links[:, 2:] = -1  # a broken graph
     assert g.audited(0.93) > hnsw.BEAM
+
+
+def test_more_links_than_the_beam_is_wide():
+    rng = np.random.default_rng(4)
+    d, n = 32, 100
+    a, b = np.eye(d)[0], 0.95 * np.eye(d)[0] + np.sqrt(1 - 0.95**2) * np.eye(d)[1]
+    x = hnsw.unit(np.concatenate([np.repeat([a], n, 0), np.repeat([b], n, 0)]) + 0.005 * rng.standard_normal((2 * n, d)))
+    x = np.concatenate([x, hnsw.unit(rng.standard_normal((400, d)))])
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert (want[: 2 * n] == 2 * n - 1).all()  # each group links with all of the other
+    ids = np.arange(len(x)) * 7 + 3
+    node, links, root = hnsw.compared(hnsw.Graph(x), hnsw.BEAM, ids, np.ones(len(x), np.int64), x, ids, x, 0.93)
+    got, least = dict.fromkeys(ids.tolist(), 0), {}
+    for i, k, r in zip(node.tolist(), links.tolist(), root.tolist()):
+        got[i] += k
+        least[i] = r
+    assert list(got.values()) == want.tolist()
+    assert {least[i] for i in ids[: 2 * n].tolist()} == {3}
