@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, partitions, runs, stored, words
@@ -53,16 +53,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of each row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """``(doc_id, fp)`` of each row, and longs ``more`` beside; ``fp`` holds the 64 bits as a signed long."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    names = rows.columns[2:]
+    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
 
 
 def anchors(x: np.ndarray, checks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,27 +178,39 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, bucket: int = BUCKET)
     return out.union(at_anchors(over, 1).select("a", "b")) if over.take(1) else out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs``: component_id is the smallest id reachable by links."""
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+def rooted(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """``fp, first, root`` of each fingerprint: its smallest id, and the smallest fingerprint reachable by links."""
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     reach = components(links(classes, bucket=bucket)).withColumnsRenamed({"node": "fp"})
     named = classes.hint("merge").join(reach.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = stored(named, "named")
+    return stored(named, "named")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``docs``: component_id is the smallest id reachable by links."""
+    prints = stored(fingerprints(docs, id_col, text_col), "prints")
+    named = rooted(prints, bucket)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.select("fp", "root").hint("merge").join(least.hint("merge"), "root").select("fp", "component_id")
     return prints.hint("merge").join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's id: one text of each group. Rows that repeat an id count once."""
-    found = stored(near_duplicates(docs, id_col, text_col), "found")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = stored(kept, "kept")
-    one = docs.hint("merge").join(
-        kept.select(F.col("doc_id").alias("__kept")).hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi"
-    )
-    return one.dropDuplicates([id_col]) if kept.where("n > 1").take(1) else one
+    """One row of ``docs`` for each component: that with the smallest id, nulls last, and of these the smallest hash of the row.
+
+    Components are kept by row, so those with equal or null ids keep a row each. Rows that are equal count once.
+    """
+    mark = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
+    prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark")), "prints")
+    root = rooted(prints).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
+    of = prints.groupBy("fp").agg(first).hint("merge").join(root.hint("merge"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    kept = stored(of.select(F.col("row.doc_id").alias("__kept"), F.col("row.mark").alias("__mark")), "kept")
+    same = (F.col("__own") == F.col("__mark")) & F.col(id_col).cast("long").eqNullSafe(F.col("__kept"))
+    one = docs.withColumn("__own", mark).hint("merge").join(kept.hint("merge"), same, "left_semi")
+    copies = prints.hint("merge").join(kept.hint("merge"), (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    copies = copies.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    return (one.dropDuplicates([id_col, "__own"]) if copies.take(1) else one).drop("__own")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,12 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     rows = [(5, "a b c d", "u"), (3, "a b c d", "v"), (3, "a b c d", "v"), (9, "other words stand here", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == [3, 9]
+
+
+def test_deduplicated_keeps_texts_that_share_an_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5]), (None, texts[5]), (7, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])], key=str)
+    for parts in (1, 4):
+        assert sorted(map(tuple, simhash.deduplicated(df.repartition(parts)).collect()), key=str) == want
