@@ -2,7 +2,9 @@
 
 White space becomes marks, and no piece goes on from a character to a mark, so a text is a run of marked words. A
 block's distinct words are sorted, which lists their trie depth first: a word keeps the forward states of the prefix it
-shares with the word before, and only its own characters are worked out. Words that a worker has coded lately are kept.
+shares with the word before, and only its own characters are worked out. A state holds its last piece alone, which points
+back to the state before it, so a word of a million letters takes a million numbers. Words that a worker has coded
+lately are kept, up to 200 letters each.
 
 A forward state is the best last piece of a prefix. For a unigram model that is Viterbi's, by the sum of scores. A BPE
 model's scores are merge ranks, whose sum says nothing; its segmentation is the one in which every two neighbouring
@@ -35,6 +37,8 @@ MARK = "▁"
 #: Characters coded at once, and words that a worker remembers.
 BLOCK = 3_000_000
 CACHE = 40_000
+#: A longer word is coded and forgotten, so that what a worker remembers is bounded in letters too.
+LONG = 200
 #: Pairs of pieces that a worker remembers.
 PAIRS = 300_000
 #: Where the query finds its model; a parameter of all functions below.
@@ -65,12 +69,12 @@ class Codec:
             kinds = [among("".join(c for c in joint if c.isalpha())), among("".join(c for c in joint if not c.isalpha()))]
         self.word = re.compile(f"{MARK}*(?:{'|'.join(kinds)})|{MARK}+|.", re.S)
         self.longest = max(map(len, self.pieces), default=1)
-        #: Lengths, longest first, of the pieces that end with these three characters, or are these two.
+        #: Lengths, longest first, of the pieces that may end with these three characters, or be these two; two always may.
         self.lengths: dict[str, list[int]] = {}
         for p in self.pieces:
             if len(p) > 1:
                 self.lengths.setdefault(p[-3:], []).append(len(p))
-        self.lengths = {t: sorted(set(n), reverse=True) for t, n in self.lengths.items()}
+        self.lengths = {t: sorted({*n, 2}, reverse=True) for t, n in self.lengths.items()}
         self.names = [""] * len(ids)
         for p, i in self.pieces.items():
             self.names[i] = p
@@ -110,13 +114,13 @@ class Codec:
             return (i,)
         return tuple(self.bytes[b] for b in self.names[i].encode("utf-8", "replace")) if self.bytes else (self.unknown,)
 
-    def best_score(self, word: str, end: int, states: list[tuple[float, int]]) -> tuple[float, int]:
+    def best_score(self, word: str, end: int, scores: list[float]) -> tuple[float, int]:
         """Viterbi's step of a unigram model: the last piece that gives the prefix its best score."""
-        best = (states[end - 1][0] + self.scores.get(word[end - 1], self.worst), self.number(word[end - 1]))
+        best = (scores[end - 1] + self.scores.get(word[end - 1], self.worst), self.number(word[end - 1]))
         for start in range(max(0, end - self.longest), end - 1):
             score = self.scores.get(word[start:end])
-            if score is not None and states[start][0] + score > best[0]:
-                best = (states[start][0] + score, self.pieces[word[start:end]])
+            if score is not None and scores[start] + score > best[0]:
+                best = (scores[start] + score, self.pieces[word[start:end]])
         return best
 
     def learn(self, words: Iterable[str]) -> None:
@@ -125,61 +129,60 @@ class Codec:
             self.pairs.clear()
         (self.learn_bpe if self.kind == "bpe" else self.learn_unigram)(sorted(words))
 
+    def traced(self, last: list[int], end: int) -> tuple[int, ...]:
+        """The ids of a prefix, from each state's last piece back to the word's start."""
+        names, found = self.names, []
+        while end:
+            i = last[end]
+            found.append(i)
+            end -= len(names[i])
+        found.reverse()
+        if max(found) < len(self.texts):
+            return tuple(found)
+        return tuple(chain.from_iterable(map(self.output, found)))
+
     def learn_unigram(self, words: list[str]) -> None:
-        states, before = [(0.0, -1)], ""
+        scores, last, before = [0.0], [-1], ""
         for word in words:
             same = len(os.path.commonprefix((before, word)))
-            del states[same + 1 :]
+            del scores[same + 1 :], last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                states.append(self.best_score(word, end, states))
-            ids, end = (), len(word)
-            while end:
-                i = states[end][1]
-                ids, end = self.output(i) + ids, end - len(self.names[i])
-            self.known[word], before = ids, word
+                score, piece = self.best_score(word, end, scores)
+                scores.append(score)
+                last.append(piece)
+            self.known[word], before = self.traced(last, len(word)), word
 
     def learn_bpe(self, words: list[str]) -> None:
         """A prefix's last piece is the one that may follow the state it starts from; exactly one does."""
-        known, pairs, follows, few = self.known, self.pairs, self.follows, len(self.texts)
-        piece, lengths, number = self.pieces.get, self.lengths.get, self.number
-        last, ids, before = [0], [()], ""  # last pieces by number + 1, so that 0 is the start
+        known, pairs, follows = self.known, self.pairs, self.follows
+        piece, lengths, number, traced = self.pieces.get, self.lengths.get, self.number, self.traced
+        two = (2,)
+        last, before = [-1], ""  # the last piece of each prefix, which is its back-pointer too; -1 is the start
         for word in words:
             same = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], ids[same + 1 :]
+            del last[same + 1 :]
             for end in range(same + 1, len(word) + 1):
-                for n in lengths(word[end - 3 : end] if end > 2 else word[:end], ()):
+                tail = word[end - 3 : end] if end > 2 else word[:end]
+                for n in lengths(tail, two):
                     if n > end:
                         continue
                     b = piece(word[end - n : end])
                     if b is None:
                         continue
-                    key = last[end - n] << 24 | b
+                    key = (last[end - n] + 1) << 24 | b
                     fits = pairs.get(key)
                     if fits is None:
-                        fits = pairs[key] = follows(last[end - n] - 1, b)
+                        fits = pairs[key] = follows(last[end - n], b)
                     if fits:
-                        last.append(b + 1)
-                        ids.append(ids[end - n] + (b,))
+                        last.append(b)
                         break
                 else:
-                    b = piece(word[end - 2 : end]) if end > 2 else None
-                    if b is not None:
-                        key = last[end - 2] << 24 | b
-                        fits = pairs.get(key)
-                        if fits is None:
-                            fits = pairs[key] = follows(last[end - 2] - 1, b)
-                        if fits:
-                            last.append(b + 1)
-                            ids.append(ids[end - 2] + (b,))
-                            continue
-                    b = number(word[end - 1])  # no longer one fits, so this one does
-                    last.append(b + 1)
-                    ids.append(ids[end - 1] + ((b,) if b < few else self.output(b)))
-            known[word] = ids[-1]
+                    last.append(number(word[end - 1]))  # no longer one fits, so this one does
+            known[word] = traced(last, len(word))
             before = word
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,6 +205,8 @@ class Codec:
                 ids = np.fromiter(chain.from_iterable(map(known.__getitem__, own)), np.int32)
                 parts.append(ids)
                 ends.append(ends[-1] + len(ids))
+            for w in [w for w in new if len(w) > LONG]:
+                del known[w]
             at = to
         return np.array(ends, np.int64), np.concatenate([np.zeros(0, np.int32), *parts])
 

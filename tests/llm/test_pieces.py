@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import pytest
 import sentencepiece
@@ -26,6 +27,19 @@ def test_ids_equal_the_library(library):
         assert codec.decode(ids[a:z].tolist()) == (t or "")
 
 
+def test_a_very_long_word(library):
+    """Memory is a state a letter, and what was coded is not kept."""
+    rng = random.Random(9)
+    long = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(200_000))
+    codec = pieces.Codec(pieces.read_model(pieces.MODEL))
+    tracemalloc.start()
+    ends, ids = codec.encode([long, long[:5000] + " a"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids[: ends[1]].tolist() == library.encode(long) and ids[ends[1] :].tolist() == library.encode(long[:5000] + " a")
+    assert peak < 40 << 20 and all(len(w) <= pieces.LONG for w in codec.known)
+
+
 def test_documents_equal_the_library(spark, library, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40)
     rows = pieces.encoded(docs.selectExpr("*", "1 AS ids"))
