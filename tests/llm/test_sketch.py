@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from momentrank.llm import sketch
 
@@ -12,6 +13,22 @@ def texts():
     return [" ".join(rng.choice(vocab, int(rng.integers(0, 400)))) for _ in range(90)]
 
 
+def plain(t):
+    """Digest and retained hashes, from the text's shingles one by one."""
+    w = (t or "").encode().lower().split()
+    grams = {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
+    every = {xxhash.xxh64_intdigest(g) for g in grams}
+    return sum(every) % 2**64, {h >> 16 for h in every if (h >> 16) < 2**48 // 8}
+
+
+def text_form(s):
+    return f"{s[0]:016x}" + "".join(f"{h:012x}" for h in sorted(s[1]))
+
+
+def like(a, b):
+    return 1.0 if a[0] == b[0] else len(a[1] & b[1]) / max(len(a[1] | b[1]), 1)
+
+
 def brute(rows):
     """All rows in order, each with the next one's text."""
     rows = sorted(rows, key=lambda r: -(r[0] if r[0] is not None else sketch.LOWEST))
@@ -20,8 +37,8 @@ def brute(rows):
         t, nxt = t or "", nxt or ""
         half = len(t) // 2
         e = t[: len(t) - half] + nxt[:half]
-        a, b, c = (sketch.sketch(x) for x in (t, nxt, e))
-        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), sketch.fingerprint(a), sketch.fingerprint(c), sketch.likeness(a, c), sketch.likeness(a, b)))
+        a, b, c = (plain(x) for x in (t, nxt, e))
+        out.append((d, len(t), hashlib.sha256(e.encode()).hexdigest(), text_form(a), text_form(c), like(a, c), like(a, b)))
     return out
 
 
@@ -62,8 +79,32 @@ def test_estimates_are_near_the_truth():
 
 
 def test_union_of_sketches_is_sketch_of_union_and_text_form_round_trips():
-    a, b = " ".join(texts()[:20]), " ".join(texts()[20:40])
-    p, q = sketch.sketch(a), sketch.sketch(b)
-    joint = set(sketch.merged(p, q)) ^ set(sketch.sketch(a + " " + b))
-    assert len(joint) <= 4  # shingles over the seam
-    assert sketch.parsed(sketch.fingerprint(p)).tolist() == p.tolist()
+    for n in (1, 2, 20):  # single texts too, of which many retain nothing
+        for i in range(0, 80, 2 * n):
+            a, b = texts()[i : i + n], texts()[i + n : i + 2 * n]
+            p, q = ([sketch.sketch(t) for t in x] for x in (a, b))
+            want = set().union(*(plain(t)[1] for t in a + b))
+            assert set().union(*(s.hashes.tolist() for s in p + q)) == want
+            assert set(sketch.merged(p[0], q[0])) == plain(a[0])[1] | plain(b[0])[1]
+            back = sketch.parsed(sketch.fingerprint(p[0]))
+            assert back.hashes.tolist() == p[0].hashes.tolist() and back.digest == p[0].digest == plain(a[0])[0]
+
+
+def test_short_texts():
+    short = [f"w{i} x y z end" for i in range(40)]
+    long = sketch.sketch(" ".join(short))
+    own = [sketch.sketch(t) for t in short]
+    assert any(not len(s.hashes) for s in own)  # most of one shingle retain nothing
+    for s in own:
+        assert sketch.likeness(s, s) == 1.0 and sketch.containment(s, long) == float(len(s.hashes) > 0)
+    assert sketch.likeness(own[0], own[1]) == 0.0
+    assert sketch.likeness(sketch.sketch(None), sketch.sketch(" \n")) == 1.0 and sketch.likeness(sketch.sketch(""), own[0]) == 0.0
+    assert sketch.likeness(sketch.sketch("A b"), sketch.sketch("a  b")) == 1.0
+
+
+def test_a_very_long_text_and_one_id_for_all(spark):
+    rows = [(None, f"t{i} " * 50) for i in range(60)] + [(None, "lorem " * 200_000 + "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sketch.sketched(df).collect()
+    assert len(got) == 61 and max(r.n_chars for r in got) == 1_200_001
+    assert len({r.fingerprint for r in got}) == 61
