@@ -1,16 +1,19 @@
 """Embedding near-duplicates: navigable small-world graphs, one a shard, and every shard queried.
 
-Equal vectors of a label are one class first, with a count. A label's classes are dealt to shards of about SHARD vectors
-by a hash; a shard builds its hierarchical graph, and audits it: members turned away to the threshold cosine must be
-found again, and the beam is widened until enough are. Each block of queries (the shards' own members) searches every
-graph of its label. A query whose beam is full of links may have more of them, so it is compared with the whole shard. What the search finds is verified in double precision; found links make local components, in
-which all pairs of queries and members are then compared exactly, in blocks, so a dense group's counts don't hang on
-the beam. A task gives counts and one link from each vector to its local component's smallest, never pairs. Local
-components join over all shards by alternating stars.
+Equal vectors of a label are one class first, with a number of its own and a count. A label's classes are dealt to shards
+of about SHARD vectors by a hash; a shard builds its hierarchical graph, and audits it: members turned away to the threshold
+cosine must be found again, and the beam is widened until enough are. Each block of queries (the shards' own members) goes
+to every graph of its label: graphs are dealt to lanes, a lane's task takes its graph first and then the blocks one by one,
+so only queries are copied. A query whose beam is full of links may have more of them, so it is compared with the
+whole shard. What the search finds is verified in double precision; found links make local components, in which all pairs of
+queries and members are then compared exactly, in blocks, so a dense group's counts don't hang on the beam. A task gives
+counts and one link from each vector to its local component's smallest, never pairs. Local components join over all shards
+by alternating stars.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or
 a null id, link with nothing: no links, a component of their own, kept. Vectors of another length than the label's
-most common one form shards of their own. Each row is a vector, so a repeated row links with its copy. Only the id, vector
+most common one form shards of their own. Each row is a vector, so a repeated row links with its copy, and rows that share
+an id are linked, or not, each for itself; component_id is the smallest id of the rows reached. Only the id, vector
 and label columns are read, so extra columns can't clash.
 """
 
@@ -33,6 +36,8 @@ BEAM = 48
 #: Members that an audit turns away and looks for, and the share that must be found.
 AUDIT, RECALL = 256, 0.985
 QUERIES = 512
+#: Tasks that share the queries of one graph.
+LANES = 4
 
 
 class Graph:
@@ -256,29 +261,43 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD)
     schema = pa.schema([("label", pa.int64()), ("size", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("mult", pa.binary()), ("x", pa.binary()), ("layers", pa.binary()), ("width", pa.int32())])
     ddl = "label long, size int, shard long, ids binary, mult binary, x binary, layers binary, width int"
     graphs = stored(dealt.select("label", "size", "shard", "id", "mult", "vector").groupBy("label", "size", "shard").applyInArrow(build, ddl), "graphs")
-    blocks = graphs.select("label", "size", F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"))
-    pairs = graphs.hint("merge").join(blocks.hint("merge"), ["label", "size"]).repartition(n, "label", "size", "shard", "block")
+    lane = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
+    first = graphs.select("label", "size", "shard", lane, F.lit(-1).cast("long").alias("block"), "ids", "mult", "x", "layers", "width")
+    empty = F.lit(None).cast("binary")
+    blocks = graphs.select("label", "size", F.col("shard").alias("block"), "ids", empty.alias("mult"), "x", empty.alias("layers"), F.lit(None).cast("int").alias("width"))
+    every = graphs.select("label", "size", "shard")  # numbers only: what is copied to each shard is the block of queries
+    blocks = blocks.hint("merge").join(every.hint("merge"), ["label", "size"]).withColumn("lane", F.pmod("block", F.lit(LANES)).cast("int"))
+    place = ["label", "size", "shard", "lane"]
+    both = first.unionByName(blocks).repartition(n, *place).sortWithinPartitions(*place, "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = None
         for b in batches:
             for r in range(b.num_rows):
-                size, ids_, mult_, x_, layers, width, q_ids_, q_ = (b.column(c)[r].as_py() for c in ("size", "ids", "mult", "x", "layers", "width", "q_ids", "q"))
-                ids, mult, q_ids = (np.frombuffer(v, np.int64) for v in (ids_, mult_, q_ids_))
-                x, q = np.frombuffer(x_).reshape(-1, size), np.frombuffer(q_).reshape(-1, size)
-                g = Graph.__new__(Graph)
-                g.x, g.layers, g.links, at = x.astype(np.float32), [], [], 8
-                for _ in range(int(np.frombuffer(layers, np.int64, 1)[0])):
-                    m = int(np.frombuffer(layers, np.int64, 1, at)[0])
-                    nodes = np.frombuffer(layers, np.int64, m, at + 8)
-                    links = np.full((len(x), OWN + ADDED), -1, np.int32)
-                    links[nodes] = np.frombuffer(layers, np.int32, m * (OWN + ADDED), at + 8 + 8 * m).reshape(m, -1)
-                    at += 8 + 8 * m + 4 * m * (OWN + ADDED)
-                    g.layers.append(nodes)
-                    g.links.append(links)
-                found = compared(g, width, ids, mult, x, q_ids, q, threshold)
+                size, block, ids_, mult_, x_, layers, width_ = (b.column(c)[r].as_py() for c in ("size", "block", "ids", "mult", "x", "layers", "width"))
+                if block < 0:
+                    width, ids, mult, x = width_, np.frombuffer(ids_, np.int64), np.frombuffer(mult_, np.int64), np.frombuffer(x_).reshape(-1, size)
+                    graph = opened(x, layers)
+                    continue
+                found = compared(graph, width, ids, mult, x, np.frombuffer(ids_, np.int64), np.frombuffer(x_).reshape(-1, size), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["node", "links", "root"])
 
-    return stored(pairs.mapInArrow(search, "node long, links long, root long"), "found")
+    return stored(both.mapInArrow(search, "node long, links long, root long"), "found")
+
+
+def opened(x: np.ndarray, layers: bytes) -> Graph:
+    """A graph from its vectors and the bytes of its layers."""
+    g = Graph.__new__(Graph)
+    g.x, g.layers, g.links, at = x.astype(np.float32), [], [], 8
+    for _ in range(int(np.frombuffer(layers, np.int64, 1)[0])):
+        m = int(np.frombuffer(layers, np.int64, 1, at)[0])
+        nodes = np.frombuffer(layers, np.int64, m, at + 8)
+        links = np.full((len(x), OWN + ADDED), -1, np.int32)
+        links[nodes] = np.frombuffer(layers, np.int32, m * (OWN + ADDED), at + 8 + 8 * m).reshape(m, -1)
+        at += 8 + 8 * m + 4 * m * (OWN + ADDED)
+        g.layers.append(nodes)
+        g.links.append(links)
+    return g
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
@@ -289,16 +308,17 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     fine = F.coalesce(fine & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False))
     some = stored(some.withColumn("vector", F.when(fine, F.transform(v, lambda x: x + 0.0))), "vectors")  # + 0.0: no negative zeros
     good = some.where("vector is not null")
-    classes = stored(good.groupBy("label", "vector").agg(F.min("id").alias("own"), F.count("*").alias("mult")), "classes")
-    found = linked(classes.select(F.col("own").alias("id"), "label", F.size("vector").alias("size"), "vector", "mult"), threshold, shard)
+    classes = good.groupBy("label", "vector").agg(F.min("id").alias("own"), F.count("*").alias("mult"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # numbers are fixed once written
+    found = linked(classes.select(F.col("node").alias("id"), "label", F.size("vector").alias("size"), "vector", "mult"), threshold, shard)
     reach = components(found.select("node", "root"), "node", "root").withColumnRenamed("root", "least")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    known = classes.hint("merge").join(links.hint("merge"), F.col("own") == F.col("node"), "left").drop("node")
-    known = known.hint("merge").join(reach.hint("merge"), F.col("own") == F.col("node"), "left")
-    known = known.select(
-        "label", "vector", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "own").alias("component_id")
-    )
-    out = good.hint("merge").join(known.hint("merge"), ["label", "vector"]).select("id", "n_links", "component_id")
+    known = classes.hint("merge").join(links.hint("merge"), "node", "left").hint("merge").join(reach.hint("merge"), "node", "left")
+    known = stored(known.select("label", "vector", "own", "mult", "links", F.coalesce("least", "node").alias("root")), "known")
+    least = known.groupBy("root").agg(F.min("own").alias("component_id"))
+    known = known.withColumn("n_links", F.col("mult") - 1 + F.coalesce("links", F.lit(0))).hint("merge").join(least.hint("merge"), "root")
+    out = good.hint("merge").join(known.select("label", "vector", "n_links", "component_id").hint("merge"), ["label", "vector"])
+    out = out.select("id", "n_links", "component_id")
     out = out.union(some.where("vector is null").select("id", F.lit(0).cast("long"), "id"))
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

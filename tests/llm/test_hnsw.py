@@ -64,6 +64,15 @@ def test_matches_brute_force(spark, shard):
     assert off <= 0.02 * true and same >= 0.98 * len(want)
 
 
+def test_rows_that_share_an_id(spark):
+    """Two vectors with one id are two rows: they link with each other, or each with its own label's."""
+    a, b, c = [1.0, 0.0, 0.02], [1.0, 0.02, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 0), (5, b, 0), (1, a, 1), (1, c, 0), (2, a, 1), (1, c, 2), (3, a, 2), (7, c, 3), (7, c, 3)]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(5, 1, 5, True), (5, 1, 5, True), (1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (1, 0, 1, True), (3, 0, 3, True), (7, 1, 7, True), (7, 1, 7, True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hnsw.near_duplicates(df).count() == 0
