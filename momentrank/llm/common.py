@@ -15,7 +15,7 @@ from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python pattern of one word: a run of anything but ASCII white space.
@@ -69,6 +69,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken, name = {c.lower() for c in df.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_marks(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row, 128 bits together; rows that share both are taken as equal."""
+    columns = [F.to_json(F.struct(f"`{c}`")) if "map<" in t or "variant" in t else F.col(f"`{c}`") for c, t in df.dtypes]
+    return F.xxhash64(*columns), F.xxhash64(F.lit("again"), *columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,8 +10,9 @@ Running sums need no task that sees a whole source: a source's order is cut into
 sums are added up first, and a document adds only within its bucket.
 
 Defined results: null text has size 0; a null source is a source of its own, last; a document of size 0, or of a
-source with target 0, is never taken and has no position; rows that repeat an id are documents of their own. Only
-the id, text and source columns are read, so extra columns can't clash.
+source with target 0, is never taken and has no position; rows that repeat an id, or have none, are documents of their
+own, told apart by hashes of the whole row; equal rows are taken as often as there are. ``mix`` reads only the id, text and
+source columns; ``mixed`` takes names for its own columns that the documents don't have.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, fresh, row_marks, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SLOPES = (-0.5, 0.0, 0.5)
@@ -59,9 +60,12 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     buckets: int = 4096,
+    marks: Sequence[Column] = (),
 ) -> DataFrame:
     """``doc_id, source, size, source_size, slope, target, start, taken, position`` for each row of ``docs``.
 
+    ``marks`` are passed on as ``mark0``, ``mark1`` and so on, and put rows that share id and size in order.
+
     ``taken``: words that the mix takes, repeats counted: all of the document in each whole pass over the source, and
     in the last pass as far as the source's target reaches. ``position``: training time of its first word.
     """
@@ -69,7 +73,8 @@ def mix(
     turn = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     bucket = F.pmod(F.conv(F.substring(turn, 1, 8), 16, 10).cast("long"), F.lit(buckets))
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), turn.alias("turn")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), turn.alias("turn"),
+        *[m.alias(f"mark{i}") for i, m in enumerate(marks)],
     ).withColumn("bucket", bucket)
     sized = stored(sized, "sizes")
     sums = stored(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
@@ -79,7 +84,8 @@ def mix(
     sums = sums.join(sources.withColumnRenamed("source", "s").hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
     sums = stored(sums, "offsets").withColumnsRenamed({"source": "s", "bucket": "b"})
     both = sized.hint("merge").join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    before = W.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    names = [f"mark{i}" for i in range(len(marks))]
+    before = W.partitionBy("source", "bucket").orderBy("turn", "doc_id", "size", *names).rowsBetween(W.unboundedPreceding, -1)
     both = both.withColumn("start", F.col("first") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     some = (F.col("size") > 0) & (F.col("target") > 0)
     whole = F.floor(F.col("target") / F.col("source_size"))
@@ -88,31 +94,34 @@ def mix(
     taken = F.when(some, taken).otherwise(0).cast("long")
     return both.withColumn("taken", taken).select(
         "doc_id", "source", "size", "source_size", "slope", "target", "start", "taken",
-        F.when(F.col("taken") > 0, reached(F.col("start") / F.col("target"), F.col("slope"))).alias("position"),
+        F.when(F.col("taken") > 0, reached(F.col("start") / F.col("target"), F.col("slope"))).alias("position"), *names,
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The training stream: the columns of ``docs``, a row for each pass that takes a document, sorted by position.
 
-    The row of a pass that takes a part has the text's first words, white space kept. Ids must be unique.
+    The row of a pass that takes a part has the text's first words, white space kept.
     """
-    found = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    found = mix(docs, id_col, text_col, source_col, marks=row_marks(docs), **options).where("taken > 0")
     passes = F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("size")) - 1).cast("int"))
     found = found.withColumn("pass", F.explode(passes))
     demand = F.least((F.col("start") + F.col("pass") * F.col("source_size")) / F.col("target"), F.lit(1.0))
-    found = found.select(
-        F.col("doc_id").alias("__id"),
-        reached(demand, F.col("slope")).alias("__position"),
-        F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size")).cast("int").alias("__words"),
-        (F.col("taken") - F.col("pass") * F.col("size") < F.col("size")).alias("__cut"),
-    )
+    left = F.col("taken") - F.col("pass") * F.col("size")
+    names = ["mark0", "mark1", "pass", "position", "words", "cut"]
+    own = dict(zip(names, (fresh(docs, f"mixed_{n}") for n in names)))
+    place = reached(demand, F.col("slope"))
+    found = found.select("mark0", "mark1", "pass", place.alias("position"), F.least("size", left).cast("int").alias("words"), (left < F.col("size")).alias("cut"))
     found = stored(found, "positions")
+    marked = docs.withColumns(dict(zip((own["mark0"], own["mark1"]), row_marks(docs))))
+    if found.groupBy("mark0", "mark1", "pass").count().where("count > 1").take(1):
+        marked = marked.dropDuplicates([own["mark0"], own["mark1"]])  # equal rows meet all their places once
+    found = found.withColumnsRenamed(own)
     ends = F.split(text_col, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    text = F.when(F.col("__cut"), F.array_join(F.slice(ends, 1, F.col("__words")), "")).otherwise(F.col(text_col))
-    rows = docs.hint("merge").join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
+    text = F.when(F.col(own["cut"]), F.array_join(F.slice(ends, 1, F.col(own["words"])), "")).otherwise(F.col(text_col))
+    rows = marked.hint("merge").join(found.hint("merge"), [own["mark0"], own["mark1"]])
     rows = rows.withColumn(text_col, text)
-    return rows.orderBy("__position", id_col).select(docs.columns)
+    return rows.orderBy(own["position"], id_col).select([f"`{c}`" for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, runs, stored, words
+from .common import components, fresh, partitions, row_marks, runs, stored, words
 
 SHINGLE = 3
 SEED = 42
@@ -200,17 +200,19 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Components are kept by row, so those with equal or null ids keep a row each. Rows that are equal count once.
     """
-    mark = F.xxhash64(*[F.col(c) for c, t in docs.dtypes if "map<" not in t])
+    mark = row_marks(docs)[0]
     prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark")), "prints")
     root = rooted(prints).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
     of = prints.groupBy("fp").agg(first).hint("merge").join(root.hint("merge"), "fp").groupBy("root").agg(F.min("row").alias("row"))
-    kept = stored(of.select(F.col("row.doc_id").alias("__kept"), F.col("row.mark").alias("__mark")), "kept")
-    same = (F.col("__own") == F.col("__mark")) & F.col(id_col).cast("long").eqNullSafe(F.col("__kept"))
-    one = docs.withColumn("__own", mark).hint("merge").join(kept.hint("merge"), same, "left_semi")
-    copies = prints.hint("merge").join(kept.hint("merge"), (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = stored(of.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark")), "kept")
+    own, kept_id, kept_mark = (fresh(docs, f"simhash_{n}") for n in ("mark", "id", "kept"))
+    heads = kept.withColumnsRenamed({"kept_id": kept_id, "kept_mark": kept_mark}).hint("merge")
+    same = (F.col(own) == F.col(kept_mark)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id))
+    one = docs.withColumn(own, mark).hint("merge").join(heads, same, "left_semi")
+    copies = prints.hint("merge").join(kept.hint("merge"), (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     copies = copies.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
-    return (one.dropDuplicates([id_col, "__own"]) if copies.take(1) else one).drop("__own")
+    return (one.dropDuplicates([id_col, own]) if copies.take(1) else one).drop(own)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,33 @@ def test_stream_is_sorted_cut_and_repeated(spark):
     assert counts == {k: v for k, v in taken.items() if v}
 
 
+def test_stream_of_repeated_and_missing_ids(spark):
+    """Rows that share an id, or the whole row, are taken as ``mix`` says, whatever their other columns are called."""
+    rows = [(1, "a b c d e", "s"), (1, "f g h i j", "s"), (None, "k l m", "s"), (None, "n o p", "t"), (2, "q r", "t"), (2, "q r", "t"), (2, "q r", "t"), (3, None, "s"), (4, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = df.selectExpr("*", "'x' AS mixed_position", "1 AS mixed_mark0", "map('a', 1) AS words", "2 AS pass", "3 AS cut")
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    got, texts = {}, set()
+    stream = mixing.mixed(df)
+    assert stream.columns == df.columns
+    for r in stream.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+        texts.add((r.doc_id, r.text.split()[0]))
+    assert got == {k: v for k, v in want.items() if v}
+    assert {(1, "a"), (1, "f")} & texts and {(None, "k"), (None, "n")} & texts
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w" * 3_000_000, "a"), (2, "x y " * 300_000, "a"), (3, "z", "b")], "doc_id long, text string, source string")
+    want = {r.doc_id: r.taken for r in mixing.mix(df).collect() if r.taken}
+    got = {}
+    for r in mixing.mixed(df).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
+    assert got == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(df).count() == 0 and mixing.mixed(df).count() == 0
