@@ -9,12 +9,14 @@ Labels say toxic or not. The grades are 0 for a document that is not labelled to
 where it has more than the median number of the words that mark the toxic sample. A labelled text without any such
 word is grade 1 all the same.
 
-The model is fitted on the driver from a bounded sample: the ``sample`` labelled documents with the smallest hash of
-their id, cut to ``vocabulary`` words. Scoring is a row-wise function that keeps the row where it is.
+The model is fitted on the driver from a bounded sample: of labelled documents with at most ``longest`` characters, the
+``sample`` with the smallest hash of their id, one row an id; of their words, ``vocabulary`` at most are weighed. The severity from
+which a document is rejected is chosen on a quarter of the sample that a first fit has not seen. Scoring takes whole
+texts of any length; it is a row-wise function that keeps the row where it is.
 
 Defined results: a null or empty text has severity by its thresholds alone, which is that of a clean text; with no
-labelled rows, or none toxic, all severities are 0. Rows that repeat an id are scored each for itself. Features come
-from the text column only, so extra columns can't clash.
+labelled rows, or none toxic, all severities are 0 and nothing is rejected. Rows that repeat an id are scored each for
+itself. Features come from the text column only, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -34,9 +36,12 @@ from .common import stored
 #: Labelled documents and words that the model is fitted on; the bounds of what reaches the driver.
 SAMPLE = 6000
 VOCABULARY = 5000
+LONGEST = 20_000
 GRADES = 3
-#: Expected severity from which a document is rejected; clean texts stay far below.
+#: Expected severity from which a document is rejected where the sample is too small to choose one.
 REJECT = 0.2
+#: A clean document that is rejected weighs as much as this many toxic ones that are kept, when the severity is chosen.
+CARE = 5
 #: Lengths of the word beginnings that are features too.
 STEMS = (5, 7)
 #: Words whose features a worker remembers.
@@ -61,6 +66,7 @@ def counts(text: str | None) -> Counter:
 class Model:
     weights: dict[str, float]
     thresholds: list[float]
+    reject: float = REJECT
 
     def __post_init__(self) -> None:
         self.known: dict[str, list[str]] = {}
@@ -134,23 +140,52 @@ def fit(texts: list[str | None], toxic: list[int], vocabulary: int = VOCABULARY,
     return Model({f: float(x[i]) for f, i in at.items()}, [float(t) for t in ordered(x)])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """``text, label`` of the ``sample`` labelled documents with the smallest hash of their id; an id counts once.
-
-    The ids are chosen before a text is read, and are at most ``sample``, so the join broadcasts them.
+def rejecting(severities: np.ndarray, toxic: np.ndarray) -> float:
+    """The severity with the least weighed errors; of a range without any in it, the middle by ratio."""
+    if toxic.sum() < 10 or (~toxic).sum() < 10:
+        return REJECT
+    at = np.unique(severities)
+    kept_toxic = np.searchsorted(np.sort(severities[toxic]), at, "left")
+    lost_clean = (~toxic).sum() - np.searchsorted(np.sort(severities[~toxic]), at, "left")
+    cost = np.append(kept_toxic + CARE * lost_clean, toxic.sum())
+    best = int(cost.argmin())
+    low = at[best - 1] if best else at[0] / 2
+    high = at[best] if best < len(at) else GRADES - 1.0
+    return float(np.sqrt(max(low, 1e-6) * max(high, 1e-6)))
+
+
+def fit_and_choose(texts: list[str | None], toxic: list[int], **options) -> Model:
+    """A model of all rows, with the severity that a model of three quarters of them chooses on the fourth."""
+    fourth = [i % 4 == 3 for i in range(len(texts))]
+    some = lambda values, own: [v for v, f in zip(values, fourth) if f == own]
+    first = fit(some(texts, False), some(toxic, False), **options)
+    seen = np.array([first.severity(t) for t in some(texts, True)])
+    model = fit(texts, toxic, **options)
+    if first.thresholds and model.thresholds:
+        model.reject = rejecting(seen, np.array(some(toxic, True), bool))
+    return model
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, longest: int | None = None) -> DataFrame:
+    """``doc_id, text, label`` of the ``sample`` labelled documents with the smallest hash of their id, one row an id.
+
+    The ids are chosen before a text is read, and are at most ``sample``, so the join broadcasts them. Of rows that share an
+    id the one with the smallest hash of its text counts. Texts of over ``longest`` characters are not chosen.
     """
     order = [F.xxhash64("doc_id"), "doc_id"]
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    docs = docs.select("doc_id", "text") if longest is None else docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
     there = docs.select(F.col("doc_id").alias("id")).distinct()
     ids = ids.hint("merge").join(there.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").orderBy(*order).limit(sample)
     ids = stored(ids.withColumnRenamed("doc_id", "id"), "sample")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
-    return texts.select("doc_id", "text", "label")
+    texts = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    return texts.groupBy("doc_id", "label").agg(one).select("doc_id", F.col("one.text").alias("text"), "label")
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = labelled(docs, labels, "toxic", sample).orderBy("doc_id", "text").toPandas()
-    return fit(rows["text"].tolist(), [int(x > 0) for x in rows["label"]])
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    rows = labelled(docs, labels, "toxic", sample, longest).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    return fit_and_choose(rows["text"].tolist(), [int(x > 0) for x in rows["label"]])
 
 
 def severity(spark: SparkSession, model: Model, text: str | Column = "text") -> Column:
@@ -164,14 +199,15 @@ def severity(spark: SparkSession, model: Model, text: str | Column = "text") ->
     return score(text)
 
 
-def tolerable(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` whose expected severity is under ``reject``."""
+def tolerable(docs: DataFrame, labels: DataFrame, reject: float | None = None) -> DataFrame:
+    """The rows of ``docs`` whose expected severity is under ``reject``, by default the model's own."""
     spark = docs.sparkSession
-    return docs.where(severity(spark, trained(docs, labels)) < reject)
+    model = trained(docs, labels)
+    return docs.where(severity(spark, model) < (model.reject if reject is None else reject))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select("doc_id", F.round(severity(spark, model), 6).alias("severity"))
-    return rows.withColumn("toxic", F.col("severity") >= REJECT)
+    return rows.withColumn("toxic", F.col("severity") >= model.reject)

@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import pytest
 
 from momentrank.llm import toxicity
 
@@ -45,3 +48,60 @@ def test_no_labels_rejects_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.tolerable(docs, none).count() == 1
     assert toxicity.tolerable(docs.where("false"), none).count() == 0
+
+
+def loss(weights, thresholds, rows, decay=2e-4):
+    """Penalised mean of -log P(grade), row by row, as the model is defined."""
+    out = 0.0
+    for found, grade in rows:
+        z = sum(weights[f] * (1 + math.log(c)) for f, c in found.items() if f in weights)
+        over = [1.0] + [1 / (1 + math.exp(t - z)) for t in thresholds] + [0.0]
+        out -= math.log(max(over[grade] - over[grade + 1], 1e-12))
+    return out / len(rows) + decay / 2 * sum(w * w for w in weights.values())
+
+
+def test_fit_is_at_the_minimum_of_the_loss():
+    rows = made(240)
+    texts, flags = [r[1] for r in rows], [r[2] for r in rows]
+    m = toxicity.fit(texts, flags, rounds=3000)
+    kept, marks = toxicity.telling(texts, flags)
+    bags = [{f: c for f, c in toxicity.counts(t).items() if f in m.weights} for t in texts]
+    hits = [sum(c for f, c in b.items() if f in marks) for b in bags]
+    middle = np.median([h for h, t in zip(hits, flags) if t and h])
+    graded = [(b, 1 + int(h > middle) if t else 0) for b, h, t in zip(bags, hits, flags)]
+    least = loss(m.weights, m.thresholds, graded)
+    for f in list(m.weights)[:12]:
+        for step in (-0.05, 0.05):
+            assert loss({**m.weights, f: m.weights[f] + step}, m.thresholds, graded) > least - 1e-6
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            moved = [t + step * (i == k) for i, t in enumerate(m.thresholds)]
+            assert loss(m.weights, moved, graded) > least - 1e-6
+
+
+def test_severity_is_the_expected_grade():
+    m = toxicity.Model({"nasty": 2.0, "nasty-": 0.5, "vile": 1.0}, [1.0, 3.0])
+    for text in (None, "", "nasty", "Nasty, nastyish vile vile", "fine words"):
+        found = toxicity.counts(text)
+        z = sum(w * (1 + math.log(found[f])) for f, w in m.weights.items() if found[f])
+        assert m.severity(text) == pytest.approx(sum(1 / (1 + math.exp(t - z)) for t in m.thresholds))
+    assert m.severity("nasty " * 2_000_000) <= 2  # a very long text, whole
+
+
+def test_the_severity_is_chosen_between_the_classes():
+    low, high = np.linspace(0.001, 0.01, 50), np.linspace(0.4, 2, 50)
+    toxic = np.r_[np.zeros(50, bool), np.ones(50, bool)]
+    assert 0.01 < toxicity.rejecting(np.r_[low, high], toxic) < 0.4
+    assert toxicity.rejecting(np.r_[low, high], np.zeros(100, bool)) == toxicity.REJECT
+    even = np.full(100, 0.5)  # ties of both classes: nothing that is clean may go
+    assert toxicity.rejecting(even, toxic) > 0.5
+
+
+def test_the_sample_has_a_row_an_id_and_bounded_texts(spark):
+    rows = [(1, f"text {i}", "x") for i in range(50)] + [(2, "y" * 30_000, "x"), (3, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, "toxic", 10, toxicity.LONGEST).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
+    assert [r.doc_id for r in toxicity.labelled(docs, labels, "toxic", 10).collect() if r.text and len(r.text) > 20_000] == [2]
+    assert toxicity.tolerable(docs, labels).columns == docs.columns
