@@ -1,16 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Training text is counted in two steps: a task sums what it reads in bounded blocks, and sends each bucket of the hash
-space its packed keys and counts; a bucket sums them and becomes a segment: exact counts of its words, and a Bloom filter
-that holds (n-gram, 1) ... (n-gram, q) for a count of quantised level q = 1 + floor(log2 count). A count is read
-back by probing levels until one is missing, as its level's smallest count, or largest where it divides.
-
-Segments go to the workers as broadcasts of their own. All of them grow with the text, but a segment holds
-1/buckets of it, is checked to be SEGMENT_MB at most, and a worker loads one at a time, for a block of documents.
-
-The n-gram probability ``(c(hw) + MU p(w | shorter h)) / (c(h) + MU)`` starts from the base probability of the word. A
-text's score multiplies over spans of SPAN tokens the mixture of base and n-gram probability of the whole span, so
-text unlike the training text costs little over the base, and repeated passages gain.
+Documents are cut into blocks of some million tokens, which are written once as word hashes and word numbers. A block's
+distinct n-grams, each with its count in the block's training documents, go to the owner of their part of the hash space.
+An owner sums the counts and builds its segment: exact counts of its words, and for each order a Bloom filter that holds
+(n-gram, 1) ... (n-gram, q) for a count of quantised level q = 1 + floor(log c / log BASE). It answers every n-gram that came by
+probing levels until one is missing; the answers go back to the blocks, which add up their documents' scores. So the filter
+grows with the text, in segments of bounded size that never leave their owners: neither the driver nor a worker
+holds all of it, and each n-gram of a block moves once each way.
+
+A level is read back as its smallest count. Orders are interpolated with absolute discounts: p(w | h) = (c(hw) - D) / c(h) +
+g(h) p(w | shorter h), where a context that training has not seen leaves p(w | shorter h) as it is. An order's discount D is
+n1 / (n1 + 2 n2), with the numbers of its n-grams that occur once and twice. How many different words follow a context is not
+in the filter; it is taken to grow in line with the context's count, from 1 at 1, so that the order's distinct n-grams come
+out right in total: g(h) is that number times D over c(h). The lowest order is the base's.
 
 Defined results: a null text is empty, and an empty text has one token, its end. A null id counts as ''. Rows that
 repeat an id are scored each for itself. With no training text, all counts are 0 and the base is log10(1) a token.
@@ -21,30 +23,32 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, words
+from .common import partitions, runs, stored, words
 
-ORDER = 2
+ORDER = 3
 #: Probes an entry; each entry has PROBES / ln 2 bits, so a missing n-gram passes once in 2**PROBES.
 PROBES = 10
-MU = 4.0
-SPAN = 64
-#: Weight of the n-gram probability in a span's mixture.
-TRUST = 0.05
-#: Tokens that a task works on at once, and n-grams that it holds before it sends them.
-BLOCK = 800_000
-HOLD = 3_000_000
-SEGMENT_MB = 256
+#: A level holds counts up to BASE times its smallest: 1; none; 2; 3; 4 and 5; 6 and 7; 8 to 11; ...
+BASE = math.sqrt(2)
+#: Tokens of a block, and bytes of text that a segment is for.
+BLOCK = 1_000_000
+SEGMENT = 16 << 20
 
 U = np.uint64
-KEY = U((1 << 40) - 1)
+LOW = U((1 << 32) - 1)
 FIRST, LAST = (U(xxhash.xxh64_intdigest(x)) for x in (b"\t", b"\n"))  # no words
+#: The smallest count of each level.
+VALUE = np.array([0.0, *(math.ceil(round(BASE**q, 9)) for q in range(120))])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -55,13 +59,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key >> U(40)) * U(n) >> U(24)).astype(np.int32)
+    """Which of n parts of the hash space a 64-bit key is in."""
+    return (key >> U(32)) * U(n) >> U(32)
+
+
+def deflated(values: np.ndarray) -> bytes:
+    """Integers as compressed planes of their bytes, which are alike."""
+    return zstandard.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def inflated(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 class Block:
     """Tokens of some texts in one array: a start mark, the words and the end of each."""
 
-    def __init__(self, texts: list[str | None], order: int) -> None:
+    def __init__(self, types: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        self.types, self.ids, self.size = types, ids, size
+        self.first = np.r_[0, np.cumsum(size)[:-1]].astype(np.int64)
+        self.place = np.arange(len(ids)) - np.repeat(self.first, size)
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Block:
         at: dict[bytes, int] = {}
         hashes, ids, size = [FIRST, LAST], [], []
         for t in texts:
@@ -74,22 +95,21 @@ class Block:
                             at[x] = len(hashes)
                             hashes.append(U(xxhash.xxh64_intdigest(x)))
                         own[i] = at[x]
-            ids.append(np.array([0, *own, 1], np.int32))
+            ids.append(np.array([0, *own, 1], np.uint32))
             size.append(len(w) + 2)
-        self.types = np.array(hashes, U)
-        self.ids = np.concatenate([np.zeros(0, np.int32), *ids])
-        self.size = np.array(size, np.int64)
-        self.first = np.r_[0, np.cumsum(self.size)[:-1]].astype(np.int64)
-        self.place = np.arange(len(self.ids)) - np.repeat(self.first, self.size)
+        return Block(np.array(hashes, U), np.concatenate([np.zeros(0, np.uint32), *ids]), np.array(size, np.int64))
+
+    def grams(self, n: int, order: int) -> dict[int, np.ndarray]:
+        """For each order, each token's key: its bucket, and 32 bits; meant where a context of that length is inside the text."""
         word = self.types[self.ids]
-        self.grams = {}  # of each order: a key for each token; valid where a context of that length is inside the text
-        key = word
-        for n in range(2, order + 1):
-            key = mixed(np.r_[U(0), key[:-1]] * U(0x9E3779B97F4A7C15) + word + U(n))
-            self.grams[n] = key
+        out, key = {}, word
+        for k in range(2, order + 1):
+            key = mixed(np.r_[U(0), key[:-1]] * U(0x9E3779B97F4A7C15) + word + U(k))
+            out[k] = bucket(key, n) << U(32) | key & LOW
+        return out
 
-    def inside(self, n: int) -> np.ndarray:
-        return self.place >= n - 1
+    def inside(self, k: int) -> np.ndarray:
+        return self.place >= k - 1
 
 
 def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -97,22 +117,12 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
     for b in batches:
         texts, start, held = b.column("text").to_pylist(), 0, 0
         for i, t in enumerate(texts):
-            held += len(t or "") // 5 + 2
+            held += len(t or "") // 6 + 2
             if held >= BLOCK or i == len(texts) - 1:
                 yield b.slice(start, i + 1 - start), texts[start : i + 1]
                 start, held = i + 1, 0
 
 
-def packed(key: np.ndarray, width: int) -> bytes:
-    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def unpacked(data: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
-
-
 def summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     by = np.argsort(key)
     key, count = key[by], count[by]
@@ -120,40 +130,34 @@ def summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(count, first) if len(first) else count[:0]
 
 
-def probes(key: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
-    a = mixed(key * U(64) + U(level))
-    step = mixed(a + U(1)) | U(1)
-    for i in range(PROBES):
-        yield (a + U(i) * step) % U(bits)
-
-
 def levels(count: np.ndarray) -> np.ndarray:
-    return np.frexp(count.astype(float))[1]  # 1 + floor(log2 count)
+    """The last level whose smallest count is not above the count; 0 for 0."""
+    return np.searchsorted(VALUE, count, "right") - 1
 
 
 class Filter:
-    def __init__(self, data: np.ndarray, bits: int) -> None:
-        self.data, self.bits = data, bits
+    """(key, 1) ... (key, level) of each key, in one bit array."""
 
-    @staticmethod
-    def built(key: np.ndarray, count: np.ndarray) -> Filter:
+    def __init__(self, key: np.ndarray, count: np.ndarray) -> None:
         level = levels(count)
-        bits = max(64, math.ceil(int(level.sum()) * PROBES / math.log(2)))
-        flags = np.zeros(bits, bool)
+        self.bits = max(64, math.ceil(int(level.sum()) * PROBES / math.log(2)))
+        flags = np.zeros(self.bits, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
-            for at in probes(key[level >= q], q, bits):
-                flags[at] = True
-        return Filter(np.packbits(flags, bitorder="little"), bits)
+            a, step = self.start(key[level >= q], q)
+            for i in range(PROBES):
+                flags[(a + U(i) * step) % U(self.bits)] = True
+        self.data = np.packbits(flags, bitorder="little")
+
+    def start(self, key: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        a = mixed(key * U(256) + U(q))
+        return a, mixed(a + U(1)) | U(1)
 
     def level(self, key: np.ndarray) -> np.ndarray:
         """The quantised level of each key's count; 0 for what isn't there."""
-        out, some = np.zeros(len(key), np.int64), np.arange(len(key))
-        q = 0
+        out, some, q = np.zeros(len(key), np.uint8), np.arange(len(key)), 0
         while len(some):
             q += 1
-            own = key[some]
-            a = mixed(own * U(64) + U(q))
-            step = mixed(a + U(1)) | U(1)
+            a, step = self.start(key[some], q)
             alive = np.arange(len(some))
             for i in range(PROBES):
                 at = (a[alive] + U(i) * step[alive]) % U(self.bits)
@@ -163,151 +167,160 @@ class Filter:
         return out
 
 
-def segments(texts: DataFrame, order: int, n: int) -> DataFrame:
-    """``bucket, tokens, types, data``: a segment of each bucket, from a column ``text``."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {k: [] for k in range(1, order + 1)}
-
-        def flush(k: int) -> Iterator[pa.RecordBatch]:
-            key, c = summed(*(np.concatenate(x) for x in zip(*held[k])))
-            held[k] = []
-            b = bucket(key, n)
-            edges = np.searchsorted(b, np.arange(n + 1))  # keys are sorted, and so their buckets
-            width = 8 if k == 1 else 5
-            some = [i for i in range(n) if edges[i] < edges[i + 1]]
-            parts = [slice(edges[i], edges[i + 1]) for i in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([k] * len(some), pa.int32()), pa.array([packed(key[p], width) for p in parts], pa.binary()),
-                 pa.array([c[p].astype("<u4").tobytes() for p in parts], pa.binary())], ["bucket", "k", "keys", "counts"],
-            )
-
-        for _, some in blocks(batches):
-            block = Block(some, order)
-            counts = np.bincount(block.ids, minlength=2)
-            counts[0] = 0
-            used = np.flatnonzero(counts)
-            held[1].append((block.types[used], counts[used]))
-            for k, key in block.grams.items():
-                key = np.sort(key[block.inside(k)])
-                first = np.flatnonzero(np.r_[len(key) > 0, key[1:] != key[:-1]])
-                held[k].append((key[first], np.diff(np.r_[first, len(key)])))
-            for k in held:
-                if sum(len(x) for x, _ in held[k]) > HOLD:
-                    yield from flush(k)
-        for k in held:
-            if held[k]:
-                yield from flush(k)
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], list] = {}
+def written(rows: DataFrame) -> DataFrame:
+    """``block, doc_id, held_out, size, types, ids``: arrays over a block's documents, and its words."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for b, texts in blocks(batches):
+            block = Block.of(texts)
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c))
+            columns = [pa.array([number]), whole("doc_id"), whole("held_out"), *([deflated(x)] for x in (block.size, block.types, block.ids))]
+            yield pa.RecordBatch.from_arrays([*columns[:3], *(pa.array(c, pa.binary()) for c in columns[3:])], ["block", "doc_id", "held_out", "size", "types", "ids"])
+            number += 1
+
+    return stored(rows.mapInArrow(each, f"block long, doc_id array<{kind}>, held_out array<boolean>, size binary, types binary, ids binary"), "blocks")
+
+
+def read(b: pa.RecordBatch, r: int) -> Block:
+    return Block(*(inflated(b.column(c)[r].as_py(), kind) for c, kind in (("types", "<u8"), ("ids", "<u4"), ("size", "<i8"))))
+
+
+def asked(table: DataFrame, n: int, order: int) -> DataFrame:
+    """``slot, block, keys, counts``: a block's distinct words and n-grams of each bucket and order; slot is 8 bucket + order."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, k, keys, counts in zip(*(b.column(c).to_pylist() for c in ("bucket", "k", "keys", "counts"))):
-                parts.setdefault((i, k), []).append((unpacked(keys, 8 if k == 1 else 5), np.frombuffer(counts, "<u4").astype(np.int64)))
-                if len(parts[i, k]) >= 16:
-                    parts[i, k] = [summed(*(np.concatenate(x) for x in zip(*parts[i, k])))]
-        for i in sorted({i for i, _ in parts}):
-            own = {k: summed(*(np.concatenate(x) for x in zip(*v))) for (j, k), v in parts.items() if j == i}
-            key, c = own.get(1, (np.zeros(0, U), np.zeros(0, np.int64)))
-            out = [np.array([len(key)], "<u8").tobytes(), packed(key, 8), c.astype("<u8").tobytes()]
-            for k in range(2, order + 1):
-                f = Filter.built(*(own.get(k) or (np.zeros(0, U), np.zeros(0, np.int64))))
-                out += [np.array([f.bits, len(f.data)], "<u8").tobytes(), f.data.tobytes()]
-            data = b"".join(out)
-            if len(data) > SEGMENT_MB << 20:
-                raise ValueError(f"a segment of {len(data) >> 20} MB: raise spark.sql.shuffle.partitions")
-            columns = [pa.array([i], pa.int32()), pa.array([int(c.sum())], pa.int64()), pa.array([len(key)], pa.int64()), pa.array([data], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "types", "data"])
-
-    rows = texts.select("text").mapInArrow(count, "bucket int, k int, keys binary, counts binary")
-    made = rows.repartition(n, "bucket").mapInArrow(build, "bucket int, tokens long, types long, data binary")
-    return stored(made, "segments")
-
-
-def opened(data: bytes, order: int) -> tuple[np.ndarray, np.ndarray, dict[int, Filter]]:
-    n = int(np.frombuffer(data, "<u8", 1)[0])
-    key, count = np.frombuffer(data, "<u8", n, 8), np.frombuffer(data, "<u8", n, 8 + 8 * n)
-    at, filters = 8 + 16 * n, {}
-    for k in range(2, order + 1):
-        bits, size = np.frombuffer(data, "<u8", 2, at).tolist()
-        filters[k] = Filter(np.frombuffer(data, np.uint8, size, at + 16), bits)
-        at += 16 + size
-    return key, count, filters
-
-
-def read_counts(block: Block, load, present: list[int], n: int, order: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Exact counts of the block's types, and levels of its n-grams, one segment after another."""
-    types = np.zeros(len(block.types), np.int64)
-    found = {k: np.zeros(len(block.ids), np.int64) for k in block.grams}
-    which = {1: bucket(block.types, n), **{k: bucket(g, n) for k, g in block.grams.items()}}
-    by = {k: np.argsort(b, kind="stable") for k, b in which.items()}
-    edges = {k: np.searchsorted(b[by[k]], np.arange(n + 1)) for k, b in which.items()}
-    for i in present:
-        key, count, filters = opened(load(i), order)
-        at = by[1][edges[1][i] : edges[1][i + 1]]
-        if len(key):
-            where = np.minimum(np.searchsorted(key, block.types[at]), len(key) - 1)
-            types[at] = np.where(key[where] == block.types[at], count[where], 0)
-        for k, f in filters.items():
-            at = by[k][edges[k][i] : edges[k][i + 1]]
-            found[k][at] = f.level(block.grams[k][at] & KEY)
-    types[0] = 0
-    return types, found
-
-
-def scores(block: Block, types: np.ndarray, found: dict[int, np.ndarray], tokens: int, kinds: int, starts: int) -> tuple[np.ndarray, ...]:
-    """Known tokens, base score and score of each text."""
+            for r in range(b.num_rows):
+                block, number = read(b, r), b.column("block")[r].as_py()
+                train = np.repeat(~np.array(b.column("held_out")[r].as_py(), bool), block.size)
+                counts = np.bincount(block.ids[train], minlength=len(block.types))
+                found = [(1, *(x[1:] for x in (block.types, counts)))]
+                found += [(k, key[block.inside(k)], train[block.inside(k)].astype(np.int64)) for k, key in block.grams(n, order).items()]
+                for k, key, count in found:
+                    key, count = summed(key, count)
+                    part = bucket(key, n) if k == 1 else key >> U(32)
+                    edges = np.searchsorted(part, np.arange(n + 1, dtype=U))
+                    some = np.flatnonzero(edges[:-1] < edges[1:])
+                    cut = [slice(edges[i], edges[i + 1]) for i in some]
+                    steps = [np.diff(key[c] if k == 1 else (key[c] & LOW).astype("<u4"), prepend=key.dtype.type(0) if k == 1 else np.uint32(0)) for c in cut]
+                    columns = [pa.array(some * 8 + k), pa.array(np.full(len(some), number)), pa.array([deflated(x) for x in steps], pa.binary()), pa.array([deflated(count[c].astype("<u4")) for c in cut], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["slot", "block", "keys", "counts"])
+
+    return table.select("block", "held_out", "size", "types", "ids").mapInArrow(each, "slot long, block long, keys binary, counts binary")
+
+
+def answered(rows: DataFrame, n: int) -> DataFrame:
+    """``slot, block, answer``, and a row of each slot with block -1 and ``sums``: tokens, distinct ones, and those that occur once and twice."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "slot"):
+            slots = t.column("slot").to_numpy()
+            edges = np.r_[np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]]), len(slots)]
+            for a, z in zip(edges, edges[1:]):
+                slot, part = int(slots[a]), t.slice(a, z - a)
+                kind = "<u8" if slot % 8 == 1 else "<u4"
+                keys = [np.cumsum(inflated(x, kind), dtype=kind) for x in part.column("keys").to_pylist()]
+                counts = [inflated(x, "<u4").astype(np.int64) for x in part.column("counts").to_pylist()]
+                key, count = summed(np.concatenate(keys), np.concatenate(counts))
+                key, count = key[count > 0], count[count > 0]
+                sums = [int(count.sum()), len(key), *(int((count == i).sum()) for i in (1, 2))]
+                if slot % 8 == 1:
+                    at = (np.minimum(np.searchsorted(key, x), len(key) - 1) if len(key) else np.zeros(len(x), np.int64) for x in keys)
+                    out = [np.where(key[i] == x, count[i], 0) if len(key) else np.zeros(len(x), np.int64) for i, x in zip(at, keys)]
+                else:
+                    bloom = Filter(key.astype(U), count)
+                    out = [bloom.level(x.astype(U)) for x in keys]
+                columns = [pa.array([slot] * (z - a + 1), pa.int64()), pa.array([*part.column("block").to_pylist(), -1], pa.int64()),
+                           pa.array([*map(deflated, out), None], pa.binary()), pa.array([None] * (z - a) + [sums], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "block", "answer", "sums"])
+
+    dealt = rows.repartition(n, "slot").sortWithinPartitions("slot")
+    return stored(dealt.mapInArrow(each, "slot long, block long, answer binary, sums array<long>"), "answers")
+
+
+@dataclass
+class Totals:
+    """Of one order, in the training text: tokens, distinct n-grams, and those that occur once and twice."""
+
+    tokens: int = 0
+    kinds: int = 0
+    once: int = 0
+    twice: int = 0
+
+    def discount(self) -> float:
+        return min(max(self.once, 1) / (max(self.once, 1) + 2 * max(self.twice, 1)), 0.95)
+
+
+def finished(block: Block, answers: dict[int, np.ndarray], totals: dict[int, Totals], n: int, order: int) -> tuple[np.ndarray, ...]:
+    """Known tokens, base score and score of each text of a block."""
+    counts = np.zeros(len(block.types), np.int64)
+    counts[1 + np.argsort(block.types[1:])] = answers[1]
     real = block.place > 0
-    c = types[block.ids]
-    with np.errstate(divide="ignore"):
-        base = np.log10((c + 0.1) / (tokens + 0.1 * (kinds + 1)))
-    base[~real] = 0.0
-    p = 10.0**base
-    # the count of a context: exact for a word, a start is as frequent as a text; above, the level's largest count
-    context = np.where(block.place == 0, starts, c).astype(float)
-    for k, level in found.items():
-        count = np.where(level > 0, 2.0 ** (level - 1), 0.0)
-        h = np.r_[0.0, context[:-1]]
-        p = np.where(block.inside(k), (np.minimum(count, h) + MU * p) / (h + MU), p)
-        context = np.where(level > 0, 2.0**level - 1, 0.0)
-    fine = np.where(real, np.log10(p), 0.0)
-    # spans start at each text and after each SPAN tokens of it
-    span = np.flatnonzero(block.place % SPAN == 0)
-    one, two = np.add.reduceat(base, span), np.add.reduceat(fine, span)
-    both = np.logaddexp(one * np.log(10) + np.log1p(-TRUST), two * np.log(10) + np.log(TRUST)) / np.log(10)
-    text = np.searchsorted(span, block.first)
-    return np.add.reduceat((real & (c > 0)).astype(np.int64), block.first), np.add.reduceat(base, block.first), np.add.reduceat(both, text)
-
-
-def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``."""
+    c = counts[block.ids]
+    base = np.where(real, (c + 0.1) / (totals[1].tokens + 0.1 * (totals[1].kinds + 1)), 1.0)
+    context = np.where(block.place == 0, counts[1], c).astype(float)  # a start is as frequent as an end
+    p = base
+    for k, key in block.grams(n, order).items():
+        inside = block.inside(k)
+        found, at = np.unique(key[inside], return_inverse=True)
+        count = np.zeros(len(key))
+        count[inside] = VALUE[answers[k]][at] if len(found) else 0.0
+        own, lower = totals[k], totals[k - 1]
+        d = own.discount()
+        new = min(max((own.kinds - lower.kinds) / max(own.tokens - lower.kinds, 1), 0.0), 1.0)
+        h = np.maximum(np.r_[0.0, context[:-1]], count)
+        some = np.maximum(h, 1.0)
+        left = np.minimum(d * (1 + (some - 1) * new) / some, 1.0)
+        gained = np.maximum(count - d, 0.0) / some
+        p = np.where(inside & (h > 0), np.minimum(gained + left * p, 1.0), p)
+        context = count
+    total = lambda x: np.add.reduceat(x, block.first)
+    return total((real & (c > 0)).astype(np.int64)), total(np.log10(base)), total(np.log10(p))
+
+
+def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, segment: int = SEGMENT) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``; up to order 7."""
     spark = docs.sparkSession
-    n = partitions(spark)
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 10 == 0
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    train = rows.where(~F.col("held_out"))
-    table = segments(train, order, n)
-    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
-    tokens, kinds = total.tokens, total.types
-    starts = train.count()
-    held = {r.bucket: spark.sparkContext.broadcast(bytes(r.data)) for r in table.select("bucket", "data").toLocalIterator()}
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-
-    def load(i: int) -> bytes:
-        data = held[i].value
-        held[i].__dict__.pop("_value", None)  # else the worker would keep every segment
-        return data
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
+    n = max(partitions(spark), -(-size // segment))
+    table = written(rows)
+    answers = answered(asked(table, n, order), n)
+    sums = answers.where("block < 0").select((F.col("slot") % 8).alias("k"), *[F.col("sums")[i].alias(f"s{i}") for i in range(4)])
+    sums = {r.k: r for r in sums.groupBy("k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]).collect()}
+    totals = {k: Totals(*sums[k][1:]) if k in sums else Totals() for k in range(1, order + 1)}
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in blocks(batches):
-            block = Block(texts, order)
-            known, base, score = scores(block, *read_counts(block, load, sorted(held), n, order), tokens, kinds, starts)
-            columns = [block.size - 1, known, np.full(len(texts), tokens), base, score]
-            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, columns)], names)
-
-    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.mapInArrow(each, out)
+        held = None
+
+        def done() -> pa.RecordBatch:
+            block, ids, flags, parts = held
+            found = {k: np.concatenate([np.zeros(0, np.int64 if k == 1 else np.uint8), *x]) for k, x in parts.items()}
+            known, base, score = finished(block, found, totals, n, order)
+            columns = [block.size - 1, known, np.full(len(known), totals[1].tokens), base, score]
+            return pa.RecordBatch.from_arrays([ids, flags, *map(pa.array, columns)], names)
+
+        for b in batches:
+            for r in range(b.num_rows):
+                slot = b.column("slot")[r].as_py()
+                if slot < 0:
+                    if held:
+                        yield done()
+                    ids, flags = b.column("doc_id").slice(r, 1).flatten(), b.column("held_out").slice(r, 1).flatten()
+                    held = read(b, r), ids, flags, {k: [] for k in range(1, order + 1)}
+                else:
+                    held[3][slot % 8].append(inflated(b.column("answer")[r].as_py(), "<i8" if slot % 8 == 1 else "<u1"))
+        if held:
+            yield done()
+
+    both = table.withColumn("slot", F.lit(-1).cast("long")).unionByName(answers.where("block >= 0").drop("sums"), allowMissingColumns=True)
+    both = both.repartition(partitions(spark), "block").sortWithinPartitions("block", "slot")
+    return both.mapInArrow(each, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op6_bloomlm(spark: SparkSession, sf_dir: str) -> DataFrame:
