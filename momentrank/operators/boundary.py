@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import hinge, robust_sigmoid
+from ..tables import written
 from .tuples import total
 
 WINDOWS_MS = (500, 1000, 2000, 3000)
@@ -110,7 +111,7 @@ def strict_tuples(proposals: DataFrame, events: Sequence[str], most: int = 8, ta
     gaps = [hinge(x[i + 1].t - x[i].t, tau, weight) for i in range(n - 1)]
     raw = total([c.score for c in x]) / n - (total(gaps) / (n - 1) if gaps else 0.0) + bonus * total([c.pin for c in x]) / n
     out = rows.select("session_id", "video_id", raw.alias("raw"), F.array(*[c.id for c in x]).alias("ids"), F.array(*[c.t for c in x]).alias("times"))
-    out = robust_sigmoid(out, ["session_id"], "raw", "score")
+    out = robust_sigmoid(written(out, "tuples"), ["session_id"], "raw", "score")
     best = W.partitionBy("session_id").orderBy(F.round("raw", 9).desc(), "video_id", "ids")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -77,6 +77,14 @@ def rule_state(edits: DataFrame) -> DataFrame:
     return now.select("session_id", "video_id", F.col("action").alias("rule"), pos.cast("long").alias("pos"))
 
 
+def standing_pins(pins: DataFrame, edits: DataFrame) -> DataFrame:
+    """The pins whose video isn't rejected by now: a rejection clears its video's pins, and taking it back later doesn't
+    bring them back. ``pins`` has ``seq``, the time it was set; a pin set after the rejection stands."""
+    last = edits.where("action = 'reject'").groupBy("session_id", F.col("video_id").alias("fixed_video_id")).agg(F.max("seq").alias("rejected_at"))
+    both = pins.hint("merge").join(last.hint("merge"), ["session_id", "fixed_video_id"], "left")
+    return both.where(F.col("rejected_at").isNull() | (F.col("seq") > F.col("rejected_at"))).select(pins.columns)
+
+
 def broken(rule: str, rows: DataFrame, *key: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.concat_ws("/", *[F.col(k).cast("string") for k in key]).alias("key"))
 

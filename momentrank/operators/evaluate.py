@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import timestamp_seconds
 from ..tables import small
 
 KS = (1, 5, 20, 50, 100)
@@ -40,9 +41,10 @@ def truth_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
 
     Counts what stands before the truth instead of ranking all videos, so a query with many videos is never sorted in a task.
     """
-    own = scores.hint("merge").join(truth.select("query_id", F.col("video").alias("true_video")).hint("merge"), "query_id")
-    mine = own.where("video = true_video").select("query_id", F.col("score").alias("mine"))
-    own = own.hint("merge").join(mine.hint("merge"), "query_id", "left")
+    wanted = truth.select("query_id", F.col("video").alias("true_video"))
+    mine = scores.select("query_id", F.col("video").alias("true_video"), F.col("score").alias("mine"))
+    mine = wanted.hint("merge").join(mine.hint("merge"), ["query_id", "true_video"], "left")
+    own = scores.join(small(mine), "query_id")  # a row a query; while they are few, no query's videos meet in one task
     a, b = F.round("score", 9), F.round("mine", 9)
     before = F.sum(((a > b) | ((a == b) & (F.col("video") < F.col("true_video")))).cast("int"))
     found = own.groupBy("query_id").agg(F.count("*").alias("unique_videos"), (F.max(F.when(F.col("mine").isNotNull(), 1)) + before).alias("rank"))
@@ -60,7 +62,7 @@ def places(rows: DataFrame, by: Sequence[str], score: str, buckets: int = 1024)
     above = W.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)
     counts = rows.groupBy(*by, "__b").agg(F.count("*").alias("__n")).withColumn("__above", F.coalesce(F.sum("__n").over(above), F.lit(0)))
     inner = F.rank().over(W.partitionBy(*by, "__b").orderBy(F.desc(score)))
-    out = rows.join(counts.drop("__n"), [*by, "__b"]).withColumn("rank", (F.col("__above") + inner).cast("long"))
+    out = rows.hint("merge").join(counts.drop("__n").hint("merge"), [*by, "__b"]).withColumn("rank", (F.col("__above") + inner).cast("long"))
     return out.drop("__b", "__above")
 
 
@@ -139,6 +141,46 @@ def agreement(rows: DataFrame, old: str, new: str, by: Sequence[str] = ()) -> Da
     return rows.groupBy(*by).agg(*[c.alias(n) for n, c in parts.items()])
 
 
+def disagreements(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """The rows whose flags differ, with ``direction``: what the new one catches, or accepts."""
+    a, b = F.col(old) == 1, F.col(new) == 1
+    return rows.where(a != b).withColumn("direction", F.when(b, "new_catches").otherwise("new_accepts"))
+
+
+def call_times(rows: DataFrame, seconds: str, by: Sequence[str] = ()) -> DataFrame:
+    """``calls, min, max, avg, total`` of call times; rows without one don't count."""
+    s = F.col(seconds)
+    return rows.groupBy(*by).agg(F.count(s).alias("calls"), F.min(s).alias("min"), F.max(s).alias("max"), F.avg(s).alias("avg"), F.sum(s).alias("total"))
+
+
+def refined_deltas(rows: DataFrame, key: Sequence[str], events: str) -> DataFrame:
+    """``key, event_id, anchor_seconds, refined_seconds, delta`` of nested events; missing arrays give nothing."""
+    inner = rows.select(*key, F.explode(events).alias("e")).select(*key, "e.event_id", "e.anchor_seconds", "e.refined_seconds")
+    return inner.withColumn("delta", F.col("refined_seconds") - F.col("anchor_seconds"))
+
+
+def audited(queries: DataFrame, expected: DataFrame, missing: str = "error") -> DataFrame:
+    """``queries`` after a check of their true ``video`` against ``expected(video)``: ``error`` refuses those it doesn't name,
+    ``skip`` leaves them out, ``keep`` keeps them with a column ``expected``."""
+    names = expected.select("video").distinct()
+    if missing == "skip":
+        return queries.hint("merge").join(names.hint("merge"), "video", "left_semi")
+    if missing == "keep":
+        marked = names.withColumn("expected", F.lit(True)).hint("merge")
+        return queries.hint("merge").join(marked, "video", "left").withColumn("expected", F.coalesce("expected", F.lit(False)))
+    if missing != "error":
+        raise ValueError(f"unknown mode: {missing}")
+    lost = [r.video for r in queries.hint("merge").join(names.hint("merge"), "video", "left_anti").select("video").limit(5).collect()]
+    if lost:
+        raise ValueError(f"videos of queries that the list doesn't name, such as {lost}")
+    return queries
+
+
+def worth_refining(rows: DataFrame, worst: int = 100) -> DataFrame:
+    """Rows whose rank may change a score: found, and not beyond the largest k. Goes before the costly stage."""
+    return rows.where(F.col("rank") <= worst)
+
+
 def status_counts(rows: DataFrame, label: str, items: str) -> DataFrame:
     """``label, status, items`` counted over nested arrays of structs with a status."""
     inner = rows.select(label, F.explode(items).alias("x"))
@@ -160,7 +202,8 @@ def bootstrap(rows: DataFrame, value: str, group: str, draws: int = 100, seed: i
     driver and reruns agree [from documentation]. Groups are summed first; only their sums are drawn."""
     sums = rows.groupBy(group).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64(F.col(group), "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    key = F.md5(F.concat_ws(":", F.col(group).cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
+    u = (F.conv(F.substring(key, 1, 7), 16, 10).cast("long") + 0.5) / (1 << 28)
     steps, p, acc = F.lit(0), 0.36787944117144233, 0.0
     for k in range(8):  # the inverse of the Poisson distribution with mean 1
         acc += p
@@ -180,5 +223,7 @@ def attach_relations(events: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def map_frames(hits: DataFrame, events: DataFrame) -> DataFrame:
-    """Hits with the event at their query's position; positions out of range are dropped."""
+    """Hits with the event at their query's position, and ``seconds`` of their display time; positions out of range are dropped."""
+    if "timestamp" in hits.columns:
+        hits = hits.withColumn("seconds", timestamp_seconds(F.col("timestamp")))
     return hits.join(small(events.select(F.col("pos").alias("query"), "event")), "query")

@@ -59,12 +59,12 @@ def priorities(videos: DataFrame, events: Sequence[str], candidates: DataFrame,
         frame, time = F.when(pinned, F.col("fixed_frame_id").cast("string")).otherwise(frame), F.when(pinned, F.col("fixed_timestamp_seconds")).otherwise(time)
     one = F.struct("pos", F.coalesce(frame, F.lit("?")).alias("frame"), time.alias("time"))
     matched = found.groupBy("session_id", "video_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    out = videos.join(matched, ["session_id", "video_id"])
+    out = videos.hint("merge").join(matched.hint("merge"), ["session_id", "video_id"])
     covered = F.size(F.filter("region_ids", lambda x: x.isNotNull()))
     return out.select(
         "session_id", "video_id", covered.alias("event_coverage"), (covered / n).alias("normalized_coverage"),
         F.concat_ws("/", covered.cast("string"), F.lit(str(n))).alias("coverage_label"), F.col("region_mean_score").alias("mean_best_event_score"),
-        F.array_min("region_scores").alias("min_best_event_score"), distinctness(F.col("timestamps")).alias("distinctness"), "order_score",
+        F.array_min("region_scores").alias("min_best_event_score"), F.array_max("region_scores").alias("max_best_event_score"), distinctness(F.col("timestamps")).alias("distinctness"), "order_score",
         "raw_score", "priority_score", F.transform("m", lambda x: x.frame).alias("matched_frame_ids"), F.transform("m", lambda x: x.time).alias("matched_timestamps"),
     )
 

@@ -64,13 +64,16 @@ def _fold(rows: Column, start: Column, step) -> Column:
 def clusters(candidates: DataFrame, gap: float = 3.0, margin: float = 3.0, longest: float = 30.0) -> DataFrame:
     """Runs of a group's hits in time: cut where the gap, or the span from the run's start, is too long (both strictly).
 
-    The span rule depends on where the run began, so a group's sorted times are folded once; a group is one event in one
-    video. Gives ``start_seconds, end_seconds`` with margins, candidate ids in time order, and the best scores.
+    The gap rule cuts whatever the state, so it goes first, by windows; the span rule depends on where the run began, so only
+    what lies between two such cuts is folded. Gives ``start_seconds, end_seconds`` with margins, candidate ids in time order, and the best scores.
     """
     if longest < 2 * margin:
         raise ValueError("a region must hold both margins")
     core = longest - 2 * margin
-    hits = calibrated(candidates).groupBy("session_id", "event_id", "video_id")
+    line = W.partitionBy("session_id", "event_id", "video_id").orderBy("timestamp_seconds", "frame_id", "id")
+    cut = F.coalesce(F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(line) > gap, F.lit(False)).cast("int")
+    hits = calibrated(candidates).withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(line))
+    hits = hits.groupBy("session_id", "event_id", "video_id", "__run")
     hit = F.struct(
         F.col("timestamp_seconds").alias("t"), "frame_id", "id", F.col("raw_relevance_score").alias("raw"),
         F.col("normalized_relevance_score").alias("norm"),
@@ -101,14 +104,15 @@ def clusters(candidates: DataFrame, gap: float = 3.0, margin: float = 3.0, longe
 def merged(regions: DataFrame, longest: float | None = None) -> DataFrame:
     """Unites overlapping or touching regions of a scope, unless the union would be longer than ``longest``.
 
-    Regions are taken in the order of start, end and id, each against the last one kept.
+    Regions are taken in the order of start, end and id, each against the last one kept. Where one starts after all earlier
+    ones' ends nothing can be united, so windows cut there first, and only what lies between is folded.
     """
     scope = ["session_id", "event_id", "video_id", "refinement_status", "user_status"]
     one = F.struct(
         F.col("start_seconds").alias("a"), F.col("end_seconds").alias("z"), "id", F.col("candidate_ids").alias("ids"),
         F.col("raw_coarse_score").alias("raw"), F.col("normalized_coarse_score").alias("norm"),
     )
-    grouped = regions.groupBy(*scope).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    grouped = _islands(regions, scope).groupBy(*scope, "__island").agg(F.array_sort(F.collect_list(one)).alias("rows"))
     empty = F.expr("cast(array() as array<struct<a:double,z:double,id:string,ids:array<string>,raw:double,norm:double>>)")
 
     def step(done: Column, r: Column) -> Column:
@@ -132,19 +136,35 @@ def merged(regions: DataFrame, longest: float | None = None) -> DataFrame:
     )
 
 
-def islands(regions: DataFrame) -> DataFrame:
-    """Merging without a length limit, as windows: a new island where a region starts after all earlier ones' ends."""
-    scope = ["session_id", "event_id", "video_id", "refinement_status", "user_status"]
+def _islands(regions: DataFrame, scope: list[str]) -> DataFrame:
+    """Adds ``__island``, which goes up where a region starts after all earlier ones' ends."""
     w = W.partitionBy(*scope).orderBy("start_seconds", "end_seconds", "id")
     reach = F.max("end_seconds").over(w.rowsBetween(W.unboundedPreceding, -1))
     first = F.when(F.col("start_seconds") > reach, 1).otherwise(0)
-    marked = regions.withColumn("__new", first).withColumn("__island", F.sum("__new").over(w))
-    return marked.groupBy(*scope, "__island").agg(
+    return regions.withColumn("__new", first).withColumn("__island", F.sum("__new").over(w)).drop("__new")
+
+
+def islands(regions: DataFrame) -> DataFrame:
+    """Merging without a length limit, as windows: a new island where a region starts after all earlier ones' ends."""
+    scope = ["session_id", "event_id", "video_id", "refinement_status", "user_status"]
+    return _islands(regions, scope).groupBy(*scope, "__island").agg(
         F.min("start_seconds").alias("start_seconds"), F.max("end_seconds").alias("end_seconds"), F.count("*").alias("regions"),
         F.max("raw_coarse_score").alias("raw_coarse_score"), F.max("normalized_coarse_score").alias("normalized_coarse_score"),
     ).drop("__island")
 
 
+def listed(regions: DataFrame, event: str | None = None, video=None) -> DataFrame:
+    """The regions of one event, one video, or both; plain comparisons, which reach a Parquet scan."""
+    if event is not None:
+        regions = regions.where(F.col("event_id") == event)
+    return regions if video is None else regions.where(F.col("video_id") == video)
+
+
+def duration(start: str = "start_seconds", end: str = "end_seconds") -> Column:
+    """Length of a region, to three digits."""
+    return F.round(F.col(end) - F.col(start), 3)
+
+
 def seeds(regions: DataFrame, candidates: DataFrame, ratio: float = 0.1, regions_kept: int = 2, most: int = 6) -> DataFrame:
     """Anchor times of each (event, video): candidates, best raw first, of the best regions within a relative threshold."""
     best = F.max("raw_coarse_score").over(W.partitionBy(*GROUP))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Events of a session at most, and so edges of a path.
+from ..tables import written
+
+#: Events of a session whose pairs may become expressions of a plan; the closure itself takes any number.
 MOST_EVENTS = 32
 
 
@@ -19,18 +21,20 @@ def edges(events: DataFrame) -> DataFrame:
 
 
 def order_constraints(events: DataFrame) -> DataFrame:
-    """Transitive closure of the edges, for all sessions at once: path lengths double until they cover any session.
+    """Transitive closure of the edges, for all sessions at once: path lengths double until nothing is new.
 
     A row ``(i, i)`` is a cycle. Sessions without any relation have no row, and ``unrelated`` tells them from sessions whose
-    relations have no direction.
+    relations have no direction. Each doubling is written, so the plan stays as short as one join.
     """
-    out, steps = edges(events), 1
-    while steps < MOST_EVENTS:
+    out = written(edges(events), "edges")
+    size = out.count()
+    while size:
         a, b = out.select("session_id", "i", F.col("j").alias("k")), out.select("session_id", F.col("i").alias("k"), "j")
-        out = out.union(a.join(b, ["session_id", "k"]).select("session_id", "i", "j")).distinct()
-        steps *= 2
-        if steps in (4, 16):
-            out = out.checkpoint() if out.sparkSession.sparkContext.getCheckpointDir() else out
+        further = a.hint("merge").join(b.hint("merge"), ["session_id", "k"]).select("session_id", "i", "j")
+        out = written(out.union(further).distinct(), "closure")
+        before, size = size, out.count()
+        if size == before:
+            break
     return out
 
 
@@ -51,6 +55,8 @@ def relation_violations(events: DataFrame) -> DataFrame:
 
 
 def pairs(constraints: DataFrame, session: str) -> list[tuple[int, int]]:
-    """One session's pairs for a plan's expressions; at most the square of its few events."""
-    rows = constraints.where(F.col("session_id") == session).select("i", "j").limit(MOST_EVENTS**2).collect()
+    """One session's pairs for a plan's expressions: the square of its few events at most, and an error beyond that."""
+    rows = constraints.where(F.col("session_id") == session).select("i", "j").limit(MOST_EVENTS**2 + 1).collect()
+    if len(rows) > MOST_EVENTS**2:
+        raise ValueError(f"session {session} has pairs of more than {MOST_EVENTS} events, too many for a plan's expressions")
     return sorted((r.i, r.j) for r in rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import small
-
-#: Query vectors that are handed to every worker at once; more queries are taken in further rounds.
-QUERIES = 2_000
+#: Frames that a task holds, and query vectors that it multiplies with them at once.
+CHUNK = 50_000
+QUERIES = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,49 +35,49 @@ def curves(frames: DataFrame, vector: str, texts: dict[str, Sequence[float]]) ->
     return frames.withColumns({name: dot(normalized(F.col(vector)), normalized(own(v))) for name, v in texts.items()})
 
 
-def top_k(queries: DataFrame, frames: DataFrame, k: int) -> DataFrame:
+def top_k(queries: DataFrame, frames: DataFrame, k: int, chunk: int = CHUNK) -> DataFrame:
     """``query_id, frame_id, video, score, rank``: the best k frames of each query by dot product, ties by frame.
 
-    ``queries(query_id, vector)``, ``frames(frame_id, video, vector)``. A block of queries, bounded by QUERIES, meets every
-    batch of frames in one matrix product; a batch keeps only its k best of each query, so what is exchanged is k rows a
-    query and batch. More queries than a block are taken block by block.
+    ``queries(query_id, vector)``, ``frames(frame_id, video, vector)``. Frames are dealt to chunks by a hash, and queries are
+    copied to every chunk: a task holds a chunk of frames, and the queries stream past it in blocks, one matrix product each.
+    A chunk keeps only its k best of each query, so what is merged is k rows a query and chunk. Queries stay a table.
     """
     if not 1 <= k <= 10_000:
         raise ValueError("k must be in 1..10000")
-    rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator(prefetchPartitions=False)
-    schema = "query_id long, frame_id long, video long, score double"
-    out: DataFrame | None = None
-    block: list = []
-
-    def searched(block: list) -> DataFrame:
-        ids = np.array([r.query_id for r in block])
-        q = np.array([r.vector for r in block], np.float64)
-
-        def each(batches):
-            for pdf in batches:
-                if not len(pdf):
+    chunks = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // chunk))
+    number = F.pmod(F.xxhash64("frame_id"), F.lit(chunks)).cast("int")
+    held = frames.select(number.alias("chunk"), F.lit(0).alias("asks"), F.col("frame_id").cast("long").alias("id"), F.col("video").cast("long").alias("video"), "vector")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("asks"), F.col("query_id").cast("long").alias("id"), F.lit(None).cast("long").alias("video"), "vector")
+    both = held.union(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "asks")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, parts, x = None, [], None
+        for pdf in batches:
+            for (number, asks), rows in pdf.groupby(["chunk", "asks"]):
+                if number != now:
+                    now, parts, x = number, [], None
+                if not asks:
+                    parts.append(rows)
+                    continue
+                if x is None and parts:
+                    some = pd.concat(parts)
+                    x, fid, vid = np.array(some["vector"].tolist(), np.float64), some["id"].to_numpy(), some["video"].to_numpy()
+                    parts = []
+                if x is None:
                     continue
-                x = np.array(pdf["vector"].tolist(), np.float64)
-                fid, vid = pdf["frame_id"].to_numpy(), pdf["video"].to_numpy()
-                sims = q @ x.T
-                take = min(k, len(x))
-                # ties at the edge are decided by frame, so candidates come in that order
-                by = np.lexsort((np.broadcast_to(fid, sims.shape), -sims), axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), sims.shape)
-                yield pd.DataFrame({
-                    "query_id": np.repeat(ids, take), "frame_id": fid[by].ravel(), "video": vid[by].ravel(),
-                    "score": np.take_along_axis(sims, np.ascontiguousarray(by), 1).ravel(),
-                })
-
-        return frames.select("frame_id", "video", "vector").mapInPandas(each, schema)
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERIES:
-            out = searched(block) if out is None else out.union(searched(block))
-            block = []
-    if block or out is None:
-        some = searched(block) if block else frames.sparkSession.createDataFrame([], schema)
-        out = some if out is None else out.union(some)
+                ids, q = rows["id"].to_numpy(), np.array(rows["vector"].tolist(), np.float64)
+                for s in range(0, len(q), QUERIES):
+                    sims = q[s : s + QUERIES] @ x.T
+                    # ties at the edge are decided by frame, so all that equal the k-th are looked at
+                    edge = np.partition(sims, -k, axis=1)[:, -k] if k < len(x) else np.full(len(sims), -np.inf)
+                    i, j = np.nonzero(sims >= edge[:, None])
+                    by = np.lexsort((fid[j], -sims[i, j], i))
+                    i, j = i[by], j[by]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[keep], j[keep]
+                    yield pd.DataFrame({"query_id": ids[s + i], "frame_id": fid[j], "video": vid[j], "score": sims[i, j]})
+
+    out = both.mapInPandas(each, "query_id long, frame_id long, video long, score double")
     by = W.partitionBy("query_id").orderBy(F.desc("score"), "frame_id")
     return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 

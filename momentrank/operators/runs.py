@@ -44,7 +44,7 @@ def replace_violations(old: DataFrame, new: DataFrame, events: DataFrame) -> Dat
 def config_diff(before: DataFrame, after: DataFrame, key: str = "session_id") -> DataFrame:
     """``key, path, before, after`` of leaf paths whose values differ; both sides are ``(key, path, value)``."""
     a, b = before.withColumnRenamed("value", "before"), after.withColumnRenamed("value", "after")
-    return a.join(b, [key, "path"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
+    return a.hint("merge").join(b.hint("merge"), [key, "path"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
 def flattened(df: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import gated, hinge, min_max
+from ..tables import written
 from .regions import pooled
 
 
@@ -151,5 +152,5 @@ def ranked_videos(found: DataFrame, pooling: str = "max") -> DataFrame:
     columns = ["region_mean_score", "order_score", "region_ids", "timestamps", "region_scores"]
     first = [F.first(F.when(F.col("rank_in_video") == 1, F.col(c)), ignorenulls=True).alias(c) for c in columns]
     videos = found.groupBy("session_id", "video_id").agg(raw.alias("raw_score"), F.count("*").alias("tuples"), *first)
-    videos = videos.persist()  # one row a video; the ends of the scale and the scaled rows both read it
+    videos = written(videos, "videos")  # one row a video; the ends of the scale and the scaled rows both read it
     return min_max(videos, ["session_id"], "raw_score", "priority_score")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints, evaluate, retrieve, runs
 from ..operators.tuples import Params, ranked_videos, tuples
-from ..tables import CANDIDATES_SQL, table
+from ..tables import CANDIDATES_SQL, table, written
 from . import ranking
 from .ranking import EVENTS, HOUR, calibrated_sql, pool_sql, r6, rounded, tuples_sql
 
@@ -178,7 +178,7 @@ CONFIGS = [("narrow_0", 0.1, 0.0), ("narrow_1", 0.1, 1.2), ("wide_0", 0.3, 0.0),
 
 def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Long rows (config, video, rank, hits). Regions are made once and kept; a configuration changes expressions only."""
-    rows = ranking.atomic(spark, sf).persist()
+    rows = written(ranking.atomic(spark, sf), "regions")
     out = None
     hits_ = video_hits(spark, sf)
     for name, delta, weight in CONFIGS:
@@ -186,7 +186,7 @@ def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
         videos = ranked_videos(tuples(rows, EVENTS, p)).select(F.lit(name).alias("config"), F.col("video_id").alias("video"), F.round("priority_score", 9).alias("p"))
         out = videos if out is None else out.union(videos)
     ranked = evaluate.places(out, ["config"], "p").select("config", "video", "rank")
-    return ranked.join(hits_, "video", "left").select("config", "video", "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return ranked.hint("merge").join(hits_.hint("merge"), "video", "left").select("config", "video", "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def sweep_sql() -> str:
@@ -226,12 +226,14 @@ def boundary_errors(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_all(evaluate.boundary_errors(rows))
 
 
+@query("""WITH g AS (SELECT l_orderkey AS k, sum(l_quantity) AS s, count(l_quantity) AS n FROM lineitem GROUP BY 1),
+u AS (SELECT s, n, draw, (('0x' || md5(k || ':' || draw || ':7')[1:7])::BIGINT + 0.5::DOUBLE) / 268435456 AS u FROM g, (SELECT unnest(range(1, 101)) AS draw)),
+w AS (SELECT draw, s, n, (u > 0.36787944117144233)::INT + (u > 0.73575888234288467)::INT + (u > 0.91969860292860584)::INT + (u > 0.98101184312384615)::INT + (u > 0.99634015317265626)::INT
+  + (u > 0.99940581518241834)::INT + (u > 0.99991675885071205)::INT + (u > 0.99998975080332543)::INT AS w FROM u),
+m AS (SELECT draw, sum(s * w) / sum(n * w) AS mean FROM w GROUP BY draw)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """Weights come from Spark's hash, so there is no SQL; tests hold the interval against the mean."""
-    return evaluate.bootstrap(table(spark, sf, "lineitem"), "l_quantity", "l_orderkey")
-
-
-QUERIES["bootstrap_interval"] = bootstrap_interval
+    return _rounded_all(evaluate.bootstrap(table(spark, sf, "lineitem"), "l_quantity", "l_orderkey"))
 
 
 # the log of attempts: each line of an order is an attempt at it

@@ -107,6 +107,6 @@ def row_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 SELECT video_id, event_id, round(seeds[1], 6) AS anchor, len(seeds) AS seeds FROM s""")
 def first_anchors(spark: SparkSession, sf: str) -> DataFrame:
     """A list of seeds stands for its first."""
-    one = F.struct((-F.col("raw_relevance_score")).alias("v"), "seq", F.col("timestamp_seconds").alias("t"))
-    rows = candidates(spark, sf).groupBy("video_id", "event_id").agg(F.array_sort(F.collect_list(one)).alias("x"))
-    return rows.select("video_id", "event_id", F.round(F.element_at("x", 1).t, 6).alias("anchor"), F.size("x").cast("long").alias("seeds"))
+    first = F.min_by("timestamp_seconds", F.struct(-F.col("raw_relevance_score"), "seq"))
+    rows = candidates(spark, sf).groupBy("video_id", "event_id").agg(first.alias("anchor"), F.count("*").alias("seeds"))
+    return rows.select("video_id", "event_id", F.round("anchor", 6).alias("anchor"), "seeds")

@@ -308,7 +308,7 @@ f AS (SELECT v2.*, ids.pos, ids.eid, coalesce(pin.frame::VARCHAR, c.frame_id::VA
       FROM v2, LATERAL (SELECT unnest([0, 1, 2]) AS pos, unnest(['view', 'click', 'purchase']) AS eid, unnest(region_ids) AS rid) ids
       LEFT JOIN c ON ids.rid = 'atomic_' || c.id LEFT JOIN pin ON pin.event_id = ids.eid AND pin.vid = v2.video_id AND pin.frame IS NOT NULL),
 d AS (SELECT session_id, video_id, any_value(raw_score) AS raw_score, any_value(priority_score) AS priority_score, any_value(region_mean_score) AS mean_best_event_score,
-        any_value(order_score) AS order_score, list_min(any_value(region_scores)) AS min_best_event_score, len([x for x in any_value(region_ids) if x IS NOT NULL]) AS event_coverage,
+        any_value(order_score) AS order_score, list_min(any_value(region_scores)) AS min_best_event_score, list_max(any_value(region_scores)) AS max_best_event_score, len([x for x in any_value(region_ids) if x IS NOT NULL]) AS event_coverage,
         string_agg(frame, ',' ORDER BY pos) AS matched_frame_ids, string_agg(coalesce(round(tm * 1000)::BIGINT::VARCHAR, '?'), ',' ORDER BY pos) AS matched_timestamps,
         list_sort([x for x in any_value(timestamps) if x IS NOT NULL]) AS ts FROM f GROUP BY session_id, video_id),
 e AS (SELECT *, CASE WHEN len(ts) < 2 THEN 1.0 WHEN len(ts) = 2 THEN least(1.0, (ts[2] - ts[1]) / 3) ELSE least(1.0, least(ts[2] - ts[1], ts[3] - ts[2]) / 3) END AS distinctness FROM d)"""
@@ -320,13 +320,13 @@ def priority_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""{PRIORITY_SQL}
-SELECT session_id, video_id, event_coverage, event_coverage || '/3' AS coverage_label, {r6("mean_best_event_score")}, {r6("min_best_event_score")}, {r6("distinctness")}, {r6("order_score")},
+SELECT session_id, video_id, event_coverage, event_coverage || '/3' AS coverage_label, {r6("mean_best_event_score")}, {r6("min_best_event_score")}, {r6("max_best_event_score")}, {r6("distinctness")}, {r6("order_score")},
        {r6("raw_score")}, {r6("priority_score")}, matched_frame_ids, matched_timestamps FROM e""")
 def matched_frames(spark: SparkSession, sf: str) -> DataFrame:
     rows = priority_rows(spark, sf)
     return rows.select(
         "session_id", "video_id", F.col("event_coverage").cast("long").alias("event_coverage"), "coverage_label",
-        *rounded("mean_best_event_score", "min_best_event_score", "distinctness", "order_score", "raw_score", "priority_score"),
+        *rounded("mean_best_event_score", "min_best_event_score", "max_best_event_score", "distinctness", "order_score", "raw_score", "priority_score"),
         joined("matched_frame_ids").alias("matched_frame_ids"), joined("matched_timestamps", 3).alias("matched_timestamps"),
     )
 
@@ -394,12 +394,12 @@ def region_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CANDIDATES_SQL}, {calibrated_sql()}
-SELECT rid AS id, video_id, event_id, round(greatest(0.0, t - 1800), 6) AS start_seconds, round(t + 1800, 6) AS end_seconds, round(t + 1800 - greatest(0.0, t - 1800), 6) AS duration, {r6('score')} FROM r""")
+SELECT rid AS id, video_id, event_id, round(greatest(0.0, t - 1800), 6) AS start_seconds, round(t + 1800, 6) AS end_seconds, round(t + 1800 - greatest(0.0, t - 1800), 3) AS duration, {r6('score')} FROM r""")
 def atomic_regions(spark: SparkSession, sf: str) -> DataFrame:
     rows = regions.atomic_regions(candidates(spark, sf), 1800.0)
     return rows.select(
         "id", "video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("end_seconds", 6).alias("end_seconds"),
-        F.round(F.col("end_seconds") - F.col("start_seconds"), 6).alias("duration"), (F.round("normalized_coarse_score", 6) + 0.0).alias("score"),
+        regions.duration().alias("duration"), (F.round("normalized_coarse_score", 6) + 0.0).alias("score"),
     )
 
 

@@ -47,19 +47,19 @@ m AS (SELECT a.video, abs(b.frame - a.frame) + abs(c.frame - b.frame) + abs(c.fr
 SELECT video, distance::BIGINT AS distance, {r6("score")}, hits FROM m ORDER BY round(m.score, 9) DESC, video, k LIMIT {k}"""
 
 
-def shown(matches: DataFrame, k: int) -> DataFrame:
+def shown(top: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x.frame.cast("string"), x.query.cast("string"))), ",")
-    return sequence.top(matches, k).select("video", F.col("distance").cast("long").alias("distance"), *rounded("score"), text.alias("hits"))
+    return top.select("video", F.col("distance").cast("long").alias("distance"), *rounded("score"), text.alias("hits"))
 
 
 @query(match_sql(True, 100))
 def ordered_sequence_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(sequence.ordered_matches(hits(spark, sf), 3, None), 100)
+    return shown(sequence.top_matches(hits(spark, sf), 3, 100))
 
 
 @query(match_sql(False, 100))
 def unordered_sequence_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(sequence.unordered_matches(hits(spark, sf), 3, None), 100)
+    return shown(sequence.top_matches(hits(spark, sf), 3, 100, ordered=False))
 
 
 # detections follow from the hits: a keyframe's number is its hit's, and shows a lantern where the value is high
@@ -79,7 +79,7 @@ def sequence_object_filter(spark: SparkSession, sf: str) -> DataFrame:
     seen = rows.where("event_id % 3 = 0").groupBy(F.col("user_id").alias("video"), n.alias("n")).agg(F.max("value").alias("v"))
     lit = F.array(F.when(F.col("v") > 20, "Lantern").otherwise("Road"), F.lit("Tree"))
     detections = seen.select("video", "n", lit.alias("entities"), F.array(F.lit(0.8), F.lit(0.9), F.lit(0.1)).alias("scores"))
-    return shown(sequence.ordered_matches(sequence.satisfied(base, keyframes, detections, ["lantern", "TREE"]), 3, None, objects=True), 50)
+    return shown(sequence.top_matches(sequence.satisfied(base, keyframes, detections, ["lantern", "TREE"]), 3, 50, objects=True))
 
 
 @query(f"""WITH {HITS_SQL} SELECT video, array_to_string([x.f || ':' || x.q || ':' || round(x.s * 100)::BIGINT for x in list_sort(list({{'f': frame, 'q': query, 's': score}}))], ',') AS hits FROM h GROUP BY video""")

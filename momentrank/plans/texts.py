@@ -88,13 +88,11 @@ def substring_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # a query file a conversation: its turns are events, with times that follow from the turn
-FILES_SQL = "f AS (SELECT conv_id, turn, role, regexp_replace(text[1:40], '\\s+', ' ', 'g') AS line FROM conversations)"
-
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """``path, value`` of files made of ``conversations``: the system turn is context, each other turn an event."""
     c = table(spark, sf, "conversations").where("conv_id is not null")
-    line = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"\s+", " "))
+    line = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
     event = F.concat(F.lit("E"), (F.col("turn") + 1).cast("string"))
     rows = c.select("conv_id", "turn", F.concat(event, F.lit(": "), line).alias("ask"), F.concat(F.lower(event), F.lit(":  "), text.display_time(F.col("turn") * 45), F.lit(" - "), text.display_time(F.col("turn") * 45 + 30)).alias("tell"))
     both = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "ask", "tell"))).alias("x"))
@@ -103,8 +101,8 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("conv_id").cast("string").alias("path"), value.alias("value"))
 
 
-PARSED_SQL = """g AS (SELECT conv_id::VARCHAR AS path, conv_id::VARCHAR AS video, 'Some context' AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn, trim(regexp_replace(text[1:40], '\\s+', ' ', 'g'))) - 1 AS pos, 'E' || (turn + 1) AS event,
-  trim(regexp_replace(text[1:40], '\\s+', ' ', 'g')) AS text, turn * 45.0 AS a, turn * 45.0 + 30 AS z FROM conversations WHERE conv_id IS NOT NULL)"""
+PARSED_SQL = """g AS (SELECT conv_id::VARCHAR AS path, conv_id::VARCHAR AS video, 'Some context' AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn, trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g'))) - 1 AS pos, 'E' || (turn + 1) AS event,
+  trim(regexp_replace(text, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text, turn * 45.0 AS a, turn * 45.0 + 30 AS z FROM conversations WHERE conv_id IS NOT NULL)"""
 
 
 @query(f"WITH {PARSED_SQL} SELECT path, video, context, pos, event, text, a::DOUBLE AS start_seconds, z::DOUBLE AS end_seconds FROM g")

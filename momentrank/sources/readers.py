@@ -122,14 +122,31 @@ def manifest_of(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
+#: Fields of a JSON manifest, under any of their names.
+MANIFEST = (
+    "query_id string, id string, query_text string, query string, text string, ground_truth_video string, video_id string, video string, "
+    "video_name string, start_seconds double, start double, end_seconds double, end double"
+)
+
+
+def manifest_lines(lines: DataFrame) -> DataFrame:
+    """Queries from a column ``value`` of JSON objects, one a row; blank lines are left out."""
+    rows = lines.where(F.trim("value") != "").select(F.from_json("value", MANIFEST).alias("q"))
+    return manifest_of(rows.select("q.*"))
+
+
+def manifest_documents(texts: DataFrame) -> DataFrame:
+    """Queries from a column ``value`` of whole JSON documents, each a list or ``{queries: [...]}``."""
+    item = f"struct<{MANIFEST.replace(' string', ':string').replace(' double', ':double')}>"
+    items = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.from_json("value", f"queries array<{item}>").queries)
+    return manifest_of(texts.select(F.explode(items).alias("q")).select("q.*"))
+
+
 def read_manifest(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """JSON lines, one JSON document (a list or ``{queries: [...]}``) or CSV with a header."""
     if kind == "csv":
         return manifest_of(spark.read.option("header", True).csv(path))
-    if kind == "jsonl":
-        return manifest_of(spark.read.json(path))
-    rows = spark.read.option("multiLine", True).json(path)
-    return manifest_of(rows.select(F.explode("queries").alias("q")).select("q.*") if rows.columns == ["queries"] else rows)
+    return manifest_lines(spark.read.text(path)) if kind == "jsonl" else manifest_documents(spark.read.text(path, wholetext=True))
 
 
 def lenient_manifest(texts: DataFrame) -> DataFrame:
@@ -188,24 +205,31 @@ def read_keyframe_map(spark: SparkSession, path: str) -> DataFrame:
     return first_rows(rows, ["video", "frame"], "seq").drop("seq")
 
 
+def detections_of(texts: DataFrame) -> DataFrame:
+    """``video, n, entities, scores`` from ``path, value`` of documents ``<video>/<n>.json``; a broken one has null arrays, so it
+    satisfies nothing."""
+    found = F.from_json("value", "detection_class_entities array<string>, detection_scores array<string>")
+    rows = texts.select("path", found.alias("d"))
+    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("video"), F.regexp_extract("path", r"(\d+)\.json$", 1).cast("int").alias("n"),
+                       F.col("d.detection_class_entities").alias("entities"), F.col("d.detection_scores").cast("array<double>").alias("scores"))
+
+
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """``video, n, entities, scores`` of JSON files ``<video>/<n>.json``; a broken file has null arrays, so it satisfies nothing."""
-    schema = "detection_class_entities array<string>, detection_scores array<string>, _bad string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("multiLine", True).json(path)
-    name = F.col("_metadata.file_path")
-    return rows.select(F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("video"), F.regexp_extract(name, r"(\d+)\.json$", 1).cast("int").alias("n"),
-                       F.col("detection_class_entities").alias("entities"), F.col("detection_scores").cast("array<double>").alias("scores"))
+    return detections_of(read_query_files(spark, path))
 
 
-def read_keyframe_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """``video, t, file, seq`` of manifests ``<video>_keyframes.json``; a broken one gives nothing."""
-    schema = "keyframes array<struct<index:bigint,timestamp:double,file:string>>"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    video = F.regexp_extract("_metadata.file_path", r"([^/]+)_keyframes\.json$", 1)
-    some = rows.select(video.alias("video"), F.posexplode("keyframes").alias("seq", "k"))
+def keyframes_of(texts: DataFrame) -> DataFrame:
+    """``video, t, file, seq`` from ``path, value`` of manifests ``<video>_keyframes.json``; a broken one gives nothing."""
+    found = F.from_json("value", "keyframes array<struct<index:bigint,timestamp:double,file:string>>")
+    video = F.regexp_extract("path", r"([^/]+)_keyframes\.json$", 1)
+    some = texts.select(video.alias("video"), F.posexplode(found.keyframes).alias("seq", "k"))
     return some.select("video", F.col("k.timestamp").alias("t"), F.col("k.file").alias("file"), F.col("seq").cast("long").alias("seq")).where("t is not null and file is not null")
 
 
+def read_keyframe_manifests(spark: SparkSession, path: str) -> DataFrame:
+    return keyframes_of(read_query_files(spark, path))
+
+
 def keyframe_files(names: DataFrame, most: int = 50) -> DataFrame:
     """``video, frame, path`` of image paths named ``<video>_<frame>``, by frame, ``most`` a video (the listing's page size)."""
     pattern = r"([^/]+?)[_-]?(\d+)\.(?:jpg|jpeg|png|webp)$"
@@ -219,8 +243,11 @@ def list_keyframe_files(spark: SparkSession, path: str, most: int = 50) -> DataF
     return keyframe_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path"), most)
 
 
-def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines without the rows that carry an error."""
-    return spark.read.schema(f"{schema}, error string").json(path).where("error is null").drop("error")
+def cache_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """Rows of a column ``value`` of JSON objects, without those that carry an error or aren't JSON."""
+    found = lines.select(F.from_json("value", f"{schema}, error string, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    return found.where("error is null and _bad is null").drop("error", "_bad")
 
 
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return cache_lines(spark.read.text(path), schema)

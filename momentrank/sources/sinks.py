@@ -19,10 +19,23 @@ def with_hits(rows: DataFrame, ks: Sequence[int]) -> DataFrame:
     return rows.withColumns({f"hit_at_{k}": F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int") for k in ks})
 
 
-def write_results(rows: DataFrame, path: str, ks: Sequence[int]) -> None:
-    """The log as JSON lines and the table as CSV; Spark's committer shows a whole directory or none."""
+def flat(rows: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, which CSV can hold."""
+    nested = ("array<", "struct<", "map<")
+    return rows.select(*[F.to_json(f"`{c}`").alias(c) if t.startswith(nested) else F.col(f"`{c}`") for c, t in rows.dtypes])
+
+
+def with_reciprocal(rows: DataFrame) -> DataFrame:
+    """Adds ``reciprocal_rank``, 0 for what wasn't found."""
+    return rows.withColumn("reciprocal_rank", F.coalesce(1 / F.col("rank"), F.lit(0.0)))
+
+
+def write_results(rows: DataFrame, path: str, ks: Sequence[int], metrics: DataFrame | None = None) -> None:
+    """The log as JSON lines, the table as CSV, and metrics as JSON; Spark's committer shows a whole directory or none."""
     rows.write.mode("overwrite").json(f"{path}/results")
-    with_hits(rows, ks).write.mode("overwrite").option("header", True).csv(f"{path}/per_query")
+    flat(with_hits(with_reciprocal(rows), ks)).write.mode("overwrite").option("header", True).csv(f"{path}/per_query")
+    if metrics is not None:
+        metrics.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/metrics")
 
 
 def rendered(groups: DataFrame) -> DataFrame:
@@ -45,8 +58,11 @@ def write_rendered(groups: DataFrame, path: str) -> None:
 
 
 def export(rows: DataFrame, path: str, kind: str) -> None:
-    writer = rows.write.mode("overwrite")
-    writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
+    """CSV with a header, where nested columns are JSON text; or JSON lines."""
+    if kind == "csv":
+        flat(rows).write.mode("overwrite").option("header", True).csv(path)
+    else:
+        rows.write.mode("overwrite").json(path)
 
 
 def replace_partitions(rows: DataFrame, path: str, keys: Sequence[str] = ("session_id", "event_id")) -> None:
