@@ -1,3 +1,5 @@
+from collections import Counter
+
 import sentencepiece
 
 import corpus_pipeline
@@ -47,3 +49,51 @@ def test_stages(spark):
     assert len(got) == stream.count()
     assert all(w in got for w in want)
     assert sorted(corpus_pipeline.run(spark, sf).select("doc_id", "n_ids").collect()) == sorted(out.select("doc_id", "n_ids").collect())
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Null, repeated and clashing ids, empty and very long texts, null languages and sources: no stage loses or repeats a document."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    clean = [r.text for r in docs.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality = 1 and toxic = 0").orderBy("doc_id").limit(40).collect()]
+    rows = [(None, clean[0], "en", "a", 1), (None, clean[1], "en", "a", 1), (7, clean[2], None, None, 1), (7, clean[3], "fr", "b", 1), (7, clean[3], "fr", "b", 1)]
+    rows += [(None, None, "en", "a", 0), (None, "", "en", None, 0), (8, None, None, "a", 0), (9, " ".join(clean) * 20, "en", "a", 1)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(odd).selectExpr("*", "1 AS score", "2 AS mark", "'x' AS quality_score", "'y' AS position")
+    given = Counter(map(tuple, both.collect()))
+
+    def slow(rows):
+        least = {}
+        for r, c in zip(rows, brute_groups([r[1] for r in rows])):
+            least.setdefault(c, []).append(r)
+        return least
+
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        kept = common.stored(stage(spark, both, sf), name)
+        assert kept.columns == both.columns
+        own = Counter(map(tuple, kept.collect()))
+        assert own <= given and all(own[r] in (0, given[r]) for r in given)  # equal rows share their fate
+        texts = {(r[0], r[1]) for r in own}
+        assert {(None, clean[0]), (None, clean[1]), (7, clean[2]), (7, clean[3]), (None, None), (8, None)} <= texts
+    kept = common.stored(corpus_pipeline.near_duplicates(spark, both, sf), "kept")
+    own = [tuple(r) for r in kept.collect()]
+    groups = slow([tuple(r) for r in both.collect()])
+    assert len(own) == len(groups) and Counter(own) <= given
+    assert all(sum(r in own for r in set(g)) == 1 for g in groups.values())
+    stream = corpus_pipeline.mixed(spark, both, sf)
+    assert stream.columns == both.columns
+    words = lambda t: len((t or "").encode().split())
+    assert sum(words(r.text) for r in stream.collect()) == sum(r.taken for r in mixing.mix(both).collect())
+    out = corpus_pipeline.encoded(spark, both, sf)
+    assert "text" not in out.columns and out.count() == both.count() and out.where("ids is null or n_ids < 0").count() == 0
+
+
+def brute_groups(texts):
+    return brute([(i, t) for i, t in enumerate(texts)])[1]
+
+
+def test_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
