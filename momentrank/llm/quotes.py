@@ -1,6 +1,7 @@
 """Quotation linking of conversations.
 
-A line's quote level is the number of ``>`` that it starts with. Lines of one level in a row are a passage; a
+A line, which ends in a line feed or a carriage return and one, has as its quote level the number of ``>`` that it starts
+with. Lines of one level in a row are a passage; a
 passage's pieces are its sentences, white space and case made even, so a quote that wraps its lines anew keeps its hashes.
 A quoted piece comes from the latest earlier turn of its conversation that says it unquoted; a passage comes from the
 turn that most of its pieces come from, the later one if two tie. A message replies to the origin of most of its
@@ -44,7 +45,7 @@ def pieces(text: str) -> list[int]:
 def parsed(text: str | None) -> tuple[str, list[tuple[int, int, int]]]:
     """The body without quotes, and ``(passage, level, hash)`` of every piece, quoted or not."""
     passages: list[tuple[int, list[str]]] = []
-    for line in (text or "").split("\n"):
+    for line in (text or "").replace("\r\n", "\n").split("\n"):
         m = QUOTE.match(line)
         level = m[1].count(">") if m else 0
         if not passages or passages[-1][0] != level:

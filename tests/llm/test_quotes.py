@@ -81,3 +81,12 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quotes.conversations(df).count() == 0
+
+
+def test_line_ends_and_a_very_long_text():
+    body, found = quotes.parsed("> He said so.\r\nYes.\r\n\r\nNo.\r\n")
+    assert body == "Yes.\n\nNo."
+    assert found == quotes.parsed("> He said so.\nYes.\n\nNo.")[1] and found[0][2] == quotes.pieces("he  said so.")[0]
+    long = "> " + "word " * 200_000 + "\n" + "x. " * 200_000
+    body, found = quotes.parsed(long)
+    assert len(found) == 200_001 and body.count("x.") == 200_000
