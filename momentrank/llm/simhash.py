@@ -1,12 +1,17 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-A text's fingerprint has a bit set where over half of its 3-word shingles' XXH64 values have it. Two
-fingerprints link when they differ in at most 3 bits. Split in halves, one half then differs in at most one
-bit. On a half, the anchors are the words of a Hamming code with one free bit: every value is within distance 1
-(the covering radius) of one anchor, so a value copied to all anchors within 1 + 1 of it (18 at most) meets each
-of its partners at the partner's own anchor. Values are compared only within an anchor, and an anchor gives a
-link from each member to one other, never all pairs. An anchor with more members than fit a task is split by
-anchors on the other half, where its pairs differ in at most 3 bits; nothing is dropped.
+A text's fingerprint has a bit set where over half of its word shingles' XXH64 values have it. Two fingerprints link when
+they differ in at most ``threshold`` bits. Cut in parts, one part then differs in few: a half in at most one bit for
+thresholds up to 3, a quarter for thresholds up to 7. On a part, the anchors are the words of a Hamming code with one free
+bit: every value is within distance 1 (the covering radius) of one anchor, so a value copied to all anchors within 1 + 1 of
+it meets each of its partners at the partner's own anchor. Values are compared only within an anchor, and an anchor gives
+links that join its members, never all pairs. An anchor with more members than fit a task is split by anchors on the other
+quarters; nothing is dropped.
+
+The query takes shingles of 3 words and 3 bits. Few texts that are alike by 0.8 differ so little, and 64 bits tell likeness
+only roughly. So the pipeline's stage links at 7 bits, and where a second fingerprint of 256 bits, of shingles of 5 words, differs in
+at most WIDE bits: as many as the angle of a Jaccard similarity of 0.8 makes on average. It travels with the first one, so pairs
+are judged at their anchors and no text is read again. Texts with both fingerprints equal are one class.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal texts have equal
 fingerprints and are one class before any comparison; a null id never becomes a component's id unless its
@@ -15,7 +20,11 @@ component has no other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -28,183 +37,271 @@ from .common import components, fresh, partitions, row_marks, runs, stored, word
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
+#: Of the pipeline's stage: bits of the first fingerprint, shingle and 64-bit words of the second, and its bits.
+NEAR, NEAR_SHINGLE, NEAR_WORDS = 7, 5, 4
+WIDE = int(64 * NEAR_WORDS * math.acos(2 * 0.8 / 1.8) / math.pi)
 #: Members of an anchor that one task compares; a larger anchor is split.
 BUCKET = 50_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits; the majority of the shingles' hashes, bit by bit."""
-    w = words(text)
-    if not w:
-        return 0
-    digest, text_bytes = xxhash.xxh64_intdigest, b" ".join(w)
+def shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of words, repeats included; of all words where there are fewer."""
+    digest, data = xxhash.xxh64_intdigest, b" ".join(w)
     if len(w) < shingle:
-        hashes = [digest(text_bytes, SEED)]
-    else:
-        size = np.fromiter(map(len, w), np.int64, len(w))
-        ends = np.cumsum(size + 1) - 1
-        starts = (ends - size)[: len(w) - shingle + 1].tolist()
-        hashes = [digest(text_bytes[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+        return np.array([digest(data, SEED)], "<u8")
+    size = np.fromiter(map(len, w), np.int64, len(w))
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[: len(w) - shingle + 1].tolist()
+    return np.array([digest(data[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())], "<u8")
+
+
+def majority(every: np.ndarray) -> int:
+    """64 bits, each as in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    every = np.array(hashes, "<u8")
     for i in range(0, len(every), 1 << 15):
         bits = np.unpackbits(every[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(every), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
-    """``(doc_id, fp)`` of each row, and longs ``more`` beside; ``fp`` holds the 64 bits as a signed long."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64 bits; the majority of the shingles' hashes, bit by bit."""
+    w = words(text)
+    return majority(shingle_hashes(w, shingle)) if w else 0
+
+
+def again(x: np.ndarray, k: int) -> np.ndarray:
+    """Further 64 bits from hashes."""
+    x = x + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def wide_fingerprint(text: str | None, n: int = NEAR_WORDS, shingle: int = NEAR_SHINGLE) -> list[int]:
+    """n times 64 bits."""
+    w = words(text)
+    every = shingle_hashes(w, shingle) if w else None
+    return [majority(again(every, k)) if w else 0 for k in range(n)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column, wide: int = 0) -> DataFrame:
+    """``(doc_id, fp)`` of each row, longs ``more`` beside, and ``wide`` words of a second fingerprint, ``w0`` and so on;
+    each holds 64 bits as a signed long."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", *names])
+            texts = [t.as_py() for t in b.column(1)]
+            fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            others = np.array([wide_fingerprint(t, wide) for t in texts] if wide else [], np.uint64).reshape(-1, wide).view(np.int64) if wide else None
+            columns = [b.column(0), pa.array(fp), *b.columns[2:], *(pa.array(others[:, k].copy()) for k in range(wide))]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
-    names = rows.columns[2:]
-    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in ("doc_id", "fp", *names)))
+    names = ["doc_id", "fp", *rows.columns[2:], *(f"w{k}" for k in range(wide))]
+    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in names))
 
 
-def anchors(x: np.ndarray, checks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Anchors within distance 2 of each x of 2**checks bits, as (row of x, anchor).
+@lru_cache
+def flips(checks: int, radius: int) -> list[np.ndarray]:
+    """For each syndrome, all changes of at most ``radius`` bits that have it, so that they lead from a value to an anchor.
 
-    The code is Hamming's with ``checks`` check bits, and the top bit free. Its covering radius is 1.
+    The code is Hamming's with ``checks`` check bits, in 2**checks bits of which the top one is free.
     """
-    n = (1 << checks) - 1
-    body, free = x & np.uint64((1 << n) - 1), x >> np.uint64(n) << np.uint64(n)
+    bits = 1 << checks
+    found: list[list[int]] = [[] for _ in range(bits)]
+    for k in range(radius + 1):
+        for places in combinations(range(bits), k):
+            syndrome = reduce(xor, ((i + 1) % bits for i in places), 0)
+            found[syndrome].append(sum(1 << i for i in places))
+    return [np.array(f, np.uint64) for f in found]
+
+
+def anchors(x: np.ndarray, checks: int, radius: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors within ``radius`` of each x of 2**checks bits, as (row of x, anchor). The code's covering radius is 1."""
+    bits = 1 << checks
     syndrome = np.zeros(len(x), np.int64)
     for k in range(checks):
-        mask = sum(1 << (i - 1) for i in range(1, n + 1) if i >> k & 1)
-        syndrome |= (np.bitwise_count(body & np.uint64(mask)).astype(np.int64) & 1) << k
-    unit = np.concatenate([[0], 1 << np.arange(n, dtype=np.uint64)]).astype(np.uint64)
-    home = body ^ unit[syndrome]
-    rows, found = [np.arange(len(x))] * 2, [home | free, home | free ^ np.uint64(1 << n)]
-    off = np.flatnonzero(syndrome)
-    for i in range(1, n + 1):
-        j = syndrome[off] ^ i
-        keep = j > i  # flips of bits i and j; j = 0 is the home itself
-        r = off[keep]
-        rows.append(r)
-        found.append(body[r] ^ unit[i] ^ unit[j[keep]] | free[r])
+        mask = sum(1 << i for i in range(bits - 1) if (i + 1) >> k & 1)
+        syndrome |= (np.bitwise_count(x & np.uint64(mask)).astype(np.int64) & 1) << k
+    rows, found = [], []
+    for s, change in enumerate(flips(checks, radius)):
+        own = np.flatnonzero(syndrome == s)
+        rows.append(np.repeat(own, len(change)))
+        found.append((x[own, None] ^ change).ravel())
     return np.concatenate(rows), np.concatenate(found)
 
 
-def linked(fp: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is connected within ``fp``: each reached value with the one it was reached from."""
-    a, b, left = [], [], np.arange(len(fp))
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            by = np.full(len(left), -1)
-            for k in range(0, len(front), 64):
-                open_ = np.flatnonzero(by < 0)
-                near = np.bitwise_count(fp[front[k : k + 64], None] ^ fp[left[open_]]) <= threshold
-                hit = near.any(0)
-                by[open_[hit]] = front[k : k + 64][near.argmax(0)[hit]]
-            new = by >= 0
-            a.append(left[new])
-            b.append(by[new])
-            front, left = left[new], left[~new]
+def near(fp: np.ndarray, rows: np.ndarray, others: np.ndarray, threshold: int, wide: int) -> np.ndarray:
+    """Which of ``others`` each of ``rows`` links with; a row of ``fp`` is one or more words."""
+    found = np.bitwise_count(fp[rows, :1] ^ fp[others, 0]) <= threshold
+    if fp.shape[1] > 1:
+        i, j = np.nonzero(found)
+        found[i, j] = np.bitwise_count(fp[rows[i], 1:] ^ fp[others[j], 1:]).sum(1, dtype=np.int64) <= wide
+    return found
+
+
+def linked(fp: np.ndarray, threshold: int = THRESHOLD, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is connected within ``fp``: each reached row with the one it was reached from."""
+    fp = fp.reshape(len(fp), -1)
+    a, b, alive = [], [], np.ones(len(fp), bool)
+    for s in range(0, len(fp), 256):
+        rows = s + np.flatnonzero(alive[s : s + 256])
+        if not len(rows):
+            continue
+        rest = s + np.flatnonzero(alive[s:])
+        close = near(fp, rows, rest, threshold, wide)
+        some = close.sum(1) > 1
+        alive[rows[~some]] = False  # those alone are done, all at once
+        for r in np.flatnonzero(some):
+            start = rows[r]
+            if not alive[start]:
+                continue
+            alive[start] = False
+            front = rest[close[r]]
+            front = front[alive[front]]
+            a.append(front)
+            b.append(np.full(len(front), start))
+            alive[front] = False
+            while len(front):
+                left = np.flatnonzero(alive)
+                if not len(left):
+                    break
+                by = np.full(len(left), -1)
+                for k in range(0, len(front), 64):
+                    open_ = np.flatnonzero(by < 0)
+                    own = near(fp, front[k : k + 64], left[open_], threshold, wide)
+                    hit = own.any(0)
+                    by[open_[hit]] = front[k : k + 64][own.argmax(0)[hit]]
+                new = by >= 0
+                a.append(left[new])
+                b.append(by[new])
+                front = left[new]
+                alive[front] = False
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(classes: DataFrame, threshold: int = THRESHOLD, bucket: int = BUCKET) -> DataFrame:
-    """Links ``(a, b)`` between distinct fingerprints ``fp`` that connect all pairs within the threshold."""
-    if threshold > 3:
-        raise ValueError("halves that differ in one bit at most are sure for thresholds up to 3")
-    schema = "key long, fp long"
-    n = partitions(classes.sparkSession)
+def parts_of(threshold: int) -> int:
+    """Parts of a fingerprint of which one differs in at most one bit."""
+    if threshold > 7:
+        raise ValueError("of quarters that differ in one bit at most one is sure for thresholds up to 7")
+    return 2 if threshold <= 3 else 4
+
+
+def spread(fp: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)`` of each fingerprint's anchors on each part."""
+    size, found = 64 // parts, []
+    for part in range(parts):
+        x = fp >> np.uint64(size * part) & np.uint64((1 << size) - 1)
+        rows, key = anchors(x, size.bit_length() - 1)
+        found.append((rows, key | np.uint64(part << 32)))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def spread_further(fp: np.ndarray, key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)`` of fingerprints at an anchor of ``spread``, by anchors on the quarters that it doesn't speak of.
+
+    With halves, one of the two other quarters differs in at most one bit of three; with quarters, one of three in at most two of seven.
+    """
+    part, found = (key >> np.uint64(32)).astype(np.int64), []
+    for quarter in range(4):
+        own = np.flatnonzero(part != quarter * parts // 4)
+        rows, other = anchors(fp[own] >> np.uint64(16 * quarter) & np.uint64(0xFFFF), 4, 2 if parts == 2 else 3)
+        rows = own[rows]
+        found.append((rows, (key[rows] * np.uint64(4) + np.uint64(quarter)) << np.uint64(16) | other))
+    return tuple(np.concatenate(c) for c in zip(*found))
 
-    def spread(level: int):
+
+def links(classes: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``node, fp`` and words of a second fingerprint, if any, that connect all pairs that link."""
+    parts, n = parts_of(threshold), partitions(classes.sparkSession)
+    names = [c for c in classes.columns if c != "node"]
+
+    def dealt(further: bool):
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
                 for at in range(0, big.num_rows, 20_000):
                     b = big.slice(at, 20_000)
                     fp = b.column("fp").to_numpy().view(np.uint64)
-                    key = b.column("key").to_numpy(zero_copy_only=False) if level else None
-                    for part in range(2):
-                        if level:  # the half that the first key doesn't speak of, in quarters
-                            other = np.where(key >> 32 & 1, 0, 32).astype(np.uint64) + np.uint64(16 * part)
-                            rows, found = anchors(fp >> other & np.uint64(0xFFFF), 4)
-                            found = (key[rows].view(np.uint64) * np.uint64(2) + np.uint64(part)) << np.uint64(16) | found
-                        else:
-                            rows, found = anchors(fp >> np.uint64(32 * part) & np.uint64(0xFFFFFFFF), 5)
-                            found |= np.uint64(part << 32)
-                        columns = [pa.array(found.view(np.int64)), pa.array(fp[rows].view(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, ["key", "fp"])
+                    rows, key = spread_further(fp, b.column("key").to_numpy().view(np.uint64), parts) if further else spread(fp, parts)
+                    yield b.select(["node", *names]).take(pa.array(rows)).append_column("key", pa.array(key.view(np.int64)))
 
         return each
 
     def compare(most: int | None):
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in runs(batches, "key"):
-                key = t.column("key").to_numpy()
-                fp = t.column("fp").to_numpy().view(np.uint64)
+                key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+                fp = np.stack([t.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
                 start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 size = np.diff(np.r_[start, len(key)])
                 a, b, over = [], [], []
                 for s, k in zip(start[size > 1].tolist(), size[size > 1].tolist()):
-                    own = fp[s : s + k]
                     if most and k > most:
                         over.append(np.arange(s, s + k))
-                    elif k == 2:
-                        if int(own[0] ^ own[1]).bit_count() <= threshold:
-                            a.append(own[:1])
-                            b.append(own[1:])
+                    elif k == 2 and int(fp[s, 0] ^ fp[s + 1, 0]).bit_count() > threshold:
+                        continue
                     else:
-                        i, j = linked(own, threshold)
-                        a.append(own[i])
-                        b.append(own[j])
-                if a:
-                    x, y = np.concatenate(a), np.concatenate(b)
-                    columns = [x.view(np.int64), y.view(np.int64), np.full(len(x), -1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "over"])
-                if over:
-                    i = np.concatenate(over)
-                    columns = [fp[i].view(np.int64), fp[i].view(np.int64), key[i]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "over"])
+                        i, j = linked(fp[s : s + k], threshold, wide)
+                        a.append(s + i)
+                        b.append(s + j)
+                a, b, over = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b, over))
+                at = np.concatenate([a, over])
+                columns = [node[at], np.concatenate([node[b], node[over]]), np.repeat([-1, 0], [len(a), len(over)]), key[at], *(fp[at, k].view(np.int64) for k in range(len(names)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "over", "key", *names])
 
         return each
 
-    def at_anchors(rows: DataFrame, level: int) -> DataFrame:
-        keyed = rows.mapInArrow(spread(level), schema).repartition(n, "key").sortWithinPartitions("key")
-        return stored(keyed.mapInArrow(compare(None if level else bucket), "a long, b long, over long"), "links")
+    def at_anchors(rows: DataFrame, further: bool) -> DataFrame:
+        longs = ", ".join(f"{c} long" for c in ("node", *names, "key"))
+        keyed = rows.mapInArrow(dealt(further), longs).repartition(n, "key").sortWithinPartitions("key")
+        found = ", ".join(f"{c} long" for c in ("a", "b", "over", "key", *names))
+        return keyed.mapInArrow(compare(None if further else bucket), found)
 
-    found = at_anchors(classes.select("fp"), 0)
+    found = at_anchors(classes, False)
+    # a link needs its nodes only; the members of a split anchor come whole
+    found = stored(found.select("a", "b", "over", *[F.when(F.col("over") == 0, F.col(c)).alias(c) for c in ("key", *names)]), "links")
     out = found.where("over < 0").select("a", "b")
-    over = found.where("over >= 0").select(F.col("over").alias("key"), F.col("a").alias("fp"))
-    return out.union(at_anchors(over, 1).select("a", "b")) if over.take(1) else out
-
-
-def rooted(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``fp, first, root`` of each fingerprint: its smallest id, and the smallest fingerprint reachable by links."""
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    reach = components(links(classes, bucket=bucket)).withColumnsRenamed({"node": "fp"})
-    named = classes.hint("merge").join(reach.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    over = found.where("over = 0").select(F.col("a").alias("node"), "key", *names)
+    return out.union(stored(at_anchors(over, True).select("a", "b"), "links")) if over.take(1) else out
+
+
+def rooted(prints: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """``fp, ..., first, node, root`` of each class of equal fingerprints: its smallest id, a number, and the smallest number reachable."""
+    own = [c for c in prints.columns if c not in ("doc_id", "mark")]
+    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("first"))
+    node = F.col("fp") if own == ["fp"] else F.monotonically_increasing_id()
+    classes = stored(classes.withColumn("node", node), "classes")  # numbers are fixed once written
+    reach = components(links(classes.drop("first"), threshold, wide, bucket))
+    named = classes.hint("merge").join(reach.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return stored(named, "named")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """``doc_id, fp, component_id`` for each row of ``docs``: component_id is the smallest id reachable by links."""
-    prints = stored(fingerprints(docs, id_col, text_col), "prints")
-    named = rooted(prints, bucket)
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, words_: int = 0, wide: int = WIDE, bucket: int = BUCKET) -> DataFrame:
+    """``doc_id, fp, component_id`` for each row of ``docs``: component_id is the smallest id reachable by links.
+
+    With ``words_``, a second fingerprint of so many words must differ in at most ``wide`` bits too.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, wide=words_), "prints")
+    own = [c for c in prints.columns if c != "doc_id"]
+    named = rooted(prints, threshold, wide, bucket)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.select("fp", "root").hint("merge").join(least.hint("merge"), "root").select("fp", "component_id")
-    return prints.hint("merge").join(of.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    of = named.select(*own, "root").hint("merge").join(least.hint("merge"), "root").select(*own, "component_id")
+    return prints.hint("merge").join(of.hint("merge"), own).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = NEAR, words_: int = NEAR_WORDS, wide: int = WIDE) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest id, nulls last, and of these the smallest hash of the row.
 
     Components are kept by row, so those with equal or null ids keep a row each. Rows that are equal count once.
     """
     mark = row_marks(docs)[0]
-    prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark")), "prints")
-    root = rooted(prints).select("fp", "root")
+    prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark"), wide=words_), "prints")
+    classes = [c for c in prints.columns if c not in ("doc_id", "mark")]
+    root = rooted(prints, threshold, wide).select(*classes, "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
-    of = prints.groupBy("fp").agg(first).hint("merge").join(root.hint("merge"), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    of = prints.groupBy(*classes).agg(first).hint("merge").join(root.hint("merge"), classes).groupBy("root").agg(F.min("row").alias("row"))
     kept = stored(of.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark")), "kept")
     own, kept_id, kept_mark = (fresh(docs, f"simhash_{n}") for n in ("mark", "id", "kept"))
     heads = kept.withColumnsRenamed({"kept_id": kept_id, "kept_mark": kept_mark}).hint("merge")
