@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, stored
+from .common import components, partitions, salted_join, stored
 
 THRESHOLD = 0.93
 SHARD = 8192
@@ -314,9 +314,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reach = components(found.select("node", "root"), "node", "root").withColumnRenamed("root", "least")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = classes.hint("merge").join(links.hint("merge"), "node", "left").hint("merge").join(reach.hint("merge"), "node", "left")
-    known = stored(known.select("label", "vector", "own", "mult", "links", F.coalesce("least", "node").alias("root")), "known")
+    known = stored(known.select("label", "vector", "own", "mult", "links", F.coalesce("least", "node").alias("root"), "node"), "known")
     least = known.groupBy("root").agg(F.min("own").alias("component_id"))
-    known = known.withColumn("n_links", F.col("mult") - 1 + F.coalesce("links", F.lit(0))).hint("merge").join(least.hint("merge"), "root")
+    known = known.withColumn("n_links", F.col("mult") - 1 + F.coalesce("links", F.lit(0)))
+    known = salted_join(known, least, "root", "node", known.count())
     out = good.hint("merge").join(known.select("label", "vector", "n_links", "component_id").hint("merge"), ["label", "vector"])
     out = out.select("id", "n_links", "component_id")
     out = out.union(some.where("vector is null").select("id", F.lit(0).cast("long"), "id"))

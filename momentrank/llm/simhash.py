@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, fresh, partitions, row_marks, runs, stored, words
+from .common import components, fresh, partitions, row_marks, runs, salted_join, stored, words
 
 SHINGLE = 3
 SEED = 42
@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = [c for c in prints.columns if c != "doc_id"]
     named = rooted(prints, threshold, wide, bucket)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = named.select(*own, "root").hint("merge").join(least.hint("merge"), "root").select(*own, "component_id")
+    of = salted_join(named.select(*own, "root", "node"), least, "root", "node", named.count()).select(*own, "component_id")
     return prints.hint("merge").join(of.hint("merge"), own).select("doc_id", "fp", "component_id")
 
 
