@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bloomlm import op6_bloomlm
 from .hnsw import op9_hnsw
+from .merkle import OP13_SQL, op13_merkle
 from .mixing import OP3_SQL, op3_mixing
 from .pieces import op5_pieces
 from .quality import op10_quality
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_hnsw": op9_hnsw,
     "op10_quality": op10_quality,
+    "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL, "op13_merkle": OP13_SQL}
