@@ -9,6 +9,7 @@ from .mixing import OP3_SQL, op3_mixing
 from .pieces import op5_pieces
 from .quality import op10_quality
 from .quotes import op1_quotes
+from .repair import OP12_SQL, op12_repair
 from .simhash import op2_simhash
 from .sketch import op7_sketch
 from .toxicity import op8_toxicity
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_hnsw": op9_hnsw,
     "op10_quality": op10_quality,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
-ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL, "op13_merkle": OP13_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_urlfilter": OP4_SQL, "op12_repair": OP12_SQL, "op13_merkle": OP13_SQL}
