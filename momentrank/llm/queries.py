@@ -14,6 +14,7 @@ from .simhash import op2_simhash
 from .sketch import op7_sketch
 from .toxicity import op8_toxicity
 from .urlfilter import OP4_SQL, op4_urlfilter
+from .wrapper import op11_wrapper
 
 QUERIES = {
     "op1_quotes": op1_quotes,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_hnsw": op9_hnsw,
     "op10_quality": op10_quality,
+    "op11_wrapper": op11_wrapper,
     "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
