@@ -40,6 +40,8 @@ from .common import salted_join, stored
 HOST = 64
 #: Children of a node that a shape tells apart by place; below DEPTH open elements no further ones make nodes.
 WIDE, DEPTH = 32, 200
+#: Rows of the table of hosts' shapes that go to every task, each a few hundred bytes.
+SMALL = 10_000
 #: A text in a slot is template from this share of the pages that fill the slot, if so many pages do.
 CONSTANT, PAGES = 0.9, 8
 #: Elements without end tag, elements whose content is no markup, elements that show no text of the page. Fixed values.
@@ -347,25 +349,26 @@ def pages(rows: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("links", pa.bool_())]))
         for b in batches:
-            uids, shapes, found = b.column("uid"), [], []
+            shapes, found = [], []
             for html in b.column("html").to_pylist():
                 root, blocks = parsed(html)
-                tree = folded(root)
-                order, todo = {}, [tree]
+                order, todo = {}, [folded(root)]
+                shapes.append(written(todo[0]))
                 count = 0
                 while todo:
                     at = todo.pop()
                     order |= {id(x): count for x in at.own}
                     count += 1
                     todo += at.children[::-1]
-                shapes.append(written(tree))
                 found.append([{"node": order[id(n)], "text": t, "links": k >= 0.9 * len(t)} for n, t, k in blocks])
-            yield pa.RecordBatch.from_arrays([uids, pa.array(shapes, pa.string()), pa.array(found, kind)], ["uid", "shape", "blocks"])
+            own = [b.column(c) for c in ("uid", "id", "url", "host")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(shapes, pa.string()), pa.array(found, kind)], ["uid", "id", "url", "host", "shape", "blocks"])
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^.*?://([^/?#]*)", 1))
-    some = stored(rows.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html")), "pages")
-    done = some.select("uid", "html").mapInArrow(each, "uid long, shape string, blocks array<struct<node int, text string, links boolean>>")
-    return stored(some.drop("html").hint("merge").join(done.hint("merge"), "uid"), "parsed")
+    some = rows.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
+    own = ", ".join(f"{c} {some.schema[c].dataType.simpleString()}" for c in ("uid", "id", "url", "host"))
+    found = some.mapInArrow(each, f"{own}, shape string, blocks array<struct<node:int,text:string,links:boolean>>")
+    return stored(found.withColumn("key", F.sha2(F.concat("host", F.lit("\n"), "shape"), 256)), "parsed")
 
 
 def wrappers(shapes: DataFrame) -> DataFrame:
@@ -401,21 +404,28 @@ def laid(shapes: DataFrame, found: DataFrame) -> DataFrame:
     return stored(both.select("key", "host", "wrapper", "shape").mapInArrow(each, "key string, host string, slots array<int>, kinds array<int>"), "slots")
 
 
-def extracted(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``id, url, text`` of each page."""
-    own = pages(rows, id_col, url_col, html_col).withColumn("key", F.sha2(F.concat("host", F.lit("\n"), "shape"), 256))
+def constants(own: DataFrame, places: DataFrame) -> DataFrame:
+    """``host, constant``: hashes of the texts that are template on a host; what is counted has no texts."""
+    marks = F.array_distinct(F.transform("blocks", lambda b: F.struct(b.node.alias("node"), F.xxhash64(b.text).alias("hash"))))
+    texts = stored(own.select("key", F.explode(marks).alias("b")).groupBy("key", "b.node", "b.hash").agg(F.count("*").alias("n")), "texts")
+    nodes = own.select("key", F.explode(F.array_distinct(F.transform("blocks", lambda b: b.node))).alias("node")).groupBy("key", "node").agg(F.count("*").alias("n"))
+    slot = places.select("key", "host", F.posexplode("slots").alias("node", "slot"))
+    filled = nodes.hint("merge").join(slot.hint("merge"), ["key", "node"]).groupBy("host", "slot").agg(F.sum("n").alias("pages")).where(F.col("pages") >= PAGES)
+    counts = salted_join(texts, places.select("key", "host", "slots"), "key", "hash", texts.count()).withColumn("slot", F.col("slots")[F.col("node")])
+    counts = counts.groupBy("host", "slot", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES * CONSTANT)
+    same = counts.hint("merge").join(filled.hint("merge"), ["host", "slot"]).where(F.col("n") >= CONSTANT * F.col("pages"))
+    return same.groupBy("host").agg(F.collect_set("hash").alias("constant"))
+
+
+def extracted(rows: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", small: int = SMALL) -> DataFrame:
+    """``id, url, text`` of each page. Up to ``small`` shapes of hosts go to the pages; beyond that, pages are joined with them."""
+    own = pages(rows, id_col, url_col, html_col)
     shapes = stored(own.groupBy("key", "host", "shape").agg(F.count("*").alias("n")), "shapes")
     places = laid(shapes, wrappers(shapes.select("host", "shape", "n")))
-    own = stored(salted_join(own.drop("shape", "host"), places, "key", "uid", own.count()), "placed")
-    # pages that fill a slot, and pages that have a text there
-    block = F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(F.col("slots")[b.node].alias("slot"), F.xxhash64(b.text).alias("hash")))))
-    texts = own.select("host", "uid", block.alias("b")).select("host", "uid", "b.slot", "b.hash")
-    filled = own.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.col("slots")[b.node]))).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("pages"))
-    counts = stored(texts.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES * CONSTANT), "texts")
-    same = counts.hint("merge").join(filled.where(F.col("pages") >= PAGES).hint("merge"), ["host", "slot"]).where(F.col("n") >= CONSTANT * F.col("pages"))
-    constant = same.groupBy("host").agg(F.collect_set("hash").alias("constant"))
-    hosts = own.select("host").distinct().hint("merge").join(constant.hint("merge"), "host", "left")
-    own = salted_join(own, hosts, "host", "uid", own.count())
+    info = places.hint("merge").join(constants(own, places).hint("merge"), "host", "left").select("key", "kinds", "constant")
+    info = stored(info, "info")
+    own = own.select("uid", "id", "url", "key", "blocks")
+    own = own.join(F.broadcast(info), "key") if info.count() <= small else salted_join(own, info, "key", "uid", own.count())
     open_ = F.filter("blocks", lambda b: (F.col("kinds")[b.node] == 1) | ((F.col("kinds")[b.node] == 2) & ~b.links))
     own = own.withColumn("open", open_)
     varying = F.when(F.col("constant").isNull(), F.col("open")).otherwise(F.filter("open", lambda b: ~F.array_contains("constant", F.xxhash64(b.text))))

@@ -6,9 +6,9 @@ import pytest
 from momentrank.llm import wrapper
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, shape int")
-    return {r.id: r.text for r in wrapper.extracted(df.repartition(3)).collect()}
+    return {r.id: r.text for r in wrapper.extracted(df.repartition(3), **options).collect()}
 
 
 def plain(html):
@@ -31,6 +31,7 @@ def test_template_of_a_host_without_names(spark):
     rows = [(i, f"http://a.org/{i}", page.format(i=i, extra="<div><img src=x></div>" if i % 3 else "")) for i in range(20)]
     rows.append((100, "http://b.org/1", page.format(i=1, extra="")))
     got = run(spark, rows)
+    assert got == run(spark, rows, small=0)
     for i in range(20):
         assert got[i] == f"Story {i} begins\n\nand {i} ends."
     assert got[100] == "My site\n\nWelcome to all\n\nStory 1 begins\n\nand 1 ends.\n\nAll rights kept"  # one page can't tell
