@@ -67,14 +67,30 @@ def allowed(regions: DataFrame, video_rules: DataFrame, pins: DataFrame) -> Data
 def rule_state(edits: DataFrame) -> DataFrame:
     """Current rules from an append-only log ``(session_id, video_id, action, seq)`` of allow, reject, prioritize, clear.
 
-    The latest edit of a video decides: a rejection takes it off the other lists, a priority puts it in front and takes
-    back a rejection. ``pos`` orders priorities, the latest first.
+    Three lists, and a video can be on more than one. A rejection takes it off the other two; a priority puts it in front and
+    takes back a rejection, and leaves the allowlist alone; clear takes it off all three. Allowing a rejected video is refused, as
+    both would hold at once. ``pos`` orders priorities, the latest first.
     """
-    last = W.partitionBy("session_id", "video_id").orderBy(F.desc("seq"))
-    now = edits.withColumn("rn", F.row_number().over(last)).where("rn = 1 and action <> 'clear'")
-    order = W.partitionBy("session_id", "action").orderBy(F.desc("seq"), "video_id")
-    pos = F.when(F.col("action") == "prioritize", F.row_number().over(order) - 1)
-    return now.select("session_id", "video_id", F.col("action").alias("rule"), pos.cast("long").alias("pos"))
+    line = W.partitionBy("session_id", "video_id").orderBy("seq")
+    earlier = line.rowsBetween(W.unboundedPreceding, -1)
+    mark = F.when(F.col("action") != "allow", F.col("action"))
+    # what the edit meets: the last action that put the video on, or took it off, the rejected ones
+    before = F.last(mark, ignorenulls=True).over(earlier)
+    taken = edits.withColumn("before", before).where((F.col("action") != "allow") | F.coalesce(F.col("before") != "reject", F.lit(True)))
+    last = lambda *kinds: F.max(F.when(F.col("action").isin(*kinds), F.col("seq")))
+    now = taken.groupBy("session_id", "video_id").agg(
+        last("allow").alias("allow"), last("prioritize").alias("prioritize"), last("reject").alias("reject"), last("reject", "clear").alias("off"), last("prioritize", "clear").alias("back")
+    )
+    later = lambda a, b: F.col(a).isNotNull() & (F.col(b).isNull() | (F.col(a) > F.col(b)))
+    rules = F.array(
+        F.when(later("allow", "off"), F.struct(F.lit("allow").alias("rule"), F.lit(None).cast("long").alias("at"))),
+        F.when(later("prioritize", "off"), F.struct(F.lit("prioritize").alias("rule"), F.col("prioritize").cast("long").alias("at"))),
+        F.when(later("reject", "back"), F.struct(F.lit("reject").alias("rule"), F.lit(None).cast("long").alias("at"))),
+    )
+    out = now.select("session_id", "video_id", F.inline(F.filter(rules, lambda r: r.isNotNull())))
+    order = W.partitionBy("session_id", "rule").orderBy(F.desc("at"), "video_id")
+    pos = F.when(F.col("rule") == "prioritize", F.row_number().over(order) - 1)
+    return out.select("session_id", "video_id", "rule", pos.cast("long").alias("pos"))
 
 
 def standing_pins(pins: DataFrame, edits: DataFrame) -> DataFrame:

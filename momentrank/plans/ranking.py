@@ -474,10 +474,15 @@ def region_representative(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("video_id", "event_id", F.round("start_seconds", 6).alias("start_seconds"), F.round("best_seconds", 6).alias("best_seconds"))
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events), n AS (SELECT user_id, event_type, event_id FROM events)
-SELECT 's' AS session_id, user_id AS video_id, action AS rule, CASE WHEN action = 'prioritize' THEN row_number() OVER (PARTITION BY action ORDER BY event_id DESC, user_id) - 1 END AS pos FROM (
-  SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'allow' WHEN 'click' THEN 'prioritize' WHEN 'error' THEN 'reject' ELSE 'clear' END AS action,
-         row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM n) WHERE k = 1 AND action <> 'clear'""")
+# m: a video's last edits; p1: the first priority after its last rejection, from when it may be allowed again
+@query("""WITH e AS (SELECT user_id AS v, event_id AS seq, CASE event_type WHEN 'view' THEN 'allow' WHEN 'click' THEN 'prioritize' WHEN 'error' THEN 'reject' ELSE 'clear' END AS action FROM events),
+m AS (SELECT v, coalesce(max(seq) FILTER (action = 'allow'), -1) AS a, coalesce(max(seq) FILTER (action = 'prioritize'), -1) AS p,
+             coalesce(max(seq) FILTER (action = 'reject'), -1) AS r, coalesce(max(seq) FILTER (action = 'clear'), -1) AS c FROM e GROUP BY v),
+n AS (SELECT m.*, (SELECT min(seq) FROM e WHERE e.v = m.v AND action = 'prioritize' AND seq > m.r) AS p1 FROM m),
+o AS (SELECT v, 'reject' AS rule, NULL::BIGINT AS at FROM n WHERE r > greatest(p, c)
+UNION ALL SELECT v, 'prioritize', p FROM n WHERE p > greatest(r, c)
+UNION ALL SELECT v, 'allow', NULL FROM n WHERE a > greatest(r, c) AND (r < 0 OR c > r OR a > p1))
+SELECT 's' AS session_id, v AS video_id, rule, CASE WHEN rule = 'prioritize' THEN row_number() OVER (PARTITION BY rule ORDER BY "at" DESC, v) - 1 END AS pos FROM o""")
 def rule_state(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "allow").when(F.col("event_type") == "click", "prioritize").when(F.col("event_type") == "error", "reject").otherwise("clear")
     edits = spark.read.parquet(f"{sf}/events.parquet").select(F.lit("s").alias("session_id"), F.col("user_id").alias("video_id"), kind.alias("action"), F.col("event_id").alias("seq"))

@@ -160,9 +160,9 @@ def test_runs(spark, tmp_path):
     assert {r.path: r.value for r in runs.flattened(nested, "session_id").collect()} == {"cfg.a": '{"v":1}', "cfg.b.c": '{"v":"x"}', "cfg.b.d": '{"v":[1,2]}'}
     path = str(tmp_path / "p")
     rows = lambda e, x: spark.createDataFrame([("s", e, x)], "session_id string, event_id string, x int")
-    sinks.replace_partitions(rows("a", 1).union(rows("b", 2)), path)
-    sinks.replace_partitions(rows("b", 3), path)
-    assert sorted((r.event_id, r.x) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 3)]
+    sinks.replace_groups(rows("a", 1).union(rows("b", 2)), rows("a", 0).union(rows("b", 0)), path)
+    sinks.replace_groups(rows("b", 3), rows("b", 0), path)
+    assert sorted((r.event_id, r.x) for r in sinks.live(spark, path).collect()) == [("a", 1), ("b", 3)]
     bad = runs.replace_violations(rows("a", 1).withColumn("id", F.lit("i")), rows("b", 1).withColumn("id", F.lit("i")), rows("c", 0)).collect()
     assert sorted(r.rule for r in bad) == ["duplicate_id", "foreign_event"]
 
@@ -185,4 +185,4 @@ def test_streams(spark, tmp_path):
     assert sorted((r.hits, r.best) for r in spark.table("closed").collect()) == [(2, 13.0), (3, 4.0)]
     named = stream.select(F.lit("s").alias("session_id"), "event_id", "score")
     ingest.ingest(named, out, str(tmp_path / "ck")).awaitTermination()
-    assert spark.read.parquet(out).count() == 6
+    assert sinks.live(spark, out).count() == 6
