@@ -13,7 +13,8 @@ by alternating stars.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or
 a null id, link with nothing: no links, a component of their own, kept. Vectors of another length than the label's
 most common one form shards of their own. Each row is a vector, so a repeated row links with its copy, and rows that share
-an id are linked, or not, each for itself; component_id is the smallest id of the rows reached. Only the id, vector
+an id are linked, or not, each for itself; component_id is the smallest id of the rows reached. Ids have any type that can be
+sorted, and labels any type: they are equal or not, as they are. Only the id, vector
 and label columns are read, so extra columns can't clash.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, partitions, salted_join, stored
@@ -255,29 +256,33 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD)
         layers = [np.int64(len(g.layers)).tobytes()]
         for nodes, links in zip(g.layers, g.links):
             layers += [np.int64(len(nodes)).tobytes(), nodes.astype(np.int64).tobytes(), links[nodes].tobytes()]
-        values = [t.column(c)[0].as_py() for c in ("label", "size", "shard")] + [ids.tobytes(), mult.tobytes(), x.tobytes(), b"".join(layers), g.audited(threshold)]
+        values = [t.column(c)[0].as_py() for c in ("label", "size", "shard", "shards")] + [ids.tobytes(), mult.tobytes(), x.tobytes(), b"".join(layers), g.audited(threshold)]
         return pa.table([[v] for v in values], schema)
 
-    schema = pa.schema([("label", pa.int64()), ("size", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("mult", pa.binary()), ("x", pa.binary()), ("layers", pa.binary()), ("width", pa.int32())])
-    ddl = "label long, size int, shard long, ids binary, mult binary, x binary, layers binary, width int"
-    graphs = stored(dealt.select("label", "size", "shard", "id", "mult", "vector").groupBy("label", "size", "shard").applyInArrow(build, ddl), "graphs")
+    schema = pa.schema([("label", pa.string()), ("size", pa.int32()), ("shard", pa.int64()), ("shards", pa.int64()), ("ids", pa.binary()), ("mult", pa.binary()), ("x", pa.binary()), ("layers", pa.binary()), ("width", pa.int32())])
+    ddl = "label string, size int, shard long, shards long, ids binary, mult binary, x binary, layers binary, width int"
+    graphs = stored(dealt.select("label", "size", "shard", "shards", "id", "mult", "vector").groupBy("label", "size", "shard").applyInArrow(build, ddl), "graphs")
     lane = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
     first = graphs.select("label", "size", "shard", lane, F.lit(-1).cast("long").alias("block"), "ids", "mult", "x", "layers", "width")
     empty = F.lit(None).cast("binary")
-    blocks = graphs.select("label", "size", F.col("shard").alias("block"), "ids", empty.alias("mult"), "x", empty.alias("layers"), F.lit(None).cast("int").alias("width"))
-    every = graphs.select("label", "size", "shard")  # numbers only: what is copied to each shard is the block of queries
-    blocks = blocks.hint("merge").join(every.hint("merge"), ["label", "size"]).withColumn("lane", F.pmod("block", F.lit(LANES)).cast("int"))
+    blocks = graphs.select("label", "size", F.col("shard").alias("block"), "shards", "ids", empty.alias("mult"), "x", empty.alias("layers"), F.lit(None).cast("int").alias("width"))
+    # a block goes to each shard's number, also to the few numbers that no vector has drawn, whose lanes have no graph
+    blocks = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
+    blocks = blocks.withColumn("lane", F.pmod("block", F.lit(LANES)).cast("int"))
     place = ["label", "size", "shard", "lane"]
     both = first.unionByName(blocks).repartition(n, *place).sortWithinPartitions(*place, "block")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
+        graph = here = None
         for b in batches:
             for r in range(b.num_rows):
+                at = tuple(b.column(c)[r].as_py() for c in place)
                 size, block, ids_, mult_, x_, layers, width_ = (b.column(c)[r].as_py() for c in ("size", "block", "ids", "mult", "x", "layers", "width"))
                 if block < 0:
                     width, ids, mult, x = width_, np.frombuffer(ids_, np.int64), np.frombuffer(mult_, np.int64), np.frombuffer(x_).reshape(-1, size)
-                    graph = opened(x, layers)
+                    graph, here = opened(x, layers), at
+                    continue
+                if here != at:
                     continue
                 found = compared(graph, width, ids, mult, x, np.frombuffer(ids_, np.int64), np.frombuffer(x_).reshape(-1, size), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["node", "links", "root"])
@@ -300,11 +305,20 @@ def opened(x: np.ndarray, layers: bytes) -> Graph:
     return g
 
 
+def label_key(rows: DataFrame, label_col: str) -> Column:
+    """A text for each label, other texts for other labels: 1.2 and 1.7 are two, 0.0 and -0.0 are one."""
+    kind = rows.select(F.col(label_col)).dtypes[0][1]
+    label = F.col(label_col)
+    if kind in ("double", "float"):
+        return (label + F.lit(0).cast(kind)).cast("string")
+    return F.to_json(F.struct(label)) if kind.startswith(("struct", "array", "map")) else F.hex(label) if kind == "binary" else label.cast("string")
+
+
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row: component_id is the smallest id reachable by links."""
     v = F.col("vector")
     fine = F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    some = rows.select(F.col(id_col).alias("id"), label_key(rows, label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.coalesce(fine & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False))
     some = stored(some.withColumn("vector", F.when(fine, F.transform(v, lambda x: x + 0.0))), "vectors")  # + 0.0: no negative zeros
     good = some.where("vector is not null")

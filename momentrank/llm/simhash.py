@@ -14,7 +14,7 @@ at most WIDE bits: as many as the angle of a Jaccard similarity of 0.8 makes on
 are judged at their anchors and no text is read again. Texts with both fingerprints equal are one class.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal texts have equal
-fingerprints and are one class before any comparison; a null id never becomes a component's id unless its
+fingerprints and are one class before any comparison; ids have any type that can be sorted, and keep it; a null id never becomes a component's id unless its
 component has no other.
 """
 
@@ -97,9 +97,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [b.column(0), pa.array(fp), *b.columns[2:], *(pa.array(others[:, k].copy()) for k in range(wide))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
     names = ["doc_id", "fp", *rows.columns[2:], *(f"w{k}" for k in range(wide))]
-    return rows.mapInArrow(each, ", ".join(f"{c} long" for c in names))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(each, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in names[1:])]))
 
 
 @lru_cache
@@ -305,7 +306,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = stored(of.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark")), "kept")
     own, kept_id, kept_mark = (fresh(docs, f"simhash_{n}") for n in ("mark", "id", "kept"))
     heads = kept.withColumnsRenamed({"kept_id": kept_id, "kept_mark": kept_mark}).hint("merge")
-    same = (F.col(own) == F.col(kept_mark)) & F.col(id_col).cast("long").eqNullSafe(F.col(kept_id))
+    same = (F.col(own) == F.col(kept_mark)) & F.col(id_col).eqNullSafe(F.col(kept_id))
     one = docs.withColumn(own, mark).hint("merge").join(heads, same, "left_semi")
     copies = prints.hint("merge").join(kept.hint("merge"), (F.col("mark") == F.col("kept_mark")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     copies = copies.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")

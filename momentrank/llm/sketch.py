@@ -103,8 +103,14 @@ def merged(a: Sketch, b: Sketch) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_within``."""
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_within``.
+
+    Ids are integers; a column of another type is refused before anything runs.
+    """
     n = partitions(docs.sparkSession)
+    kind = docs.select(F.col(id_col)).dtypes[0][1]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"sketched orders rows by integer ids; {id_col} is {kind}")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"),

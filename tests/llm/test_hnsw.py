@@ -103,3 +103,19 @@ def test_more_links_than_the_beam_is_wide():
         least[i] = r
     assert list(got.values()) == want.tolist()
     assert {least[i] for i in ids[: 2 * n].tolist()} == {3}
+
+
+@pytest.mark.parametrize("kind,labels", [("double", (1.2, 1.7, 1.2)), ("string", ("a", "b", "a")), ("decimal(3,1)", ("1.2", "1.7", "1.2")), ("array<int>", ([1], [2], [1]))])
+def test_labels_and_ids_of_other_types(spark, kind, labels):
+    """Labels that differ don't link, whatever their type; ids keep theirs."""
+    rows = [(f"v{i}", [1.0, 0.01 * i], lab if "decimal" not in kind else None, lab if isinstance(lab, str) else None) for i, lab in enumerate(labels)]
+    df = spark.createDataFrame(rows, f"vec_id string, embedding array<double>, label {kind}, told string")
+    if "decimal" in kind:
+        df = df.withColumn("label", df.told.cast(kind))
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(df).collect()}
+    assert got == {"v0": (1, "v0", True), "v1": (0, "v1", True), "v2": (1, "v0", False)}
+
+
+def test_zeros_of_both_signs_are_one_label(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [1.0, 0.0], -0.0)], "vec_id int, embedding array<double>, label double")
+    assert [r.n_links for r in hnsw.near_duplicates(df).collect()] == [1, 1]

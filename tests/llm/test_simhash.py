@@ -127,3 +127,10 @@ def test_deduplicated_keeps_texts_that_share_an_id(spark):
     want = sorted([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[5])], key=str)
     for parts in (1, 4):
         assert sorted(map(tuple, simhash.deduplicated(df.repartition(parts)).collect()), key=str) == want
+
+
+def test_ids_keep_their_type(spark):
+    df = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four"), (None, "x"), ("c", "long " * 300_000)], "doc_id string, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert got == {"a": "a", "b": "a", None: None, "c": "c"}
+    assert sorted((r.doc_id for r in simhash.deduplicated(df).collect()), key=str) == [None, "a", "c"]

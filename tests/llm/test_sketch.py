@@ -108,3 +108,13 @@ def test_a_very_long_text_and_one_id_for_all(spark):
     got = sketch.sketched(df).collect()
     assert len(got) == 61 and max(r.n_chars for r in got) == 1_200_001
     assert len({r.fingerprint for r in got}) == 61
+
+
+def test_other_ids_are_refused_by_name(spark):
+    df = spark.createDataFrame([("a", "t")], "doc_id string, text string")
+    try:
+        sketch.sketched(df)
+    except TypeError as e:
+        assert "doc_id is string" in str(e)
+    else:
+        raise AssertionError("a string id was taken")
