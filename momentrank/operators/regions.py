@@ -45,9 +45,11 @@ def pooled(regions: DataFrame, absolute: float = 0.0, delta: float = 0.15, most:
     """The regions of each (session, video, event) that reach both thresholds, best first: adds ``rn`` and ``margin``.
 
     A member's margin is its lead over the pool's best other member: the runner-up for the first, the first for the rest.
-    Rows are dealt by (session, video), so what is built on a video's pools needs no further exchange.
+    Rows are dealt by (session, video), so what is built on a video's pools needs no further exchange; to a fixed number of
+    partitions, as adaptive execution would join those of few bytes, however much work is in them.
     """
-    regions = regions.repartition("session_id", "video_id").withColumn("score", F.coalesce("normalized_coarse_score", F.lit(0.0)))
+    parts = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    regions = regions.repartition(parts, "session_id", "video_id").withColumn("score", F.coalesce("normalized_coarse_score", F.lit(0.0)))
     ranked = W.partitionBy(*GROUP).orderBy(F.desc("score"), "seq")
     best = F.max("score").over(W.partitionBy(*GROUP))
     pool = regions.withColumn("best", best).where((F.col("score") >= absolute) & (F.col("score") >= F.col("best") - delta))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import gated, hinge, min_max
 from ..tables import written
+from .kbest import Pool, Search
 from .regions import pooled
 
 
@@ -89,35 +91,48 @@ def gap_terms(times: Sequence[Column], p: Params) -> tuple[Column, Column]:
     return reduce(lambda a, b: a | b, bad), F.when(n > 0, total(sums) / n).otherwise(F.lit(0.0))
 
 
-def combinations(regions: DataFrame, events: Sequence[str], p: Params) -> DataFrame:
-    """Every combination of pooled regions: ``id_i, s_i, t_i, m_i`` of each event, null and 0 where it has no region.
+def combinations(regions: DataFrame, events: Sequence[str], p: Params, pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The best ``most_tuples`` combinations of each video, ``rank_in_video`` and ``id_i, s_i, t_i, m_i`` of each event, null and 0
+    where it has no region.
 
-    One exchange: pools of a video meet in one row, an array an event, and the arrays are unnested one after another, each
-    behind the bounds that its event adds. Pooling comes first, so arrays and products stay small.
+    One exchange: pools of a video meet in one row, an array an event, and a search takes the best combinations from them in
+    order (``kbest``); it never makes their product.
     """
     pool = pooled(regions.where(F.col("event_id").isin(list(events))), p.absolute, p.delta, p.most_regions)
     one = F.struct(F.col("id").alias("id"), F.col("score").alias("s"), F.col("best_seconds").alias("t"), F.col("margin").alias("m"))
     pools = [F.collect_list(F.when(F.col("event_id") == e, one)).alias(f"p_{i}") for i, e in enumerate(events)]
     rows = pool.groupBy("session_id", "video_id").agg(*pools)
     n = len(events)
-    times: list[Column] = []
-    for i in range(n):
-        rest = [f"p_{j}" for j in range(i + 1, n)]
-        done = [f"{c}_{j}" for j in range(i) for c in ("id", "s", "t", "m")]
-        rows = rows.select("session_id", "video_id", *done, *rest, F.explode_outer(f"p_{i}").alias("x"))
-        own = [F.col("x.id").alias(f"id_{i}"), F.coalesce("x.s", F.lit(0.0)).alias(f"s_{i}"), F.col("x.t").alias(f"t_{i}"), F.coalesce("x.m", F.lit(0.0)).alias(f"m_{i}")]
-        rows = rows.select("session_id", "video_id", *done, *rest, *own)
-        times.append(F.col(f"t_{i}"))
-        if p.gaps or p.span is not None:
-            rows = rows.where(~hard_reject(times, p))
-    return rows
-
-
-def hard_reject(times: Sequence[Column], p: Params) -> Column:
-    bad = gap_terms(times, p)[0]
-    if p.span is not None and len(times) > 1:
-        bad = bad | F.coalesce(F.greatest(*times) - F.least(*times) > p.span, F.lit(False))
-    return bad
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            videos: list[int] = []
+            ranks: list[int] = []
+            at: list[list[int]] = [[] for _ in range(n)]
+            columns = [b.column(f"p_{i}") for i in range(n)]
+            ends = [c.offsets.to_pylist() for c in columns]
+            flat = [[c.values.field(0).to_pylist(), *(c.values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))] for c in columns]
+            for v in range(b.num_rows):
+                pools = [Pool.of(*(x[e[v] : e[v + 1]] for x in f)) for f, e in zip(flat, ends)]
+                for rank, picked in enumerate(Search(pools, p, pairs).best(p.most_tuples), 1):
+                    videos.append(v)
+                    ranks.append(rank)
+                    for i, j in enumerate(picked):
+                        at[i].append(ends[i][v] + j if ends[i][v] < ends[i][v + 1] else -1)
+            keys = [b.column(c).take(pa.array(videos, pa.int64())) for c in ("session_id", "video_id")]
+            found = []
+            for c, places in zip(columns, at):
+                some = c.values.take(pa.array([x if x >= 0 else None for x in places], pa.int64()))
+                found += [some.field(0), some.field(1).fill_null(0.0), some.field(2), some.field(3).fill_null(0.0)]
+                if some.null_count:
+                    there = pa.array([x >= 0 for x in places])
+                    found[-4:] = [pc.if_else(there, x, pa.scalar(y, x.type)) for x, y in zip(found[-4:], (None, 0.0, None, 0.0))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(ranks, pa.int32()), *found], names)
+
+    names = ["session_id", "video_id", "rank_in_video", *[f"{c}_{i}" for i in range(n) for c in ("id", "s", "t", "m")]]
+    keys = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("session_id", "video_id")]
+    found = [f"id_{i} string, s_{i} double, t_{i} double, m_{i} double" for i in range(n)]
+    return rows.mapInArrow(each, ", ".join([*keys, "rank_in_video int", *found]))
 
 
 def tuples(regions: DataFrame, events: Sequence[str], p: Params = Params(), pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
@@ -126,19 +141,16 @@ def tuples(regions: DataFrame, events: Sequence[str], p: Params = Params(), pair
     ``regions`` needs ``best_seconds``. Scores compare at nine decimals, so that equal ones tie on any machine.
     """
     n = len(events)
-    rows = combinations(regions, events, p)
+    rows = combinations(regions, events, p, pairs)
     s, t, m = ([F.col(f"{c}_{i}") for i in range(n)] for c in "stm")
     mean, margin = total(s) / n, total(m) / n
     order = order_score(t, pairs)
     weight = gated(p.gate, p.order_weight, margin if p.gate == "margin" else mean, p.gate_threshold)
     score = mean + weight * order - gap_terms(t, p)[1]
-    out = rows.select(
+    return rows.select(
         "session_id", "video_id", score.alias("score"), mean.alias("region_mean_score"), margin.alias("margin_score"), order.alias("order_score"),
-        F.array(*[f"id_{i}" for i in range(n)]).alias("region_ids"), F.array(*t).alias("timestamps"), F.array(*s).alias("region_scores"),
+        F.array(*[f"id_{i}" for i in range(n)]).alias("region_ids"), F.array(*t).alias("timestamps"), F.array(*s).alias("region_scores"), "rank_in_video",
     )
-    ids = [F.coalesce(F.col("region_ids")[i], F.lit("")) for i in range(n)]
-    by = W.partitionBy("session_id", "video_id").orderBy(F.round("score", 9).desc(), *ids)
-    return out.withColumn("rank_in_video", F.row_number().over(by)).where(F.col("rank_in_video") <= p.most_tuples)
 
 
 def ranked_videos(found: DataFrame, pooling: str = "max") -> DataFrame:
