@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import hinge, robust_sigmoid
 from ..tables import written
+from .along import along
 from .tuples import total
 
 WINDOWS_MS = (500, 1000, 2000, 3000)
@@ -69,18 +70,18 @@ def event_blend(semantic: Column, boundary: Column, pre: Column, post: Column, w
 def suppressed(samples: DataFrame, group: Sequence[str], value: str, radius: int = 500, most: int = 5) -> DataFrame:
     """Greedy suppression in time: the best sample of a group stays and those within the radius go, and so on, ``most`` times.
 
-    Adds ``pick``. A group is one region, whose samples are few; they are folded in the order of score and time.
+    Adds ``pick``. Samples stream past from the best to the worst, ties by time, with the kept times as state, ``most`` at most.
     """
-    one = F.struct((-F.col(value)).alias("v"), F.col("t_ms").alias("t"))
-    grouped = samples.where(F.col(value).isNotNull()).groupBy(*group).agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    empty = F.expr("cast(array() as array<struct<v:double,t:bigint>>)")
 
-    def step(kept: Column, r: Column) -> Column:
-        near = F.exists(kept, lambda k: F.abs(k.t - r.t) <= radius)
-        return F.when(near | (F.size(kept) >= most), kept).otherwise(F.concat(kept, F.array(r)))
+    def step(kept: tuple | None, t: int) -> tuple[tuple, int | None]:
+        kept = kept or ()
+        if len(kept) >= most or any(abs(k - t) <= radius for k in kept):
+            return kept, None
+        return (*kept, t), len(kept) + 1
 
-    picks = grouped.select(*group, F.posexplode(F.aggregate("rows", empty, step)).alias("pick", "x"))
-    return picks.select(*group, (F.col("pick") + 1).alias("pick"), F.col("x.t").alias("t_ms"), (-F.col("x.v")).alias(value))
+    some = samples.where(F.col(value).isNotNull() & F.col("t_ms").isNotNull()).select(*group, "t_ms", value)
+    picks = along(some, group, [F.desc(value), "t_ms"], ["t_ms"], step, "pick").where("pick is not null")
+    return picks.select(*group, F.col("pick").cast("int").alias("pick"), "t_ms", value)
 
 
 def peaks(samples: DataFrame, group: Sequence[str], value: str, radius: int = 500) -> DataFrame:

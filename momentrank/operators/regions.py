@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scoring import robust_sigmoid
+from .along import along
 
 GROUP = ["session_id", "video_id", "event_id"]
 
@@ -59,42 +60,38 @@ def pooled(regions: DataFrame, absolute: float = 0.0, delta: float = 0.15, most:
     return pool.withColumn("margin", margin).drop("best")
 
 
-def _fold(rows: Column, start: Column, step) -> Column:
-    return F.aggregate(rows, start, step)
+def over(a: float | None, b: float | None, most: float) -> bool:
+    """Whether ``a - b`` is above ``most``; what isn't known is not."""
+    return a is not None and b is not None and a - b > most
 
 
 def clusters(candidates: DataFrame, gap: float = 3.0, margin: float = 3.0, longest: float = 30.0) -> DataFrame:
     """Runs of a group's hits in time: cut where the gap, or the span from the run's start, is too long (both strictly).
 
-    The gap rule cuts whatever the state, so it goes first, by windows; the span rule depends on where the run began, so only
-    what lies between two such cuts is folded. Gives ``start_seconds, end_seconds`` with margins, candidate ids in time order, and the best scores.
+    The span rule depends on where the run began, so sorted hits stream past with the run's start, its last hit and its number as
+    state; runs are then grouped. Gives ``start_seconds, end_seconds`` with margins, candidate ids in time order, and the best
+    scores. Clusters can touch once they have margins: ``merged`` unites them, and ``clustered`` does both.
     """
     if longest < 2 * margin:
         raise ValueError("a region must hold both margins")
     core = longest - 2 * margin
-    line = W.partitionBy("session_id", "event_id", "video_id").orderBy("timestamp_seconds", "frame_id", "id")
-    cut = F.coalesce(F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(line) > gap, F.lit(False)).cast("int")
-    hits = calibrated(candidates).withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(line))
-    hits = hits.groupBy("session_id", "event_id", "video_id", "__run")
-    hit = F.struct(
-        F.col("timestamp_seconds").alias("t"), "frame_id", "id", F.col("raw_relevance_score").alias("raw"),
-        F.col("normalized_relevance_score").alias("norm"),
+    group = ["session_id", "event_id", "video_id"]
+
+    def step(state: tuple | None, t: float | None) -> tuple[tuple, int]:
+        if state is None:
+            return (t, t, 0), 0
+        start, last, run = state
+        if over(t, last, gap) or over(t, start, core):
+            return (t, t, run + 1), run + 1
+        return (start, t, run), run
+
+    hits = calibrated(candidates).withColumn("timestamp_seconds", F.col("timestamp_seconds").cast("double"))
+    runs = along(hits, group, ["timestamp_seconds", "frame_id", "id"], ["timestamp_seconds"], step, "__run")
+    hit = F.struct(F.col("timestamp_seconds").alias("t"), "frame_id", "id")
+    runs = runs.groupBy(*group, "__run").agg(
+        F.min("timestamp_seconds").alias("a"), F.max("timestamp_seconds").alias("z"), F.transform(F.array_sort(F.collect_list(hit)), lambda h: h.id).alias("ids"),
+        F.max("raw_relevance_score").alias("raw"), F.max("normalized_relevance_score").alias("norm"),
     )
-    grouped = hits.agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    empty = F.expr("cast(array() as array<struct<a:double,z:double,ids:array<string>,raw:double,norm:double>>)")
-
-    def step(done: Column, h: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        new = last.isNull() | (h.t - last.z > gap) | (h.t - last.a > core)
-        single = F.struct(h.t.alias("a"), h.t.alias("z"), F.array(h.id).alias("ids"), h.raw.alias("raw"), h.norm.alias("norm"))
-        longer = F.struct(
-            last.a.alias("a"), h.t.alias("z"), F.concat(last.ids, F.array(h.id)).alias("ids"), F.greatest(last.raw, h.raw).alias("raw"),
-            F.greatest(last.norm, h.norm).alias("norm"),
-        )
-        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(new, F.concat(done, F.array(single))).otherwise(F.concat(rest, F.array(longer)))
-
-    runs = grouped.select("session_id", "event_id", "video_id", F.inline(_fold(F.col("hits"), empty, step)))
     return runs.select(
         F.concat_ws(":", F.lit("region"), "session_id", "event_id", "video_id", F.element_at("ids", 1)).alias("id"),
         "session_id", "event_id", "video_id", F.greatest(F.lit(0.0), F.col("a") - margin).alias("start_seconds"),
@@ -103,37 +100,41 @@ def clusters(candidates: DataFrame, gap: float = 3.0, margin: float = 3.0, longe
     )
 
 
+def clustered(candidates: DataFrame, gap: float = 3.0, margin: float = 3.0, longest: float = 30.0) -> DataFrame:
+    """Clusters, and those that touch by their margins united, up to ``longest``."""
+    return merged(clusters(candidates, gap, margin, longest), longest)
+
+
 def merged(regions: DataFrame, longest: float | None = None) -> DataFrame:
     """Unites overlapping or touching regions of a scope, unless the union would be longer than ``longest``.
 
-    Regions are taken in the order of start, end and id, each against the last one kept. Where one starts after all earlier
-    ones' ends nothing can be united, so windows cut there first, and only what lies between is folded.
+    Regions are taken in the order of start, end and id, each against the last one kept, whose ends are the state.
     """
     scope = ["session_id", "event_id", "video_id", "refinement_status", "user_status"]
-    one = F.struct(
-        F.col("start_seconds").alias("a"), F.col("end_seconds").alias("z"), "id", F.col("candidate_ids").alias("ids"),
-        F.col("raw_coarse_score").alias("raw"), F.col("normalized_coarse_score").alias("norm"),
+
+    def step(state: tuple | None, a: float | None, z: float | None) -> tuple[tuple, int]:
+        if state is None:
+            return (a, z, 0), 0
+        start, end, part = state
+        low, high = least(a, start), most(z, end)
+        if over(a, end, 0.0) or (longest is not None and over(high, low, longest)):
+            return (a, z, part + 1), part + 1
+        return (low, high, part), part
+
+    least = lambda x, y: y if x is None else x if y is None else min(x, y)
+    most = lambda x, y: y if x is None else x if y is None else max(x, y)
+    kinds = {c: F.col(c).cast("double") for c in ("start_seconds", "end_seconds")}
+    parts = along(regions.withColumns(kinds), scope, ["start_seconds", "end_seconds", "id"], ["start_seconds", "end_seconds"], step, "__part")
+    one = F.struct(F.col("start_seconds").alias("a"), F.col("end_seconds").alias("z"), "id", F.col("candidate_ids").alias("ids"))
+    out = parts.groupBy(*scope, "__part").agg(
+        F.array_sort(F.collect_list(one)).alias("rows"), F.min("start_seconds").alias("a"), F.max("end_seconds").alias("z"),
+        F.max("raw_coarse_score").alias("raw"), F.max("normalized_coarse_score").alias("norm"),
     )
-    grouped = _islands(regions, scope).groupBy(*scope, "__island").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    empty = F.expr("cast(array() as array<struct<a:double,z:double,id:string,ids:array<string>,raw:double,norm:double>>)")
-
-    def step(done: Column, r: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        new = last.isNull() | (r.a > last.z)
-        if longest is not None:
-            new = new | (F.greatest(r.z, last.z) - F.least(r.a, last.a) > longest)
-        united = F.struct(
-            F.least(last.a, r.a).alias("a"), F.greatest(last.z, r.z).alias("z"), last.id.alias("id"),
-            F.array_distinct(F.concat(last.ids, r.ids)).alias("ids"), F.greatest(last.raw, r.raw).alias("raw"),
-            F.greatest(last.norm, r.norm).alias("norm"),
-        )
-        rest = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(new, F.concat(done, F.array(r))).otherwise(F.concat(rest, F.array(united)))
-
-    out = grouped.select(*scope, F.inline(_fold(F.col("rows"), empty, step)))
+    ids = F.array_distinct(F.flatten(F.transform("rows", lambda r: r.ids)))
     return out.select(
-        "id", "session_id", "event_id", "video_id", F.col("a").alias("start_seconds"), F.col("z").alias("end_seconds"),
-        F.col("ids").alias("candidate_ids"), F.col("raw").alias("raw_coarse_score"), F.col("norm").alias("normalized_coarse_score"),
+        F.col("rows")[0].id.alias("id"), "session_id", "event_id", "video_id", F.col("a").alias("start_seconds"), F.col("z").alias("end_seconds"),
+        F.when(F.size("rows") == 1, F.col("rows")[0].ids).otherwise(ids).alias("candidate_ids"),
+        F.col("raw").alias("raw_coarse_score"), F.col("norm").alias("normalized_coarse_score"),
         "refinement_status", "user_status",
     )
 
