@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType, StringType
 
 from ..tables import small
+from .medians import HELD, medians
 
 EPSILON = 1e-12
 #: Scales a median absolute deviation to a standard deviation.
@@ -41,16 +43,23 @@ def pair_softmax(pre: Column, post: Column, temperature: float = 1.0) -> Column:
     return 1 / (1 + F.exp((pre - post) / temperature))
 
 
-def robust_stats(df: DataFrame, by: Sequence[str], value: str, accuracy: int | None = None) -> DataFrame:
+def middles(df: DataFrame, by: Sequence[str], value: str, name: str, accuracy: int | None = None, held: int = HELD) -> DataFrame:
+    """``by..., name``: the median of each population; exact, by narrowing down where ``df`` has more than ``held`` rows."""
+    if accuracy is None and df.count() > held:
+        return medians(df, by, value, held).withColumnRenamed("median", name)
+    middle = F.median(value) if accuracy is None else F.percentile_approx(value, 0.5, accuracy)
+    return df.groupBy(*by).agg(middle.alias(name))
+
+
+def robust_stats(df: DataFrame, by: Sequence[str], value: str, accuracy: int | None = None, held: int = HELD) -> DataFrame:
     """``by..., center, mad``: median and median absolute deviation of each population.
 
-    Exact medians hold a population's distinct values in one aggregation buffer; for populations too large for that,
-    ``accuracy`` switches to mergeable percentile sketches with that relative error's inverse.
+    Both are exact at any size: see ``medians``. ``accuracy`` takes mergeable percentile sketches instead, with that
+    relative error's inverse, which read the rows once.
     """
-    middle = (lambda c: F.median(c)) if accuracy is None else (lambda c: F.percentile_approx(c, 0.5, accuracy))
-    center = small(df.groupBy(*by).agg(middle(F.col(value)).alias("center")))
-    off = F.abs(F.col(value) - F.col("center"))
-    return df.join(center, list(by)).groupBy(*by, "center").agg(middle(off).alias("mad"))
+    center = small(middles(df, by, value, "center", accuracy, held))
+    off = df.join(center, list(by)).withColumn("__off", F.abs(F.col(value) - F.col("center")))
+    return center.join(small(middles(off, by, "__off", "mad", accuracy, held)), list(by))
 
 
 def robust_sigmoid(df: DataFrame, by: Sequence[str], value: str, out: str, clip: float = 8.0, accuracy: int | None = None) -> DataFrame:
@@ -74,3 +83,19 @@ def min_max(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame
     spread = F.col("__high") - F.col("__low")
     scaled = F.when(spread <= EPSILON, F.lit(0.5)).otherwise((F.col(value) - F.col("__low")) / spread)
     return df.join(ends, list(by)).withColumn(out, scaled).drop("__low", "__high")
+
+
+def first_anchor(df: DataFrame, name: str) -> Column:
+    """The anchor in a column that holds a number, a list of seeds (best first), or JSON text of either: the number or the first seed.
+
+    Null for an empty list, and for text that is neither.
+    """
+    kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, ArrayType):
+        return F.get(c, F.lit(0)).cast("double")
+    if isinstance(kind, StringType):
+        text = F.trim(c)
+        return F.when(text.startswith("["), F.get_json_object(text, "$[0]")).otherwise(text).try_cast("double")
+    if isinstance(kind, NumericType):
+        return c.cast("double")
+    raise TypeError(f"{name} is neither a number, a list nor text: {kind.simpleString()}")

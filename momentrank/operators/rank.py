@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import robust_sigmoid
-from ..tables import small
+from ..tables import small, written
 
 
 def distinctness(times: Column, norm: float = 3.0) -> Column:
@@ -87,10 +87,26 @@ def listed_first(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return rows.join(small(front), ["session_id", "video_id"], "left")
 
 
-def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in an order, with the total of all rows; only the page is kept sorted."""
-    total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(*order).offset(offset).limit(limit).join(small(total), how="cross")
+def page(rows: DataFrame, order: Sequence[Column | str], offset: int, limit: int, ranges: int | None = None) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in an order, with the total of all rows.
+
+    Rows are written in ranges of the order (as many as Spark's shuffle has, or ``ranges``) and counted by range; only the ranges
+    that the page lies in are read again and sorted, so a late page costs what the first one does. Without rows it is empty.
+    """
+    if offset < 0 or limit < 0:
+        raise ValueError("offset and limit can't be negative")
+    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("__range", F.spark_partition_id())
+    held = written(dealt, "page")
+    counts = sorted(held.groupBy("__range").count().collect())  # a row a shuffle partition
+    total, before, start, picked = sum(c["count"] for c in counts), 0, None, []
+    for c in counts:
+        if before < offset + limit and before + c["count"] > offset:
+            start = before if start is None else start
+            picked.append(c["__range"])
+        before += c["count"]
+    low, high = (picked[0], picked[-1]) if picked else (0, -1)
+    some = held.where(F.col("__range").between(low, high)).drop("__range").orderBy(*order)
+    return some.offset(offset - (start or 0) if picked else 0).limit(limit).withColumn("total", F.lit(total).cast("long"))
 
 
 def overfetch(rows: DataFrame, rejected: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:

@@ -219,19 +219,32 @@ def fused(hits: DataFrame, k: float = 60.0, per_variant: int = 50, most: int = 1
     return out.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= most)
 
 
-def nearest(probes: DataFrame, keyframes: DataFrame) -> DataFrame:
+def nearest(probes: DataFrame, keyframes: DataFrame, ranges: int | None = None) -> DataFrame:
     """``probes`` with the ``file`` and ``distance`` of the keyframe nearest in time; the first listed wins ties.
 
-    ``probes(probe_id, video, t)``, ``keyframes(video, t, file, seq)``. Both are put on one line a video, where the last keyframe
-    before and the first one after are the only candidates; no probe meets all keyframes. Null without any.
+    ``probes(probe_id, video, t)``, ``keyframes(video, t, file, seq)``. Both are put on one line, cut into ranges of (video, t), as many as
+    Spark's shuffle has or ``ranges``. The last keyframe before a probe and the first one after it are the only candidates; where a range has
+    none, they come from the ranges of the video before and after, which a row a range and video hands on. So a video of
+    any length is many tasks' work. A null video or time, or a video without keyframes, has a null file.
     """
-    k = keyframes.where("t is not null and file is not null").groupBy("video", "t").agg(F.min(F.struct("seq", "file")).alias("k"))
-    line = k.select("video", "t", F.struct("t", "k.seq", "k.file").alias("k"), F.lit(None).cast("long").alias("probe_id"))
+    k = keyframes.where("video is not null and t is not null and file is not null").groupBy("video", "t").agg(F.min(F.struct("seq", "file")).alias("k"))
+    line = k.select("video", "t", F.struct("t", "k.seq", "k.file").alias("k"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"))
     line = line.unionByName(probes.select("video", "t", F.lit(None).cast(line.schema["k"].dataType).alias("k"), "probe_id"))
-    before = W.partitionBy("video").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    after = W.partitionBy("video").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    line = line.withColumn("a", F.last("k", True).over(before)).withColumn("b", F.last("k", True).over(after)).where("probe_id is not null")
+    # probes at one time are told apart by their ids, after the keyframe of that time
+    keys = ["video", "t", F.col("k").isNull(), F.xxhash64("probe_id")]
+    line = written(line.repartitionByRange(*([ranges] if ranges else []), *keys).withColumn("__range", F.spark_partition_id()), "line")
+    ends = line.where("video is not null").groupBy("video", "__range").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    along = W.partitionBy("video").orderBy("__range")
+    earlier = F.last("last", True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    later = F.first("first", True).over(along.rowsBetween(1, W.unboundedFollowing))
+    handed = ends.select("video", "__range", earlier.alias("earlier"), later.alias("later"))
+    here = W.partitionBy("video", "__range")
+    before = here.orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
+    after = here.orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, W.currentRow)
+    line = line.withColumn("a", F.last("k", True).over(before)).withColumn("b", F.last("k", True).over(after)).where("k is null")
+    line = line.hint("merge").join(handed.hint("merge"), ["video", "__range"], "left")
+    line = line.withColumns({"a": F.coalesce("a", "earlier"), "b": F.coalesce("b", "later")})
     gap = lambda c: F.abs(F.col(f"{c}.t") - F.col("t"))
     first = F.col("b").isNull() | (gap("a") < gap("b")) | ((gap("a") == gap("b")) & (F.col("a.seq") <= F.col("b.seq")))
-    one = F.when(F.col("a").isNotNull() & first, F.col("a")).otherwise(F.col("b"))
+    one = F.when(F.col("t").isNotNull(), F.when(F.col("a").isNotNull() & first, F.col("a")).otherwise(F.col("b")))
     return line.select("probe_id", "video", "t", one.alias("k")).select("probe_id", "video", "t", "k.file", F.abs(F.col("k.t") - F.col("t")).alias("distance"))

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -91,15 +92,18 @@ def gap_terms(times: Sequence[Column], p: Params) -> tuple[Column, Column]:
     return reduce(lambda a, b: a | b, bad), F.when(n > 0, total(sums) / n).otherwise(F.lit(0.0))
 
 
-def combinations(regions: DataFrame, events: Sequence[str], p: Params, pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """The best ``most_tuples`` combinations of each video, ``rank_in_video`` and ``id_i, s_i, t_i, m_i`` of each event, null and 0
-    where it has no region.
+def combinations(regions: DataFrame, events: Sequence[str], configs: dict[str, Params], pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The best ``most_tuples`` combinations of each video under each configuration: ``config``, ``rank_in_video`` and ``id_i, s_i, t_i,
+    m_i`` of each event, null and 0 where it has no region.
 
-    One exchange: pools of a video meet in one row, an array an event, and a search takes the best combinations from them in
-    order (``kbest``); it never makes their product.
+    One exchange for all configurations: pools of a video, at the widest limits of all, meet in one row, an array an event. A
+    configuration's pool is the first part of that, as pools are cut by score and place. A search takes the best combinations from
+    them in order (``kbest``); it never makes their product.
     """
-    pool = pooled(regions.where(F.col("event_id").isin(list(events))), p.absolute, p.delta, p.most_regions)
-    one = F.struct(F.col("id").alias("id"), F.col("score").alias("s"), F.col("best_seconds").alias("t"), F.col("margin").alias("m"))
+    many = list(configs.values())
+    widest = min(p.absolute for p in many), max(p.delta for p in many), max(p.most_regions for p in many)
+    pool = pooled(regions.where(F.col("event_id").isin(list(events))), *widest)
+    one = F.struct(F.col("id").alias("id"), F.col("score").alias("s"), F.col("best_seconds").alias("t"), F.col("margin").alias("m"), F.col("rn").alias("rn"))
     pools = [F.collect_list(F.when(F.col("event_id") == e, one)).alias(f"p_{i}") for i, e in enumerate(events)]
     rows = pool.groupBy("session_id", "video_id").agg(*pools)
     n = len(events)
@@ -108,53 +112,90 @@ def combinations(regions: DataFrame, events: Sequence[str], p: Params, pairs: Se
         for b in batches:
             videos: list[int] = []
             ranks: list[int] = []
+            config: list[str] = []
             at: list[list[int]] = [[] for _ in range(n)]
+            margins: list[list[float]] = [[] for _ in range(n)]
             columns = [b.column(f"p_{i}") for i in range(n)]
             ends = [c.offsets.to_pylist() for c in columns]
-            flat = [[c.values.field(0).to_pylist(), *(c.values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))] for c in columns]
+            flat = [[c.values.field(0).to_pylist(), *(c.values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))] for c in columns]
             for v in range(b.num_rows):
-                pools = [Pool.of(*(x[e[v] : e[v + 1]] for x in f)) for f, e in zip(flat, ends)]
-                for rank, picked in enumerate(Search(pools, p, pairs).best(p.most_tuples), 1):
-                    videos.append(v)
-                    ranks.append(rank)
-                    for i, j in enumerate(picked):
-                        at[i].append(ends[i][v] + j if ends[i][v] < ends[i][v + 1] else -1)
+                held = [[x[e[v] : e[v + 1]] for x in f] for f, e in zip(flat, ends)]
+                for name, p in configs.items():
+                    kept = [members(x[1], x[4], p) for x in held]
+                    if not any(map(len, kept)):
+                        continue
+                    own = [Pool.of(*part(x, k)) for x, k in zip(held, kept)]
+                    for rank, picked in enumerate(Search(own, p, pairs).best(p.most_tuples), 1):
+                        videos.append(v)
+                        ranks.append(rank)
+                        config.append(name)
+                        for i, j in enumerate(picked):
+                            at[i].append(ends[i][v] + int(kept[i][j]) if len(kept[i]) else -1)
+                            margins[i].append(float(own[i].margin[j]))
             keys = [b.column(c).take(pa.array(videos, pa.int64())) for c in ("session_id", "video_id")]
             found = []
-            for c, places in zip(columns, at):
+            for c, places, margin in zip(columns, at, margins):
                 some = c.values.take(pa.array([x if x >= 0 else None for x in places], pa.int64()))
-                found += [some.field(0), some.field(1).fill_null(0.0), some.field(2), some.field(3).fill_null(0.0)]
+                found += [some.field(0), some.field(1).fill_null(0.0), some.field(2), pa.array(margin, pa.float64())]
                 if some.null_count:
                     there = pa.array([x >= 0 for x in places])
-                    found[-4:] = [pc.if_else(there, x, pa.scalar(y, x.type)) for x, y in zip(found[-4:], (None, 0.0, None, 0.0))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(ranks, pa.int32()), *found], names)
+                    found[-4:-1] = [pc.if_else(there, x, pa.scalar(y, x.type)) for x, y in zip(found[-4:-1], (None, 0.0, None))]
+            yield pa.RecordBatch.from_arrays([pa.array(config, pa.string()), *keys, pa.array(ranks, pa.int32()), *found], names)
 
-    names = ["session_id", "video_id", "rank_in_video", *[f"{c}_{i}" for i in range(n) for c in ("id", "s", "t", "m")]]
+    names = ["config", "session_id", "video_id", "rank_in_video", *[f"{c}_{i}" for i in range(n) for c in ("id", "s", "t", "m")]]
     keys = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("session_id", "video_id")]
     found = [f"id_{i} string, s_{i} double, t_{i} double, m_{i} double" for i in range(n)]
-    return rows.mapInArrow(each, ", ".join([*keys, "rank_in_video int", *found]))
+    return rows.mapInArrow(each, ", ".join(["config string", *keys, "rank_in_video int", *found]))
 
 
-def tuples(regions: DataFrame, events: Sequence[str], p: Params = Params(), pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """The best ``most_tuples`` combinations of each video, with index-aligned arrays; order: score, then region ids.
+def members(scores: np.ndarray, places: np.ndarray, p: Params) -> np.ndarray:
+    """Which regions of a wider pool are in the pool of ``p``; see ``regions.pooled``."""
+    if not len(scores):
+        return np.zeros(0, int)
+    return np.flatnonzero((scores >= p.absolute) & (scores >= scores.max() - p.delta) & (places <= p.most_regions))
 
-    ``regions`` needs ``best_seconds``. Scores compare at nine decimals, so that equal ones tie on any machine.
-    """
+
+def part(held: Sequence, kept: np.ndarray) -> tuple:
+    """Ids, scores, times and margins of a pool's members. A region that is left alone has no runner-up: its margin is its score."""
+    ids, scores, times, margins, _ = held
+    if len(kept) < len(ids):
+        ids, scores, times, margins = [ids[j] for j in kept], scores[kept], times[kept], margins[kept]
+    return ids, scores, times, scores if len(kept) == 1 else margins
+
+
+def swept(regions: DataFrame, events: Sequence[str], configs: dict[str, Params], pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """``tuples`` under each of the named configurations, with the name as ``config``, from one pass over the regions."""
     n = len(events)
-    rows = combinations(regions, events, p, pairs)
+    rows = combinations(regions, events, configs, pairs)
     s, t, m = ([F.col(f"{c}_{i}") for i in range(n)] for c in "stm")
     mean, margin = total(s) / n, total(m) / n
     order = order_score(t, pairs)
-    weight = gated(p.gate, p.order_weight, margin if p.gate == "margin" else mean, p.gate_threshold)
-    score = mean + weight * order - gap_terms(t, p)[1]
+    score = None
+    for name, p in configs.items():
+        weight = gated(p.gate, p.order_weight, margin if p.gate == "margin" else mean, p.gate_threshold)
+        own = mean + weight * order - gap_terms(t, p)[1]
+        is_own = F.col("config") == name
+        score = F.when(is_own, own) if score is None else score.when(is_own, own)
     return rows.select(
-        "session_id", "video_id", score.alias("score"), mean.alias("region_mean_score"), margin.alias("margin_score"), order.alias("order_score"),
+        "config", "session_id", "video_id", score.alias("score"), mean.alias("region_mean_score"), margin.alias("margin_score"), order.alias("order_score"),
         F.array(*[f"id_{i}" for i in range(n)]).alias("region_ids"), F.array(*t).alias("timestamps"), F.array(*s).alias("region_scores"), "rank_in_video",
     )
 
 
+def tuples(regions: DataFrame, events: Sequence[str], p: Params = Params(), pairs: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    """The best ``most_tuples`` combinations of each video, with index-aligned arrays; order: score, then region ids.
+
+    ``regions`` needs ``best_seconds``. Scores compare at nine decimals, so that equal ones tie on any machine.
+    """
+    return swept(regions, events, {"": p}, pairs).drop("config")
+
+
 def ranked_videos(found: DataFrame, pooling: str = "max") -> DataFrame:
-    """``session_id, video_id, raw_score`` pooled over kept tuples, with the winner's columns and the min-max priority."""
+    """``session_id, video_id, raw_score`` pooled over kept tuples, with the winner's columns and the min-max priority.
+
+    Of what ``swept`` gives, ``config`` comes too, and each configuration has its own scale.
+    """
+    by = [*(c for c in ("config",) if c in found.columns), "session_id"]
     if pooling == "max":
         raw = F.max(F.when(F.col("rank_in_video") == 1, F.col("score")))
     elif pooling == "mean":
@@ -163,6 +204,6 @@ def ranked_videos(found: DataFrame, pooling: str = "max") -> DataFrame:
         raise ValueError(f"unknown pooling: {pooling}")
     columns = ["region_mean_score", "order_score", "region_ids", "timestamps", "region_scores"]
     first = [F.first(F.when(F.col("rank_in_video") == 1, F.col(c)), ignorenulls=True).alias(c) for c in columns]
-    videos = found.groupBy("session_id", "video_id").agg(raw.alias("raw_score"), F.count("*").alias("tuples"), *first)
+    videos = found.groupBy(*by, "video_id").agg(raw.alias("raw_score"), F.count("*").alias("tuples"), *first)
     videos = written(videos, "videos")  # one row a video; the ends of the scale and the scaled rows both read it
-    return min_max(videos, ["session_id"], "raw_score", "priority_score")
+    return min_max(videos, by, "raw_score", "priority_score")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import constraints, evaluate, retrieve, runs
-from ..operators.tuples import Params, ranked_videos, tuples
+from ..operators.tuples import Params, ranked_videos, swept
 from ..tables import CANDIDATES_SQL, table, written
 from . import ranking
 from .ranking import EVENTS, HOUR, calibrated_sql, pool_sql, r6, rounded, tuples_sql
@@ -177,15 +177,11 @@ CONFIGS = [("narrow_0", 0.1, 0.0), ("narrow_1", 0.1, 1.2), ("wide_0", 0.3, 0.0),
 
 
 def sweep_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Long rows (config, video, rank, hits). Regions are made once and kept; a configuration changes expressions only."""
-    rows = written(ranking.atomic(spark, sf), "regions")
-    out = None
+    """Long rows (config, video, rank, hits), from one pass over the regions for all configurations."""
+    configs = {name: Params(delta=delta, order_weight=weight, gap_tau=25 * HOUR, gap_weight=0.05 / HOUR) for name, delta, weight in CONFIGS}
+    videos = ranked_videos(swept(ranking.atomic(spark, sf), EVENTS, configs))
+    ranked = evaluate.places(videos.select("config", F.col("video_id").alias("video"), F.round("priority_score", 9).alias("p")), ["config"], "p")
     hits_ = video_hits(spark, sf)
-    for name, delta, weight in CONFIGS:
-        p = Params(delta=delta, order_weight=weight, gap_tau=25 * HOUR, gap_weight=0.05 / HOUR)
-        videos = ranked_videos(tuples(rows, EVENTS, p)).select(F.lit(name).alias("config"), F.col("video_id").alias("video"), F.round("priority_score", 9).alias("p"))
-        out = videos if out is None else out.union(videos)
-    ranked = evaluate.places(out, ["config"], "p").select("config", "video", "rank")
     return ranked.hint("merge").join(hits_.hint("merge"), "video", "left").select("config", "video", "rank", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 

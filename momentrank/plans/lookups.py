@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import first_anchor
 from ..operators import evaluate, rank, regions, runs
 from ..sources import readers, sinks
 from ..tables import CANDIDATES_SQL, ORIGIN, candidates, table
@@ -110,3 +111,23 @@ def first_anchors(spark: SparkSession, sf: str) -> DataFrame:
     first = F.min_by("timestamp_seconds", F.struct(-F.col("raw_relevance_score"), "seq"))
     rows = candidates(spark, sf).groupBy("video_id", "event_id").agg(first.alias("anchor"), F.count("*").alias("seeds"))
     return rows.select("video_id", "event_id", F.round("anchor", 6).alias("anchor"), "seeds")
+
+
+@query(f"""WITH {CANDIDATES_SQL}, s AS (SELECT video_id, event_id, list(t ORDER BY raw DESC, seq) AS seeds FROM c GROUP BY ALL)
+SELECT video_id, event_id, seeds[1] AS anchor, seeds[1] AS from_text FROM s""")
+def primary_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors of seed lists, and of the same as JSON text, where a single seed stands as a number."""
+    seeds = F.array_sort(F.collect_list(F.struct((-F.col("raw_relevance_score")).alias("r"), "seq", F.col("timestamp_seconds").alias("t"))))
+    rows = candidates(spark, sf).groupBy("video_id", "event_id").agg(F.transform(seeds, lambda x: x.t).alias("seeds"))
+    text = F.when(F.size("seeds") == 1, F.col("seeds")[0].cast("string")).otherwise(F.to_json("seeds"))
+    rows = rows.withColumn("text", text)
+    return rows.select("video_id", "event_id", first_anchor(rows, "seeds").alias("anchor"), first_anchor(rows, "text").alias("from_text"))
+
+
+@query("""SELECT o_orderkey, to_json(list(l_linenumber ORDER BY l_linenumber))::VARCHAR AS lines, '{"status":"' || any_value(o_orderstatus) || '","customer":' || any_value(o_custkey) || '}' AS about
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def export_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The CSV form of rows with nested columns."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"))
+    orders = table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer")).alias("about"))
+    return sinks.flat(orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "lines", "about"))
