@@ -3,16 +3,17 @@
 Documents are cut into blocks of some million tokens, which are written once as word hashes and word numbers. A block's
 distinct n-grams, each with its count in the block's training documents, go to the owner of their part of the hash space.
 An owner sums the counts and builds its segment: exact counts of its words, and for each order a Bloom filter that holds
-(n-gram, 1) ... (n-gram, q) for a count of quantised level q = 1 + floor(log c / log BASE). It answers every n-gram that came by
-probing levels until one is missing; the answers go back to the blocks, which add up their documents' scores. So the filter
-grows with the text, in segments of bounded size that never leave their owners: neither the driver nor a worker
+(n-gram, 1) ... (n-gram, q) for a count of quantised level q, levels being the distinct ceilings of powers of BASE. It answers every n-gram that
+came by probing levels until one is missing; the answers go back to the blocks, which add up their documents' scores. So the
+filter grows with the text, in segments of bounded size that never leave their owners: neither the driver nor a worker
 holds all of it, and each n-gram of a block moves once each way.
 
-A level is read back as its smallest count. Orders are interpolated with absolute discounts: p(w | h) = (c(hw) - D) / c(h) +
-g(h) p(w | shorter h), where a context that training has not seen leaves p(w | shorter h) as it is. An order's discount D is
-n1 / (n1 + 2 n2), with the numbers of its n-grams that occur once and twice. How many different words follow a context is not
-in the filter; it is taken to grow in line with the context's count, from 1 at 1, so that the order's distinct n-grams come
-out right in total: g(h) is that number times D over c(h). The lowest order is the base's.
+A level is read back as the mean of the counts that the order has at it, so that counts are right in total. Orders are interpolated:
+p(w | h) = (1 - g(h)) c(hw) / c(h) + g(h) p(w | shorter h), and a context that training has not seen leaves p(w | shorter h) as it is.
+g depends on the context alone, and each occurrence of a context is followed by one token, so a context's probabilities sum to
+1 but for what quantisation does. g(h) = D (1 + (c(h) - 1) s) / c(h): D is the order's n1 / (n1 + 2 n2), from the
+numbers of its n-grams that occur once and twice, and s how many new n-grams a further occurrence of a context brings on average. The
+lowest order is the base's, which leaves one unknown token the rest.
 
 Defined results: a null text is empty, and an empty text has one token, its end. A null id counts as ''. Rows that
 repeat an id are scored each for itself. With no training text, all counts are 0 and the base is log10(1) a token.
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from .common import partitions, runs, stored, words
 ORDER = 3
 #: Probes an entry; each entry has PROBES / ln 2 bits, so a missing n-gram passes once in 2**PROBES.
 PROBES = 10
-#: A level holds counts up to BASE times its smallest: 1; none; 2; 3; 4 and 5; 6 and 7; 8 to 11; ...
-BASE = math.sqrt(2)
+#: Levels start at the distinct ceilings of its powers: 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, ...
+BASE = 2**0.25
 #: Tokens of a block, and bytes of text that a segment is for.
 BLOCK = 1_000_000
 SEGMENT = 16 << 20
@@ -48,7 +49,7 @@ U = np.uint64
 LOW = U((1 << 32) - 1)
 FIRST, LAST = (U(xxhash.xxh64_intdigest(x)) for x in (b"\t", b"\n"))  # no words
 #: The smallest count of each level.
-VALUE = np.array([0.0, *(math.ceil(round(BASE**q, 9)) for q in range(120))])
+VALUE = np.array([0.0, *sorted({math.ceil(round(BASE**q, 9)) for q in range(160)})])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -212,7 +213,7 @@ def asked(table: DataFrame, n: int, order: int) -> DataFrame:
 
 
 def answered(rows: DataFrame, n: int) -> DataFrame:
-    """``slot, block, answer``, and a row of each slot with block -1 and ``sums``: tokens, distinct ones, and those that occur once and twice."""
+    """``slot, block, answer``, and a row of each slot with block -1 and ``sums``: tokens, distinct ones, those that occur once and twice, and for each level of counts their sum and number."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "slot"):
@@ -225,7 +226,9 @@ def answered(rows: DataFrame, n: int) -> DataFrame:
                 counts = [inflated(x, "<u4").astype(np.int64) for x in part.column("counts").to_pylist()]
                 key, count = summed(np.concatenate(keys), np.concatenate(counts))
                 key, count = key[count > 0], count[count > 0]
-                sums = [int(count.sum()), len(key), *(int((count == i).sum()) for i in (1, 2))]
+                level = levels(count)
+                each_level = np.stack([np.bincount(level, count), np.bincount(level)], 1).astype(np.int64)
+                sums = [int(count.sum()), len(key), *(int((count == i).sum()) for i in (1, 2)), *each_level.ravel().tolist()]
                 if slot % 8 == 1:
                     at = (np.minimum(np.searchsorted(key, x), len(key) - 1) if len(key) else np.zeros(len(x), np.int64) for x in keys)
                     out = [np.where(key[i] == x, count[i], 0) if len(key) else np.zeros(len(x), np.int64) for i, x in zip(at, keys)]
@@ -242,12 +245,22 @@ def answered(rows: DataFrame, n: int) -> DataFrame:
 
 @dataclass
 class Totals:
-    """Of one order, in the training text: tokens, distinct n-grams, and those that occur once and twice."""
+    """Of one order, in the training text: tokens, distinct n-grams, those that occur once and twice, and the mean count of each level."""
 
     tokens: int = 0
     kinds: int = 0
     once: int = 0
     twice: int = 0
+    mean: np.ndarray = field(default_factory=VALUE.copy)
+
+    @staticmethod
+    def of(sums: dict[int, int]) -> Totals:
+        """From what ``answered`` sums up, by place."""
+        out = Totals(*(sums.get(i, 0) for i in range(4)))
+        for q in range(len(VALUE)):
+            if sums.get(5 + 2 * q):
+                out.mean[q] = sums[4 + 2 * q] / sums[5 + 2 * q]
+        return out
 
     def discount(self) -> float:
         return min(max(self.once, 1) / (max(self.once, 1) + 2 * max(self.twice, 1)), 0.95)
@@ -265,16 +278,15 @@ def finished(block: Block, answers: dict[int, np.ndarray], totals: dict[int, Tot
     for k, key in block.grams(n, order).items():
         inside = block.inside(k)
         found, at = np.unique(key[inside], return_inverse=True)
-        count = np.zeros(len(key))
-        count[inside] = VALUE[answers[k]][at] if len(found) else 0.0
         own, lower = totals[k], totals[k - 1]
+        count = np.zeros(len(key))
+        count[inside] = own.mean[answers[k]][at] if len(found) else 0.0
         d = own.discount()
         new = min(max((own.kinds - lower.kinds) / max(own.tokens - lower.kinds, 1), 0.0), 1.0)
-        h = np.maximum(np.r_[0.0, context[:-1]], count)
+        h = np.r_[0.0, context[:-1]]
         some = np.maximum(h, 1.0)
         left = np.minimum(d * (1 + (some - 1) * new) / some, 1.0)
-        gained = np.maximum(count - d, 0.0) / some
-        p = np.where(inside & (h > 0), np.minimum(gained + left * p, 1.0), p)
+        p = np.where(inside & (h > 0), (1 - left) * np.minimum(count / some, 1.0) + left * p, p)
         context = count
     total = lambda x: np.add.reduceat(x, block.first)
     return total((real & (c > 0)).astype(np.int64)), total(np.log10(base)), total(np.log10(p))
@@ -289,9 +301,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     n = max(partitions(spark), -(-size // segment))
     table = written(rows)
     answers = answered(asked(table, n, order), n)
-    sums = answers.where("block < 0").select((F.col("slot") % 8).alias("k"), *[F.col("sums")[i].alias(f"s{i}") for i in range(4)])
-    sums = {r.k: r for r in sums.groupBy("k").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(4)]).collect()}
-    totals = {k: Totals(*sums[k][1:]) if k in sums else Totals() for k in range(1, order + 1)}
+    sums = answers.where("block < 0").select((F.col("slot") % 8).alias("k"), F.posexplode("sums").alias("i", "x"))
+    sums = {(r.k, r.i): r.x for r in sums.groupBy("k", "i").agg(F.sum("x").alias("x")).collect()}  # two numbers a level and order
+    totals = {k: Totals.of({i: x for (j, i), x in sums.items() if j == k}) for k in range(1, order + 1)}
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

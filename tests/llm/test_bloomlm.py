@@ -21,9 +21,12 @@ def rows():
     return out + [(2000, None), (2001, " \n"), (2002, "X" * 5000), (2002, "W1 w2\x0bw3"), (None, "w1 w2 unseenword")]
 
 
-def read_back(c):
-    """What a level says of a count: 1; 2; 3; 4; 4; 6; 6; 8 ..."""
-    return max((v for q in range(80) if (v := math.ceil(round(2 ** (q / 2), 9))) <= c), default=0)
+STARTS = sorted({math.ceil(round(2 ** (q / 4), 9)) for q in range(80)})
+
+
+def level(c):
+    """The smallest count of a count's level: 1; 2; 3; ... 8; 10; 12; 14; 16; 20 ..."""
+    return max((v for v in STARTS if v <= c), default=0)
 
 
 class Slow:
@@ -37,6 +40,16 @@ class Slow:
         for k in range(2, order + 1):
             self.grams[k] = Counter(tuple(w[i - k + 1 : i + 1]) for t in train for w in [["start", *tokens(t)]] for i in range(k - 1, len(w)))
         self.starts = len(train)
+        self.means = {}
+        for k, grams in self.grams.items():
+            held = {}
+            for c in grams.values():
+                held.setdefault(level(c), []).append(c)
+            self.means[k] = {v: sum(x) / len(x) for v, x in held.items()}
+
+    def read_back(self, k, gram):
+        """What the level of an n-gram's count says of it: the mean of the counts there."""
+        return self.means[k].get(level(self.grams[k][gram]), 0)
 
     def base(self, w):
         return (self.c[w] + 0.1) / (self.n + 0.1 * (self.v + 1))
@@ -52,15 +65,14 @@ class Slow:
                 break
             own, d = self.grams[k], self.discounts[k]
             h = w[i - k + 1 : i]
-            count = read_back(own[tuple(w[i - k + 1 : i + 1])])
-            context = self.starts if h == ["start"] else self.c[h[0]] if k == 2 else read_back(self.grams[k - 1][tuple(h)])
-            context = max(context, count)
+            count = self.read_back(k, tuple(w[i - k + 1 : i + 1]))
+            context = self.starts if h == ["start"] else self.c[h[0]] if k == 2 else self.read_back(k - 1, tuple(h))
             if not context:
                 continue
             kinds = len(self.grams[k - 1])
             new = min(max((len(own) - kinds) / (sum(own.values()) - kinds), 0), 1)
             left = min(d * (1 + (context - 1) * new) / context, 1)
-            p = min(max(count - d, 0) / context + left * p, 1)
+            p = (1 - left) * min(count / context, 1) + left * p
         return p
 
     def score(self, t):
@@ -94,6 +106,19 @@ def test_matches_brute_force(spark, order, segment):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_probabilities_of_a_context_sum_to_one():
+    train = [t for d, t in rows() if d]
+    model = Slow(train, 3)
+    model.discounts = {k: model.discount(k) for k in (2, 3)}
+    seen = Counter(tuple(w[i - 1 : i + 1]) for t in train for w in [["start", *tokens(t)]] for i in range(1, len(w) - 1))
+    mass = {h: sum(model.p([*h, w], 2) for w in [*model.c, "never seen"]) for h in [*seen][::25]}
+    off = {h: abs(m - 1) for h, m in mass.items()}
+    assert len(off) > 100 and max(off.values()) < 0.1
+    total = sum(seen[h] for h in off)
+    assert sum(seen[h] * x for h, x in off.items()) / total < 0.01
+    assert abs(sum(seen[h] * m for h, m in mass.items()) / total - 1) < 0.005
+
+
 def test_a_document_that_occurs_twice_stands_apart(spark):
     """The same words at random in all texts; copies gain far more on the base than texts that occur once."""
     rng = np.random.default_rng(6)
@@ -125,7 +150,7 @@ def test_filter_never_misses_and_seldom_invents():
     assert off.min() >= 0 and (off > 0).mean() < 0.01
     other = rng.integers(0, 1 << 32, 20_000, dtype=np.uint64)
     assert (f.level(other) > 0).mean() < 0.005
-    assert bloomlm.VALUE[bloomlm.levels(np.arange(13))].tolist() == [read_back(c) for c in range(13)]
+    assert bloomlm.VALUE[bloomlm.levels(np.arange(13))].tolist() == [level(c) for c in range(13)]
 
 
 def test_empty_and_no_training_text(spark):
