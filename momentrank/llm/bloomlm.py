@@ -224,17 +224,15 @@ def answered(rows: DataFrame, n: int) -> DataFrame:
                 kind = "<u8" if slot % 8 == 1 else "<u4"
                 keys = [np.cumsum(inflated(x, kind), dtype=kind) for x in part.column("keys").to_pylist()]
                 counts = [inflated(x, "<u4").astype(np.int64) for x in part.column("counts").to_pylist()]
-                key, count = summed(np.concatenate(keys), np.concatenate(counts))
-                key, count = key[count > 0], count[count > 0]
+                wanted, at = np.unique(np.concatenate(keys), return_inverse=True)
+                held = np.bincount(at, np.concatenate(counts), len(wanted)).astype(np.int64)
+                key, count = wanted[held > 0], held[held > 0]
                 level = levels(count)
                 each_level = np.stack([np.bincount(level, count), np.bincount(level)], 1).astype(np.int64)
                 sums = [int(count.sum()), len(key), *(int((count == i).sum()) for i in (1, 2)), *each_level.ravel().tolist()]
-                if slot % 8 == 1:
-                    at = (np.minimum(np.searchsorted(key, x), len(key) - 1) if len(key) else np.zeros(len(x), np.int64) for x in keys)
-                    out = [np.where(key[i] == x, count[i], 0) if len(key) else np.zeros(len(x), np.int64) for i, x in zip(at, keys)]
-                else:
-                    bloom = Filter(key.astype(U), count)
-                    out = [bloom.level(x.astype(U)) for x in keys]
+                # what many blocks ask is probed once
+                answer = held if slot % 8 == 1 else Filter(key.astype(U), count).level(wanted.astype(U))
+                out = np.split(answer[at], np.cumsum([len(x) for x in keys])[:-1])
                 columns = [pa.array([slot] * (z - a + 1), pa.int64()), pa.array([*part.column("block").to_pylist(), -1], pa.int64()),
                            pa.array([*map(deflated, out), None], pa.binary()), pa.array([None] * (z - a) + [sums], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["slot", "block", "answer", "sums"])
