@@ -9,9 +9,16 @@ links that join its members, never all pairs. An anchor with more members than f
 quarters; nothing is dropped.
 
 The query takes shingles of 3 words and 3 bits. Few texts that are alike by 0.8 differ so little, and 64 bits tell likeness
-only roughly. So the pipeline's stage links at 7 bits, and where a second fingerprint of 256 bits, of shingles of 5 words, differs in
-at most WIDE bits: as many as the angle of a Jaccard similarity of 0.8 makes on average. It travels with the first one, so pairs
-are judged at their anchors and no text is read again. Texts with both fingerprints equal are one class.
+only roughly. So the pipeline's stage compares at anchors at 7 bits, and there by a second fingerprint of 256 bits, of shingles
+of 5 words, which travels with the first one, so no text is read again. On average the angle of a Jaccard similarity of 0.8
+makes WIDE bits of it differ; pairs that differ in at most SURE bits link. Texts with both fingerprints equal are one class.
+
+A pair alike by 0.8 differs in some 10 of the 64 bits, so 7 bits miss most pairs near that similarity. The stage therefore takes
+candidates from bands of minima of the same shingles too (``bands``). Members of a band that differ in at most SURE of the 256
+bits link; those that differ in more, up to LOOSE bits, and are not linked by others, are compared by their whole sets of
+shingles and link at a Jaccard similarity of 0.8 or more. Only rows in such doubt have their sets moved. 98.6% of pairs alike by
+0.8 share a band, and more of those that are more alike. A band of over BAND_BUCKET texts is split by pairs of bands, which
+nine in ten of its pairs alike by 0.8 share.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; equal texts have equal
 fingerprints and are one class before any comparison; ids have any type that can be sorted, and keep it; a null id never becomes a component's id unless its
@@ -32,7 +39,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bands import BANDS, alike, bands, shingle_set
 from .common import components, fresh, partitions, row_marks, runs, salted_join, stored, words
+from .hnsw import smallest
 
 SHINGLE = 3
 SEED = 42
@@ -40,8 +49,13 @@ THRESHOLD = 3
 #: Of the pipeline's stage: bits of the first fingerprint, shingle and 64-bit words of the second, and its bits.
 NEAR, NEAR_SHINGLE, NEAR_WORDS = 7, 5, 4
 WIDE = int(64 * NEAR_WORDS * math.acos(2 * 0.8 / 1.8) / math.pi)
-#: Members of an anchor that one task compares; a larger anchor is split.
-BUCKET = 50_000
+#: Of a band's members: 1.5 deviations fewer bits than that average, and 3 more (rounded down).
+_SPREAD = math.sqrt(WIDE * (1 - WIDE / (64 * NEAR_WORDS)))
+SURE, LOOSE = int(WIDE - 1.5 * _SPREAD), int(WIDE + 3 * _SPREAD)
+#: Members of an anchor that one task compares; a larger anchor is split. Members of a band, likewise.
+BUCKET, BAND_BUCKET = 50_000, 20_000
+#: Rows in doubt whose marks are broadcast to the texts, at most (8 bytes each); more are joined.
+FEW = 500_000
 
 
 def shingle_hashes(w: list[bytes], shingle: int) -> np.ndarray:
@@ -78,27 +92,37 @@ def again(x: np.ndarray, k: int) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def wide_fingerprint(text: str | None, n: int = NEAR_WORDS, shingle: int = NEAR_SHINGLE) -> list[int]:
-    """n times 64 bits."""
+def near_shingles(text: str | None) -> np.ndarray:
+    """Hashes of shingles of five words, repeats included."""
     w = words(text)
-    every = shingle_hashes(w, shingle) if w else None
-    return [majority(again(every, k)) if w else 0 for k in range(n)]
+    return shingle_hashes(w, NEAR_SHINGLE) if w else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(every: np.ndarray, n: int = NEAR_WORDS) -> list[int]:
+    """n times 64 bits from hashes of shingles."""
+    return [majority(again(every, k)) if len(every) else 0 for k in range(n)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column, wide: int = 0) -> DataFrame:
-    """``(doc_id, fp)`` of each row, longs ``more`` beside, and ``wide`` words of a second fingerprint, ``w0`` and so on;
-    each holds 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column, wide: int = 0, banded: bool = False) -> DataFrame:
+    """``(doc_id, fp)`` of each row, longs ``more`` beside, ``wide`` words of a second fingerprint, ``w0`` and so on, and if
+    ``banded`` the keys of bands, ``b0`` and so on; each is a signed long of 64 bits."""
+
+    def further(text: str | None) -> np.ndarray:
+        every = near_shingles(text)
+        own = np.array(wide_fingerprint(every, wide), np.uint64).view(np.int64)
+        return np.concatenate([own, bands(every)]) if banded else own
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            others = np.array([wide_fingerprint(t, wide) for t in texts] if wide else [], np.uint64).reshape(-1, wide).view(np.int64) if wide else None
-            columns = [b.column(0), pa.array(fp), *b.columns[2:], *(pa.array(others[:, k].copy()) for k in range(wide))]
+            others = np.array([further(t) for t in texts] if added else [], np.int64).reshape(len(texts), len(added))
+            columns = [b.column(0), pa.array(fp), *b.columns[2:], *(pa.array(others[:, k].copy()) for k in range(len(added)))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more)
-    names = ["doc_id", "fp", *rows.columns[2:], *(f"w{k}" for k in range(wide))]
+    added = [*(f"w{k}" for k in range(wide)), *(f"b{k}" for k in range(BANDS if banded else 0))]
+    names = ["doc_id", "fp", *rows.columns[2:], *added]
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(each, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in names[1:])]))
 
@@ -268,13 +292,103 @@ def links(classes: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, buck
     return out.union(stored(at_anchors(over, True).select("a", "b"), "links")) if over.take(1) else out
 
 
-def rooted(prints: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, bucket: int = BUCKET) -> DataFrame:
-    """``fp, ..., first, node, root`` of each class of equal fingerprints: its smallest id, a number, and the smallest number reachable."""
-    own = [c for c in prints.columns if c not in ("doc_id", "mark")]
-    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("first"))
+def members(w: np.ndarray, sure: int, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a band's members: links at ``sure`` bits, and those in doubt, within ``loose`` bits of one that these don't join them with."""
+    i, j = linked(np.c_[np.zeros(len(w), np.uint64), w], 0, sure)
+    group = smallest(i, j, len(w))
+    doubt = np.zeros(len(w), bool)
+    if (group != group[0]).any():
+        for s in range(0, len(w), 256):
+            bits = sum(np.bitwise_count(w[s : s + 256, None, k] ^ w[None, :, k]).astype(np.int32) for k in range(w.shape[1]))
+            doubt[s : s + 256] = ((bits <= loose) & (group[s : s + 256, None] != group)).any(1)
+    return i, j, np.flatnonzero(doubt)
+
+
+def band_links(classes: DataFrame, texts: DataFrame, sure: int = SURE, loose: int = LOOSE, bucket: int = BAND_BUCKET) -> DataFrame:
+    """Links ``(a, b)`` between nodes of ``node, mark, w0, ..., b0, ...`` that share a band; ``texts`` has ``mark, text``.
+
+    A band of more than ``bucket`` members is split by its members' other bands, so that those that share two meet again.
+    """
+    n = partitions(classes.sparkSession)
+    names, keys = ([c for c in classes.columns if c[0] == k and c[1:].isdigit()] for k in "wb")
+    longs = ", ".join(f"{c} long" for c in ("node", *names, "key"))
+
+    def compare(most: int | None):
+        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in runs(batches, "key"):
+                key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+                w = np.stack([t.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                size = np.diff(np.r_[start, len(key)])
+                found: list[tuple] = []
+                for s, k in zip(start[size > 1].tolist(), size[size > 1].tolist()):
+                    own = node[s : s + k]
+                    if most and k > most:
+                        found.append((own, own, np.full(k, key[s]), np.ones(k, np.int64)))
+                        continue
+                    i, j, doubt = members(w[s : s + k], sure, loose)
+                    found.append((own[i], own[j], np.full(len(i), key[s]), np.full(len(i), -1)))
+                    found.append((own[doubt], own[doubt], np.full(len(doubt), key[s]), np.zeros(len(doubt), np.int64)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b", "key", "kind"])
+
+        return each
+
+    def met(rows: DataFrame, most: int | None) -> DataFrame:
+        sorted_ = rows.selectExpr("node", *names, "key").repartition(n, "key").sortWithinPartitions("key")
+        return stored(sorted_.mapInArrow(compare(most), "a long, b long, key long, kind long"), "bands")
+
+    found = met(classes.select("node", *names, F.explode(F.array(*keys)).alias("key")), bucket)
+    over = found.where("kind = 1").select(F.col("a").alias("node"), "key")
+    if over.take(1):
+        pairs = classes.select("node", *names, F.explode(F.array(*keys)).alias("other")).hint("merge").join(over.hint("merge"), "node")
+        split = pairs.where("key != other").withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")))
+        found = found.union(met(split.dropDuplicates(["node", "key"]), None))
+    sure_ = found.where("kind = -1").select("a", "b")
+    doubt = found.where("kind = 0").select(F.col("a").alias("node"), "key")
+    if not doubt.take(1):
+        return sure_
+
+    def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(near_shingles(t.as_py())).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["mark", "shingles"])
+
+    def exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "key"):
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            cuts = [*np.flatnonzero(np.r_[True, key[1:] != key[:-1]]).tolist(), len(key)]
+            for s, e in zip(cuts, cuts[1:]):
+                i, j = alike([np.frombuffer(x.as_py(), np.uint32) for x in t.column("shingles").slice(s, e - s)])
+                yield pa.RecordBatch.from_arrays([pa.array(node[s:e][i]), pa.array(node[s:e][j])], ["a", "b"])
+
+    need = stored(classes.select("node", "mark").hint("merge").join(doubt.select("node").distinct().hint("merge"), "node", "left_semi"), "doubt")
+    marks = need.select("mark").distinct()
+    marks = F.broadcast(marks) if need.count() <= FEW else marks.hint("merge")
+    own = texts.join(marks, "mark", "left_semi").mapInArrow(as_sets, "mark long, shingles binary")
+    own = stored(own, "shingles").dropDuplicates(["mark"])
+    sets = need.hint("merge").join(own.hint("merge"), "mark").select("node", "shingles")
+    rows = doubt.hint("merge").join(sets.hint("merge"), "node").select("key", "node", "shingles")
+    rows = rows.repartition(n, "key").sortWithinPartitions("key")
+    return sure_.union(stored(rows.mapInArrow(exact, "a long, b long"), "alike"))
+
+
+def rooted(prints: DataFrame, threshold: int = THRESHOLD, wide: int = WIDE, bucket: int = BUCKET, texts: DataFrame | None = None) -> DataFrame:
+    """``fp, ..., first, node, root`` of each class of equal fingerprints: its smallest id, a number, and the smallest number reachable.
+
+    With ``texts`` (``mark, text``), links by bands count too; ``prints`` has marks and bands then.
+    """
+    own = [c for c in prints.columns if c == "fp" or c[0] == "w"]
+    keys = [c for c in prints.columns if c[0] == "b"] if texts is not None else []
+    row = [F.min("mark").alias("mark"), *(F.min(c).alias(c) for c in keys)] if keys else []
+    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("first"), *row)
     node = F.col("fp") if own == ["fp"] else F.monotonically_increasing_id()
     classes = stored(classes.withColumn("node", node), "classes")  # numbers are fixed once written
-    reach = components(links(classes.drop("first"), threshold, wide, bucket))
+    found = links(classes.select("node", *own), threshold, wide, bucket)
+    if keys:
+        found = found.union(band_links(classes, texts))
+        classes = classes.drop("mark", *keys)
+    reach = components(found)
     named = classes.hint("merge").join(reach.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return stored(named, "named")
 
@@ -285,22 +399,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With ``words_``, a second fingerprint of so many words must differ in at most ``wide`` bits too.
     """
     prints = stored(fingerprints(docs, id_col, text_col, wide=words_), "prints")
-    own = [c for c in prints.columns if c != "doc_id"]
+    own = prints.columns[1:]
     named = rooted(prints, threshold, wide, bucket)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = salted_join(named.select(*own, "root", "node"), least, "root", "node", named.count()).select(*own, "component_id")
     return prints.hint("merge").join(of.hint("merge"), own).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = NEAR, words_: int = NEAR_WORDS, wide: int = WIDE) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = NEAR, words_: int = NEAR_WORDS, wide: int = SURE) -> DataFrame:
     """One row of ``docs`` for each component: that with the smallest id, nulls last, and of these the smallest hash of the row.
 
     Components are kept by row, so those with equal or null ids keep a row each. Rows that are equal count once.
     """
     mark = row_marks(docs)[0]
-    prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark"), wide=words_), "prints")
-    classes = [c for c in prints.columns if c not in ("doc_id", "mark")]
-    root = rooted(prints, threshold, wide).select(*classes, "root")
+    prints = stored(fingerprints(docs, id_col, text_col, mark.alias("mark"), wide=words_, banded=True), "prints")
+    classes = [c for c in prints.columns if c == "fp" or c[0] == "w"]
+    root = rooted(prints, threshold, wide, texts=docs.select(mark.alias("mark"), F.col(text_col).alias("text"))).select(*classes, "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("row")
     of = prints.groupBy(*classes).agg(first).hint("merge").join(root.hint("merge"), classes).groupBy("root").agg(F.min("row").alias("row"))
     kept = stored(of.select(F.col("row.doc_id").alias("kept_id"), F.col("row.mark").alias("kept_mark")), "kept")

@@ -3,9 +3,9 @@ from collections import Counter
 import sentencepiece
 
 import corpus_pipeline
-from momentrank.llm import common, mixing, pieces, simhash, toxicity
+from momentrank.llm import common, mixing, pieces, toxicity
 
-from .test_simhash import brute
+from .test_bands import similar
 
 INSULTS = {"trash", "clown", "scum", "idiot", "worthless", "pathetic", "moron", "loser", "disgusting", "stupid"}
 
@@ -31,7 +31,7 @@ def test_stages(spark):
     assert sum(junk(r.text) for r in seen["quality"].values()) <= 0.1 * sum(junk(r.text) for r in seen["toxicity"].values())
     assert sum(not junk(r.text) for r in seen["quality"].values()) >= 0.95 * sum(not junk(r.text) for r in seen["toxicity"].values())
     own = [(k, r.text) for k, r in sorted(seen["quality"].items())]
-    assert set(seen["simhash_dedup"]) == set(brute(own, simhash.NEAR, simhash.WIDE)[1])
+    assert set(seen["simhash_dedup"]) == set(similar(own))
 
     stream = common.stored(corpus_pipeline.mixed(spark, docs, sf), "mixing")
     assert stream.columns == docs.columns
@@ -89,7 +89,7 @@ def test_stages_with_odd_rows(spark, tmp_path):
 
 
 def brute_groups(texts):
-    return brute([(i, t) for i, t in enumerate(texts)], simhash.NEAR, simhash.WIDE)[1]
+    return similar(list(enumerate(texts)))
 
 
 def test_empty_tables(spark):
