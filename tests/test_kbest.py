@@ -1,12 +1,14 @@
 """The k-best search against all combinations."""
 
 import time
+import tracemalloc
 from itertools import product
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from momentrank.operators import kbest
 from momentrank.operators.kbest import Pool, Search
 from momentrank.operators.tuples import Gap, Params, tuples
 
@@ -104,3 +106,29 @@ def test_the_plan_has_no_product(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert [r.rank_in_video for r in out.orderBy("rank_in_video").collect()] == list(range(1, 21))
+
+
+@pytest.mark.parametrize("p", [Params(delta=0.3, most_tuples=4), Params(gaps={0: Gap(least=1.0, most=600.0, tau=5.0, weight=0.01)}, span=700.0, gate="linear"), Params(gate="margin", gate_threshold=0.05)])
+@pytest.mark.parametrize("pairs", [None, [(2, 0), (1, 2)]])
+def test_many_videos_at_once(p, pairs, monkeypatch):
+    """Videos taken together have the combinations that each has alone, in memory that does not grow with their number."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(kbest, "FEW", 200)
+    peaks = []
+    for videos in (300, 1200):
+        sizes = [rng.integers(1, 8, videos) for _ in range(3)]
+        pools = [Pool(rng.random(n := int(x.sum())).round(1), np.where(rng.random(n) < 0.1, np.nan, (1000 * rng.random(n)).round()), rng.random(n).round(1), rng.permutation(n)) for x in sizes]
+        monkeypatch.setattr(kbest, "BLOCK", 2000)
+        some = np.flatnonzero(rng.random(videos) < 0.9)
+        tracemalloc.start()
+        found, ranks, picked = kbest.winners(pools, sizes, some, p, pairs, p.most_tuples)
+        peaks.append(tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in (found, ranks, *picked)) * 2)
+        tracemalloc.stop()
+        have = sorted(zip(found.tolist(), ranks.tolist(), zip(*(x.tolist() for x in picked))))
+        want = []
+        for v in some.tolist():
+            first = [int(x[:v].sum()) for x in sizes]
+            own = [Pool(*(y[a : a + x[v]] for y in (q.score, q.time, q.margin, q.place))) for q, a, x in zip(pools, first, sizes)]
+            want += [(v, rank, tuple(a + j for a, j in zip(first, one))) for rank, one in enumerate(Search(own, p, pairs).searched(p.most_tuples), 1)]
+        assert have == want
+    assert peaks[1] < 2 * peaks[0]
