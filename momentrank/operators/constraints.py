@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import small
+from ..tables import small, written
 
 
 def exact_pin() -> Column:
@@ -106,12 +106,17 @@ def broken(rule: str, rows: DataFrame, *key: str) -> DataFrame:
 
 
 def constraint_violations(events: DataFrame, video_rules: DataFrame, pins: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``rule, key`` of every broken constraint; none means valid. ``gaps(session_id, before_event_id, after_event_id)``."""
-    known = events.select("session_id", "event_id", "event_pos")
+    """``rule, key`` of every broken constraint; none means valid. ``gaps(session_id, before_event_id, after_event_id)``.
+
+    Events and gaps are written, and gaps again with the places of their events, so that no task sorts for more than one join at once.
+    """
+    known = written(events.select("session_id", "event_id", "event_pos"), "known")
+    gaps = written(gaps, "gaps")
     parts = [broken("unknown_event", pins.join(known, ["session_id", "event_id"], "left_anti"), "session_id", "event_id")]
     a = known.select("session_id", F.col("event_id").alias("before_event_id"), F.col("event_pos").alias("a"))
     b = known.select("session_id", F.col("event_id").alias("after_event_id"), F.col("event_pos").alias("b"))
-    both = gaps.join(a, ["session_id", "before_event_id"], "left").join(b, ["session_id", "after_event_id"], "left")
+    before = written(gaps.hint("merge").join(a.hint("merge"), ["session_id", "before_event_id"], "left"), "before")
+    both = written(before.hint("merge").join(b.hint("merge"), ["session_id", "after_event_id"], "left").where("a is null or b is null or b <> a + 1"), "both")
     key = ("session_id", "before_event_id", "after_event_id")
     parts.append(broken("unknown_gap_event", both.where("a is null or b is null"), *key))
     parts.append(broken("gap_not_adjacent", both.where("b <> a + 1"), *key))
