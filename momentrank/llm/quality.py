@@ -5,10 +5,10 @@ good. Count tables of all orders are grouped by n-gram, so Spark shards them by
 their contexts for totals and discounts, and with the next lower order for the interpolated probability. Lower orders
 count distinct left neighbours, except at a word's start. The discounts come from counts of counts, order by order.
 
-The training sample is bounded (``sample`` trusted documents with the smallest hash of their id, two thirds of all at
-most), so the joined table is too. A table of up to MOST rows goes to the workers, which look up each distinct word of a
-block of documents once; a larger one is joined with each text's n-grams, shard by shard (``score_by_join``). Both give
-the same sums.
+All trusted documents play a part: the model is trained on two of three, by the hash of their id, and the others give the
+fences. The joined table grows with the distinct n-grams of their words. A table of up to MOST rows goes to the workers, which
+look up each distinct word of a block of documents once; a larger one is joined with each text's n-grams, shard by shard
+(``score_by_join``). Both give the same sums.
 
 Inside words nothing tells a word said over and over from prose, so each word after the first also has an event: it
 equals the word before, or not. The event's probability is its share in the language's trusted documents, and a
@@ -21,20 +21,21 @@ stretched. Where a language has fewer than ENOUGH, the distances of all language
 top of its own median; with fewer than LEAST, on top of that of all languages.
 
 Defined results: a null or empty text has no characters, so its language's median, and is kept; with no trusted text
-at all, nothing is rejected, and where all of it is in the sample, the sample gives the fences. Ties with the fence are
-kept. A null language is a language of its own. Rows that repeat an id are scored each for itself; an id is trusted with all
+at all, nothing is rejected, and where the hash leaves the model nothing, it is trained on all; where all of it trains the
+model, that gives the fences too. Ties with the fence are kept. A null language is a language of its own. Rows that repeat an id are scored each for itself; an id is trusted with all
 its rows. Columns that are added take names which the documents don't have, so extra columns pass through untouched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ from .common import fresh, stored
 from .toxicity import labelled
 
 ORDER = 5
-#: Trusted documents that the model is trained on, and n-grams that a worker may hold.
-SAMPLE = 4000
+#: Of so many trusted documents all but one train the model, and the other one tells the fences.
+PARTS = 3
+#: N-grams that a worker may hold.
 MOST = 6_000_000
 PRIOR = 60
 #: Share of trusted documents of a language that its fence leaves alone, how many tell it at least, and tell the median.
@@ -117,19 +119,22 @@ def model(texts: DataFrame, order: int = ORDER) -> DataFrame:
 class Scorer:
     """The joined table as a trie in sorted arrays: an n-gram's key is its first n - 1 characters' place and its last character."""
 
-    def __init__(self, grams: list[str], k: np.ndarray, p: np.ndarray, backoff: np.ndarray, order: int = ORDER) -> None:
+    def __init__(self, parts: Iterable[pa.Table], order: int = ORDER) -> None:
+        """``parts``: ``gram, p, backoff`` of each length from 0; one is held at a time."""
         self.order, self.tables = order, {}
-        self.empty = float(p[k == 0][0]) if (k == 0).any() else 1.0
-        for n in range(1, order + 1):
-            at = np.flatnonzero(k == n)
-            c = self.codes("".join(grams[i] for i in at)).reshape(-1, n)
-            node = np.zeros(len(at), np.int64)
+        for n, part in enumerate(parts):
+            p, backoff = part["p"].to_numpy(), part["backoff"].to_numpy()
+            if not n:
+                self.empty = float(p[0]) if len(p) else 1.0
+                continue
+            c = self.codes("".join(part["gram"].to_pylist())).reshape(-1, n)
+            node = np.zeros(len(c), np.int64)
             for j in range(n - 1):
                 node = self.find(j + 1, node << 21 | c[:, j])
             key = node << 21 | c[:, n - 1]
             by = np.argsort(key, kind="stable")
             with np.errstate(divide="ignore"):
-                logs = np.log10(p[at][by]), np.where(np.isnan(backoff[at][by]), 0.0, np.log10(backoff[at][by]))
+                logs = np.log10(p[by]), np.where(np.isnan(backoff[by]), 0.0, np.log10(backoff[by]))
             self.tables[n] = (key[by], *logs)
 
     def codes(self, s: str) -> np.ndarray:
@@ -180,9 +185,8 @@ def score(spark: SparkSession, table: DataFrame, text: str = "text", order: int
     The log10 probability of its characters, their number, that of its words, and of words equal to the one before. The
     table goes to the driver and the workers, so it must be of bounded size; ``scored`` sees to that.
     """
-    rows = table.toPandas()
-    scorer = Scorer(rows["gram"].tolist(), rows["k"].to_numpy(), rows["p"].to_numpy(float), rows["backoff"].to_numpy(float), order)
-    held = spark.sparkContext.broadcast(scorer)
+    parts = (table.where(f"k = {n}").select("gram", "p", "backoff").toArrow() for n in range(order + 1))
+    held = spark.sparkContext.broadcast(Scorer(parts, order))
 
     @F.pandas_udf("log double, chars long, words long, again long")
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -249,13 +253,16 @@ def score_by_join(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", tex
     return at.groupBy("id").agg(F.sum(F.col("n") * log).alias("log")).join(chars.hint("merge"), "id").join(sizes.hint("merge"), "id")
 
 
-def taught(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The model's table, the ids that it is trained on, and all trusted ids."""
+def taught(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The model's table, the ids that it is trained on, and all trusted ids. Of rows that share an id one trains it."""
     good = labels.where("quality = 1").select("doc_id").distinct()
     good = stored(good.where("doc_id is not null"), "good")
-    size = min(sample, -(-2 * good.count() // 3))
-    rows = stored(labelled(docs, good.withColumn("quality", F.lit(1)), "quality", size).select("doc_id", "text"), "taught")
-    return model(rows.select("text")), rows.select("doc_id"), good
+    there = docs.select(F.col("doc_id").alias("id")).distinct()
+    found = stored(good.hint("merge").join(there.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi"), "found")
+    ids = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) < PARTS - 1)
+    ids = ids if ids.take(1) else found
+    rows = labelled(docs, ids.withColumn("quality", F.lit(1)), "quality")
+    return model(rows.select("text")), ids, good
 
 
 def scored(docs: DataFrame, table: DataFrame, name: str, most: int = MOST) -> DataFrame:

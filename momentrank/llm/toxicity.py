@@ -166,21 +166,18 @@ def fit_and_choose(texts: list[str | None], toxic: list[int], **options) -> Mode
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, longest: int | None = None) -> DataFrame:
-    """``doc_id, text, label`` of the ``sample`` labelled documents with the smallest hash of their id, one row an id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int | None = None, longest: int | None = None) -> DataFrame:
+    """``doc_id, text, label`` of all labelled documents, one row an id: of rows that share one, that with the smallest hash of its text.
 
-    The ids are chosen before a text is read, and are at most ``sample``, so the join broadcasts them. Of rows that share an
-    id the one with the smallest hash of its text counts. Texts of over ``longest`` characters are not chosen.
+    Rows meet by id, without a broadcast. ``sample`` takes so many at most, those with the smallest hash of their id, and
+    ``longest`` leaves out texts of more characters; no query sets them.
     """
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("label"))
     docs = docs.select("doc_id", "text") if longest is None else docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    there = docs.select(F.col("doc_id").alias("id")).distinct()
-    ids = ids.hint("merge").join(there.hint("merge"), F.col("doc_id") == F.col("id"), "left_semi").orderBy(*order).limit(sample)
-    ids = stored(ids.withColumnRenamed("doc_id", "id"), "sample")
-    texts = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"))
+    texts = docs.hint("merge").join(ids.hint("merge"), F.col("doc_id") == F.col("id"))
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
-    return texts.groupBy("doc_id", "label").agg(one).select("doc_id", F.col("one.text").alias("text"), "label")
+    rows = texts.groupBy("doc_id", "label").agg(one).select("doc_id", F.col("one.text").alias("text"), "label")
+    return rows if sample is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:

@@ -183,3 +183,16 @@ def test_without_trusted_text_nothing_is_rejected(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.trusted(docs, none).count() == 1
     assert quality.trusted(docs.where("false"), none).count() == 0
+
+
+def test_all_trusted_text_plays_a_part(spark):
+    """Each of 6,000 trusted documents has a word of its own; each is in the model, or one of those that tell the fences."""
+    n = 6000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', lpad(cast(id AS string), 4, '0')) AS text", "'en' AS lang")
+    table, ids, good = quality.taught(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    trained = {r.doc_id for r in ids.collect()}
+    assert good.count() == n and 0.6 * n < len(trained) < 0.72 * n
+    starts = {r.gram[1:] for r in table.where("k = 5 and p is not null").collect() if r.gram[0] == quality.START}
+    assert starts == {f"w{i:04}"[:4] for i in trained}
+    ends = {r.gram[:-1] for r in table.where("k = 5 and p is not null").collect() if r.gram[-1] == quality.STOP}
+    assert ends == {f"{i:04}" for i in trained}
