@@ -105,3 +105,25 @@ def test_the_sample_has_a_row_an_id_and_bounded_texts(spark):
     assert sorted(r.doc_id for r in got) == [1, 3]
     assert [r.doc_id for r in toxicity.labelled(docs, labels, "toxic", 10).collect() if r.text and len(r.text) > 20_000] == [2]
     assert toxicity.tolerable(docs, labels).columns == docs.columns
+
+
+def test_all_labelled_documents_are_fitted(spark):
+    """The model of Spark's passes is that of the rows in hand, for more documents than a sample of 6,000, and for very long ones."""
+    rows = made(300) + [(1000 + i, f"plain text {i % 7}", 0) for i in range(6500)]
+    rows += [(9000 + i, "far " * 6000 + "awful", 1) for i in range(12)]  # the only ones with this word, each of 24,005 characters
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = toxicity.trained(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    want = toxicity.fit([r[1] for r in rows], [r[2] for r in rows])
+    assert "awful" in got.weights and got.weights == pytest.approx(want.weights, abs=0.02) and got.thresholds == pytest.approx(want.thresholds, abs=0.02)
+    assert got.severity(rows[-1][1]) > got.reject > got.severity("plain text 3")
+
+
+def test_the_severity_is_chosen_from_counts(spark):
+    rng = np.random.default_rng(4)
+    rows = [([0], [int(rng.integers(1, 200)) if i % 3 else 1], bool(i % 3 == 0) ^ bool(rng.random() < 0.2), True, int(rng.integers(1, 4))) for i in range(400)]
+    bags = spark.createDataFrame(rows, "at array<int>, n_at array<int>, toxic boolean, held boolean, n long")
+    x = np.array([-0.7, 1.0, 0.2])
+    model = toxicity.Model({"w": -0.7}, toxicity.ordered(x).tolist())
+    flat = [(model.severity("w " * r[1][0]), r[2]) for r in rows for _ in range(r[4])]
+    want = toxicity.rejecting(np.array([s for s, _ in flat]), np.array([t for _, t in flat]))
+    assert toxicity.chosen(bags, np.array([0]), x) == pytest.approx(want)
