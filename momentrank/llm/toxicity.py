@@ -11,8 +11,8 @@ word is grade 1 all the same.
 
 The model is fitted on all labelled documents, one row an id, whole. Tasks count features, and Spark sums them; of those that tell,
 the clearest ``vocabulary`` are weighed. A document is then the telling features that it holds, and equal ones are one row with a
-number. Each step of the fit is a pass over these rows: a task gives its share of the loss and of its slope, and the driver holds the
-weights alone. The severity from which a document is rejected is chosen on a quarter of the documents, by the hash of their id, that
+number. Each step of the fit is a pass over these rows, packed into blocks: a task gives its share of the loss and of its slope, and
+the driver holds the weights alone; the two fits take their steps in the same passes. The severity from which a document is rejected is chosen on a quarter of the documents, by the hash of their id, that
 a first fit has not seen, from counts by severity. Scoring takes whole texts of any length; it is a row-wise function that keeps the
 row where it is.
 
@@ -26,8 +26,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,14 @@ LONGEST = 20_000
 PARTS = 4
 #: Features that a task counts before it hands them on.
 TALLY = 300_000
+#: Documents that must hold a feature for it to tell.
+LEAST = 5
+#: Entries of a block of rows that are packed for the fit; one document can have more.
+BLOCK = 250_000
+#: Bits of hashed ids for each labelled row, and at most, that sort out documents before they move to their labels.
+BITS, MOST_BITS = 16, 1 << 26
+#: Types of ids that hash alike where they are equal.
+PLAIN = ("tinyint", "smallint", "int", "bigint", "string")
 GRADES = 3
 #: Expected severity from which a document is rejected where there are too few labels to choose one.
 REJECT = 0.2
@@ -56,6 +65,23 @@ STEMS = (5, 7)
 #: Words whose features a worker remembers.
 CACHE = 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
+#: All of ASCII but letters becomes a blank, in strings that hold nothing else and in UTF-8.
+ASCII = "".join(chr(i) if chr(i).isalpha() else " " for i in range(128))
+UTF8 = bytes(i if i > 127 or chr(i).isalpha() else 32 for i in range(256))
+
+
+def tokens(text: str | None) -> list[str]:
+    """``TOKEN.findall`` of the lower-cased text; ASCII words are cut by a table of characters, which takes half the time."""
+    low = (text or "").lower()
+    if low.isascii():
+        return low.translate(ASCII).split()
+    found: list[str] = []
+    for word in low.encode("utf-8", "surrogatepass").translate(UTF8).decode("utf-8", "surrogatepass").split():
+        if word.isascii():
+            found.append(word)
+        else:
+            found += TOKEN.findall(word)
+    return found
 
 
 def features(word: str) -> list[str]:
@@ -65,12 +91,34 @@ def features(word: str) -> list[str]:
 
 def counts(text: str | None) -> Counter:
     found: Counter = Counter()
-    for word, n in Counter(TOKEN.findall((text or "").lower())).items():
+    for word, n in Counter(tokens(text)).items():
         for f in features(word):
             found[f] += n
     return found
 
 
+class Finder:
+    """Counts the features of a text that stand in ``at``, each under its value there. Most words share no beginning with any of these."""
+
+    def __init__(self, at: dict) -> None:
+        self.at = at
+        self.heads = {f.removesuffix("-")[: STEMS[0]] for f in at}
+        self.known: dict[str, list] = {}
+
+    def counts(self, text: str | None) -> dict:
+        known, heads, found, k = self.known, self.heads, {}, STEMS[0]
+        if len(known) > CACHE:
+            known.clear()
+        for word in tokens(text):
+            if word[:k] in heads:
+                own = known.get(word)
+                if own is None:
+                    own = known[word] = [self.at[f] for f in features(word) if f in self.at]
+                for f in own:
+                    found[f] = found.get(f, 0) + 1
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -78,25 +126,17 @@ class Model:
     reject: float = REJECT
 
     def __post_init__(self) -> None:
-        self.known: dict[str, list[str]] = {}
+        self.finder = Finder({f: f for f in self.weights})
 
     def severity(self, text: str | None) -> float:
         if not self.thresholds:
             return 0.0
-        known, found = self.known, {}
-        if len(known) > CACHE:
-            known.clear()
-        for word in TOKEN.findall((text or "").lower()):
-            own = known.get(word)
-            if own is None:
-                own = known[word] = [f for f in features(word) if f in self.weights]
-            for f in own:
-                found[f] = found.get(f, 0) + 1
+        found = self.finder.counts(text)
         z = sum(self.weights[f] * (1 + math.log(c)) for f, c in sorted(found.items()))
         return sum(1 / (1 + math.exp(min(t - z, 700))) for t in self.thresholds)
 
 
-def telling(texts: list[str | None], toxic: list[int], least: int = 5, score: float = 3.5) -> tuple[list[str], set[str]]:
+def telling(texts: list[str | None], toxic: list[int], least: int = LEAST, score: float = 3.5) -> tuple[list[str], set[str]]:
     """Features of at least ``least`` documents whose share of toxic ones is ``score`` standard errors up, clearest
     first, and those among them that hardly ever stand elsewhere.
 
@@ -144,18 +184,21 @@ class Bags:
         return np.concatenate([[-(self.n * np.log(each)).sum()], np.bincount(self.col, (low - top)[self.row] * self.val, d), ends])
 
 
-def descend(sums: Callable[[np.ndarray], np.ndarray], n: int, d: int, rounds: int, decay: float, enough: float = 1e-5, memory: int = 10) -> np.ndarray:
-    """Weights and thresholds of the least penalised mean loss, by quasi-Newton steps (L-BFGS); ``sums`` as ``Bags.slope``, over all ``n`` rows."""
+def steps(n: int, d: int, rounds: int, decay: float, enough: float = 1e-5, memory: int = 10) -> Generator[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and thresholds of the least penalised mean loss, by quasi-Newton steps (L-BFGS).
+
+    Yields where it wants to know the sums of ``Bags.slope`` over all ``n`` rows, is sent them, and returns the minimum.
+    """
 
-    def slope(x: np.ndarray) -> tuple[float, np.ndarray]:
-        all_ = sums(x) / n
+    def slope(x: np.ndarray) -> Generator[np.ndarray, np.ndarray, tuple[float, np.ndarray]]:
+        all_ = (yield x) / n
         tail = np.cumsum(all_[:d:-1])[::-1]
         ends = np.r_[tail[:1], tail[1:] * np.exp(x[d + 1 :])]
         return float(all_[0] + decay / 2 * (x[:d] @ x[:d])), np.r_[all_[1 : d + 1] + decay * x[:d], ends]
 
     x = np.concatenate([np.zeros(d), [2.0], np.log(np.full(GRADES - 2, 2.0))])
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    value, g = slope(x)
+    value, g = yield from slope(x)
     for _ in range(rounds):
         if np.abs(g).max() < enough:
             break
@@ -169,7 +212,7 @@ def descend(sums: Callable[[np.ndarray], np.ndarray], n: int, d: int, rounds: in
         step = 1.0
         while True:
             new = x - step * q
-            found, h = slope(new)
+            found, h = yield from slope(new)
             if found <= value - 1e-4 * step * (g @ q):
                 break
             step /= 2
@@ -181,6 +224,20 @@ def descend(sums: Callable[[np.ndarray], np.ndarray], n: int, d: int, rounds: in
     return x
 
 
+def descend(all_sums: Callable[[dict[int, np.ndarray]], dict[int, np.ndarray]], fits: list[Generator[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Ends of all ``fits``, which are ``steps``; each call of ``all_sums`` serves one step of every fit that goes on."""
+    at, ends = {i: next(fit) for i, fit in enumerate(fits)}, {}
+    while at:
+        sums = all_sums(at)
+        for i in list(at):
+            try:
+                at[i] = fits[i].send(sums[i])
+            except StopIteration as e:
+                ends[i] = e.value
+                del at[i]
+    return [ends[i] for i in range(len(fits))]
+
+
 def fit(texts: list[str | None], toxic: list[int], vocabulary: int = VOCABULARY, rounds: int = 300, decay: float = 2e-4) -> Model:
     """The model of rows in hand: maximum likelihood with an L2 penalty; the thresholds stay in order. See ``fitted``."""
     if not sum(toxic) or sum(toxic) == len(toxic):
@@ -195,7 +252,7 @@ def fit(texts: list[str | None], toxic: list[int], vocabulary: int = VOCABULARY,
     col = np.array([i for b in bags for i, _ in b], np.int64)
     val = np.array([1 + math.log(c) for b in bags for _, c in b])
     rows = Bags(row, col, val, np.where(flags, 1 + (hits > middle), 0), np.ones(len(bags)))
-    x = descend(rows.slope, len(bags), len(at), rounds, decay)
+    [x] = descend(lambda at: {0: rows.slope(at[0])}, [steps(len(bags), len(at), rounds, decay)])
     return Model({f: float(x[i]) for f, i in at.items()}, [float(t) for t in ordered(x)])
 
 
@@ -213,15 +270,32 @@ def rejecting(severities: np.ndarray, toxic: np.ndarray) -> float:
     return float(np.sqrt(max(low, 1e-6) * max(high, 1e-6)))
 
 
+def likely(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` whose id may be among those of ``labels``: all that are, and one in 16 of the others or fewer, up to 4 million labels.
+
+    The bits of hashed ids have 2**20 rows at most, to broadcast; where more ids set them all, it is no filter. Ids of two types stay as they are.
+    """
+    kinds = {dict(df.dtypes)["doc_id"] for df in (docs, labels)}
+    if len(kinds) > 1 or not kinds <= set(PLAIN):
+        return docs
+    size = min(MOST_BITS, 1 << max(6, (BITS * labels.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    slot, place = F.shiftright(bit, 6), bit.bitwiseAND(63).cast("int")
+    bits = labels.select(slot.alias("slot"), place.alias("place")).distinct().groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    some = docs.select(*docs.columns, slot.alias("slot"), place.alias("place")).join(F.broadcast(bits), "slot")
+    return some.where(F.expr("shiftright(bits, place) & 1") == 1).select(docs.columns)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int | None = None, longest: int | None = None) -> DataFrame:
     """``doc_id, text, label`` of all labelled documents, one row an id: of rows that share one, that with the smallest hash of its text.
 
-    Rows meet by id, without a broadcast. ``sample`` takes so many at most, those with the smallest hash of their id, and
+    Rows meet by id, without a broadcast; texts that no label can be of don't move. ``sample`` takes so many at most, those with the smallest hash of their id, and
     ``longest`` leaves out texts of more characters; no query sets them.
     """
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("label"))
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    ids = labels.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("label"))
     docs = docs.select("doc_id", "text") if longest is None else docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest)
-    texts = docs.hint("merge").join(ids.hint("merge"), F.col("doc_id") == F.col("id"))
+    texts = likely(docs, labels).hint("merge").join(ids.hint("merge"), F.col("doc_id") == F.col("id"))
     one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
     rows = texts.groupBy("doc_id", "label").agg(one).select("doc_id", F.col("one.text").alias("text"), "label")
     return rows if sample is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -241,8 +315,10 @@ def tallied(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, t, h in zip(b.column("text"), b.column("toxic"), b.column("held")):
-                words = set(TOKEN.findall((text.as_py() or "").lower()))
-                found[t.as_py(), h.as_py()].update({f for w in words for f in features(w)})
+                words, own = set(tokens(text.as_py())), found[t.as_py(), h.as_py()]
+                own.update(words)
+                for k in STEMS:
+                    own.update({w[:k] + "-" for w in words if len(w) >= k})
                 if sum(map(len, found.values())) > TALLY:
                     yield from handed()
         yield from handed()
@@ -252,7 +328,7 @@ def tallied(rows: DataFrame) -> DataFrame:
     return some.groupBy("feature").agg(F.sum("n").alias("seen"), total(F.col("toxic"), "own"), total(~F.col("held"), "seen_first"), total(F.col("toxic") & ~F.col("held"), "own_first"))
 
 
-def told(tally: DataFrame, seen: str, own: str, n: int, toxic: int, vocabulary: int, least: int = 5, score: float = 3.5) -> dict[str, bool]:
+def told(tally: DataFrame, seen: str, own: str, n: int, toxic: int, vocabulary: int, least: int = LEAST, score: float = 3.5) -> dict[str, bool]:
     """``telling`` from counts: the clearest features, and whether they hardly ever stand elsewhere."""
     p = toxic / n
     up = (F.col(own) - F.col(seen) * p) / F.sqrt(F.col(seen) * p * (1 - p))
@@ -265,19 +341,11 @@ def bagged(rows: DataFrame, at: dict[str, int]) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(at)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        finder = Finder(held.value)
         for b in batches:
             places, numbers = [], []
             for text in b.column("text"):
-                if len(known) > CACHE:
-                    known.clear()
-                found: dict[int, int] = {}
-                for word in TOKEN.findall((text.as_py() or "").lower()):
-                    own = known.get(word)
-                    if own is None:
-                        own = known[word] = [held.value[f] for f in features(word) if f in held.value]
-                    for i in own:
-                        found[i] = found.get(i, 0) + 1
+                found = finder.counts(text.as_py())
                 places.append(sorted(found))
                 numbers.append([found[i] for i in places[-1]])
             columns = [pa.array(places, pa.list_(pa.int32())), pa.array(numbers, pa.list_(pa.int32())), b.column("toxic"), b.column("held")]
@@ -297,8 +365,8 @@ def unpacked(b: pa.RecordBatch, place: np.ndarray, mark: np.ndarray) -> tuple[Ba
     return Bags(row[own], place[col[own]], 1 + np.log(c[own]), toxic.astype(int), b.column("n").to_numpy().astype(float)), hits
 
 
-def fitted(bags: DataFrame, place: np.ndarray, mark: np.ndarray, rounds: int = 300, decay: float = 2e-4) -> np.ndarray:
-    """``fit`` of all rows of ``bags``: weights by place, and thresholds. A step is a pass, of which a task gives one row."""
+def packed(bags: DataFrame, place: np.ndarray, mark: np.ndarray) -> DataFrame:
+    """Rows for the fit, with their grades: ``row, col, val, grade, n``, the arrays of ``Bags`` as bytes, of some BLOCK entries and a batch at most."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,18 +376,42 @@ def fitted(bags: DataFrame, place: np.ndarray, mark: np.ndarray, rounds: int = 3
     some = bags.where("toxic").mapInArrow(hits, "hits long, n long").where("hits > 0").groupBy("hits").agg(F.sum("n").alias("n"))
     middle = some.agg(F.percentile("hits", 0.5, F.col("n"))).first()[0] or 0
 
-    def sums(x: np.ndarray) -> np.ndarray:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, start = b.column("at").offsets.to_numpy(), 0
+            while start < b.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + BLOCK, "right")) - 1)
+                rows, found = unpacked(b.slice(start, end - start), place, mark)
+                grade = np.where(rows.grade, 1 + (found > middle), 0)
+                arrays = rows.row.astype("<i4"), rows.col.astype("<i4"), rows.val.astype("<f8"), grade.astype("<i1"), rows.n.astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in arrays], ["row", "col", "val", "grade", "n"])
+                start = end
+
+    return bags.mapInArrow(each, "row binary, col binary, val binary, grade binary, n binary")
+
+
+def fitted(bags: DataFrame, fits: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 300, decay: float = 2e-4) -> list[np.ndarray]:
+    """``fit`` of all rows of ``bags`` that meet a condition, for each of ``fits``, with its features' places and marks: weights by place, and thresholds.
+
+    A step of all fits is a pass, of which a task gives one row a fit.
+    """
+    rows = [packed(bags.where(which), place, mark).withColumn("fit", F.lit(i)) for i, (which, place, mark) in enumerate(fits)]
+    rows = stored(reduce(DataFrame.union, rows), "packed", compression="zstd")
+
+    def sums(at: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(x) + 1)
+            total = {i: np.zeros(len(x) + 1) for i, x in at.items()}
             for b in batches:
-                rows, found = unpacked(b, place, mark)
-                rows.grade = np.where(rows.grade, 1 + (found > middle), 0)
-                total += rows.slope(x)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+                for i, *arrays in zip(*map(b.column, ("fit", "row", "col", "val", "grade", "n"))):
+                    row, col, val, grade, n = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(arrays, ("<i4", "<i4", "<f8", "<i1", "<f8")))
+                    total[i.as_py()] += Bags(row, col, val, grade, n).slope(at[i.as_py()])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["fit", "sums"])
 
-        return np.sum([r.sums for r in bags.mapInArrow(each, "sums array<double>").collect()], axis=0)
+        found = rows.where(F.col("fit").isin(list(at))).mapInArrow(each, "fit int, sums array<double>").collect()
+        return {i: np.sum([np.zeros(len(x) + 1), *(r.sums for r in found if r.fit == i)], axis=0) for i, x in at.items()}
 
-    return descend(sums, bags.agg(F.sum("n")).first()[0], int(place.max(initial=-1)) + 1, rounds, decay)
+    sizes = [bags.where(which).agg(F.sum("n")).first()[0] for which, *_ in fits]
+    return descend(sums, [steps(n, int(place.max(initial=-1)) + 1, rounds, decay) for n, (_, place, _) in zip(sizes, fits)])
 
 
 def chosen(bags: DataFrame, place: np.ndarray, x: np.ndarray) -> float:
@@ -358,7 +450,7 @@ def trained(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) ->
     """The model of all labelled documents, with the severity that a model of three quarters of them chooses on the fourth."""
     rows = labelled(docs, labels, "toxic").select("text", (F.col("label") > 0).alias("toxic"), (F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == PARTS - 1).alias("held"))
     rows = stored(rows, "labelled", compression="zstd")
-    tally = stored(tallied(rows), "tally")
+    tally = stored(tallied(rows).where(F.col("seen") >= LEAST), "tally")
     sizes = {(r.toxic, r.held): r["count"] for r in rows.groupBy("toxic", "held").count().collect()}
     own, own_first = sizes.get((True, True), 0) + sizes.get((True, False), 0), sizes.get((True, False), 0)
     n, n_first = sum(sizes.values()), own_first + sizes.get((False, False), 0)
@@ -375,10 +467,11 @@ def trained(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) ->
             place[at[f]], mark[at[f]] = i, own
         return place, mark
 
-    x = fitted(bags, *placed(kept))
+    fits = [("true", *placed(kept))] + [("NOT held", *placed(first))] * (0 < own_first < n_first)
+    x, *x_first = fitted(bags, fits)
     model = Model(dict(zip(kept, x.tolist())), ordered(x).tolist())
-    if 0 < own_first < n_first:
-        model.reject = chosen(bags.where("held"), placed(first)[0], fitted(bags.where("NOT held"), *placed(first)))
+    if x_first:
+        model.reject = chosen(bags.where("held"), placed(first)[0], x_first[0])
     return model
 
 

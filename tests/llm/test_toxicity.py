@@ -127,3 +127,74 @@ def test_the_severity_is_chosen_from_counts(spark):
     flat = [(model.severity("w " * r[1][0]), r[2]) for r in rows for _ in range(r[4])]
     want = toxicity.rejecting(np.array([s for s, _ in flat]), np.array([t for _, t in flat]))
     assert toxicity.chosen(bags, np.array([0]), x) == pytest.approx(want)
+
+
+def test_tokens_are_the_patterns():
+    rng = np.random.default_rng(5)
+    signs = list("aZbY _-9'.\n\t\x1c\x85\xa0é ßİK²½٣’　中ñǅ́ª")
+    for _ in range(3000):
+        text = "".join(rng.choice(signs[: int(rng.integers(3, len(signs)))], int(rng.integers(0, 14))))
+        assert toxicity.tokens(text) == toxicity.TOKEN.findall(text.lower())
+    assert toxicity.tokens("a\ud800b c") == ["a", "b", "c"] and toxicity.tokens(None) == []
+    at = {f: i for i, f in enumerate(["nasty", "nasty-", "rottene-", "été", "of", "vilest"])}
+    text = "Nasty, nastyish of OFF rottenest rottenly été étés vilest vile " * 3
+    assert toxicity.Finder(at).counts(text) == {at[f]: n for f, n in toxicity.counts(text).items() if f in at}
+
+
+def test_texts_without_a_label_do_not_move(spark):
+    rows = [(i, f"text {i}") for i in range(20_000)] + [(3, "again"), (3, "again"), (None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 20_000, 100)] + [(3, 1), (3, 0), (None, 1), (7, None), (99_999, 1)], "doc_id long, toxic int")
+    ids = {*range(0, 20_000, 100), 3}
+    for kind in ("long", "string"):
+        d, own = (x.withColumn("doc_id", x.doc_id.cast(kind)) for x in (docs, labels))
+        some = toxicity.likely(d, own.where("doc_id is not null")).collect()
+        assert {str(i) for i in ids} <= {str(r.doc_id) for r in some} and sum(str(r.doc_id) == "3" for r in some) == 3
+        assert len(some) < len(rows) / 8  # all 20,003 were shuffled by id before
+    for d in (docs, docs.withColumn("doc_id", docs.doc_id.cast("int")), docs.withColumn("doc_id", docs.doc_id.cast("double"))):
+        got = toxicity.labelled(d, labels, "toxic").collect()
+        assert sorted(int(r.doc_id) for r in got) == sorted(ids)
+        assert all(r.label == (1 if r.doc_id == 3 else int(r.doc_id) % 2) and r.text in ("again", f"text {int(r.doc_id)}") for r in got)
+    few = toxicity.likely(docs.withColumn("doc_id", docs.doc_id.cast("int")), labels)
+    assert few.count() == len(rows)  # hashes of two types differ, so the join alone decides
+    assert toxicity.labelled(docs, labels.where("false"), "toxic").count() == 0
+
+
+def test_fits_share_their_passes():
+    rng = np.random.default_rng(6)
+
+    def made_bags(n):
+        grade = rng.integers(0, 3, n)
+        return toxicity.Bags(np.arange(n), rng.integers(0, 5, n), 1 + np.log(rng.integers(1, 5, n)), grade, np.ones(n))
+
+    bags, calls = [made_bags(80), made_bags(300)], []
+
+    def sums(at):
+        calls.append(len(at))
+        return {i: bags[i].slope(x) for i, x in at.items()}
+
+    fits = [lambda: toxicity.steps(80, 5, 300, 2e-4), lambda: toxicity.steps(300, 5, 300, 0.1)]
+    both = toxicity.descend(sums, [f() for f in fits])
+    together, alone = len(calls), []
+    for i, f in enumerate(fits):
+        calls.clear()
+        [x] = toxicity.descend(lambda at: {0: sums({i: at[0]})[i]}, [f()])
+        alone.append(len(calls))
+        assert (x == both[i]).all()
+    assert together == max(alone)
+
+
+def test_blocks_hold_all_rows(spark, monkeypatch):
+    """Packed rows have the sums of all, whatever a block holds; documents with more entries than a block, or none, too."""
+    rows = [(list(range(i % 7)), [1 + i % 3] * (i % 7), i % 4 == 0, i % 3 == 0, 1 + i % 2) for i in range(200)]
+    bags = spark.createDataFrame(rows, "at array<int>, n_at array<int>, toxic boolean, held boolean, n long")
+    place, mark = np.array([2, -1, 0, 1, 3, 4]), np.array([True, False, True, False, False, False])
+    x = np.linspace(-0.5, 1, 7)
+    found = []
+    for block in (4, 250_000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        blocks = toxicity.packed(bags, place, mark).collect()
+        each = [[np.frombuffer(c, kind) for c, kind in zip(r, ("<i4", "<i4", "<f8", "<i1", "<f8"))] for r in blocks]
+        found.append((len(blocks), sum(toxicity.Bags(*b).slope(x) for b in each)))
+        assert sum(b[4].sum() for b in each) == 300 and sum(len(b[0]) for b in each) == sum(i != 1 for r in rows for i in r[0])
+    assert found[0][0] > 50 > found[1][0] and found[0][1] == pytest.approx(found[1][1])
